@@ -169,3 +169,20 @@ def last_items(arr: Column, k: int | Column) -> Column:
     size = F.size(arr)
     take = F.least(size, F.lit(k) if isinstance(k, int) else k)
     return F.slice(arr, size - take + 1, take)
+
+
+def running_records(df: DataFrame, keys: list[str], order: str, value: str, chunked: bool | None = None) -> DataFrame:
+    """Rows whose value exceeds every earlier value of the key (strict running maxima)."""
+    if chunked is None:
+        chunked = has_large_group(df, keys)
+    if not chunked:
+        w = _before(keys, [F.col(order)])
+        peak = F.max(value).over(w)
+        return df.withColumn("_m", peak).where(F.col("_m").isNull() | (F.col(value) > F.col("_m"))).drop("_m")
+    cut = row_chunks(df, None, order)
+    inner = Window.partitionBy(*keys, *CHUNK).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    tops = cut.groupBy(*keys, *CHUNK).agg(F.max(value).alias("_t"))
+    carried = tops.select(*keys, *CHUNK, F.max("_t").over(_before(keys, [F.col(c) for c in CHUNK])).alias("_p"))
+    out = join_chunks(cut.withColumn("_m", F.max(value).over(inner)), carried, keys)
+    peak = F.greatest("_m", "_p")
+    return out.where(peak.isNull() | (F.col(value) > peak)).drop(*CHUNK, "_m", "_p")

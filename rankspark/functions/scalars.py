@@ -165,7 +165,7 @@ def watch_targets(play="play_time_ms", dur="duration_ms") -> list[Column]:
 
 
 def normalize_signature(c) -> Column:
-    compact = F.regexp_replace(F.trim(F.lower(_col(c))), r"\s+", " ")
+    compact = F.trim(F.regexp_replace(F.lower(_col(c)), r"\s+", " "))
     compact = F.regexp_replace(compact, r"0x[0-9a-f]+", "0xADDR")
     compact = F.regexp_replace(compact, r"\d+", "N")
     return F.substring(compact, 1, 400)

@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankspark.functions.ordered import has_large_group, positions, prefix_sums, value_prefix_sums
 from rankspark.functions.scalars import uniform, watch_targets
@@ -217,7 +218,7 @@ def listwise_loss(scores: DataFrame) -> DataFrame:
     return per_user.agg(F.avg("_loss").alias("loss"), F.count(F.lit(1)).alias("n_lists"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _log_survival(t: pd.Series) -> pd.Series:
     """-ln of the normal upper tail, floored at 1e-6; Spark has no error function."""
     tail = t.clip(-8 * math.sqrt(2.0), 8 * math.sqrt(2.0)).map(lambda x: 0.5 * math.erfc(x / math.sqrt(2.0)))

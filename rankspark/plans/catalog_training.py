@@ -242,7 +242,7 @@ def weighted_logloss(spark, sf):
 
 @query(
     "bpr_loss",
-    f"""WITH {SCORES}, {BPR}, {Z} SELECT round(avg(-ln(1 / (1 + exp(-(a.z - b.z))) + 1e-9)), 9) AS loss
+    f"""WITH {SCORES}, {BPR}, {Z} SELECT round(avg(-ln(1 / (1 + exp(-least(greatest(a.z - b.z, -30), 30))) + 1e-9)), 9) AS loss
     FROM bp JOIN zz a ON a.row_id = pos_row JOIN zz b ON b.row_id = neg_row""",
 )
 def bpr_loss(spark, sf):
@@ -252,7 +252,7 @@ def bpr_loss(spark, sf):
 
 @query(
     "global_pair_loss",
-    f"""WITH {SCORES}, {GP}, {Z} SELECT round(avg(-ln(1 / (1 + exp(-(a.z - b.z))) + 1e-9)), 9) AS loss
+    f"""WITH {SCORES}, {GP}, {Z} SELECT round(avg(-ln(1 / (1 + exp(-least(greatest(a.z - b.z, -30), 30))) + 1e-9)), 9) AS loss
     FROM gp JOIN zz a ON a.row_id = pos_row JOIN zz b ON b.row_id = neg_row""",
 )
 def global_pair_loss(spark, sf):
@@ -262,7 +262,7 @@ def global_pair_loss(spark, sf):
 
 @query(
     "lambda_loss",
-    f"""WITH {SCORES}, {BPR}, {LAM}, {Z} SELECT round(sum(-delta * ln(1 / (1 + exp(-(a.z - b.z))) + 1e-9)) / sum(delta), 9) AS loss
+    f"""WITH {SCORES}, {BPR}, {LAM}, {Z} SELECT round(sum(-delta * ln(1 / (1 + exp(-least(greatest(a.z - b.z, -30), 30))) + 1e-9)) / sum(delta), 9) AS loss
     FROM lp JOIN zz a ON a.row_id = pos_row JOIN zz b ON b.row_id = neg_row""",
 )
 def lambda_loss(spark, sf):

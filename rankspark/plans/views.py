@@ -113,7 +113,7 @@ ledger0 AS (
   SELECT seq // 100 AS run_id, seq, seq AS node_id, CASE WHEN i > 0 THEN seq - i + (i - 1) // 2 END AS parent_id,
     CASE pr WHEN '1-URGENT' THEN 'draft' WHEN '2-HIGH' THEN 'improve' WHEN '3-MEDIUM' THEN 'ablate'
             WHEN '4-NOT SPECIFIED' THEN 'ensemble' ELSE 'debug' END AS stage,
-    CAST(cust % 10 AS VARCHAR) AS arm,
+    CASE WHEN cust % 10 = 4 THEN 'ablate' ELSE CAST(cust % 10 AS VARCHAR) END AS arm,
     CASE cust % 3 WHEN 0 THEN '8' WHEN 1 THEN '16' ELSE '32' END AS k,
     CASE WHEN cust % 2 = 0 THEN '"logloss"' ELSE '"bpr"' END AS loss,
     CASE cust % 7 % 3 WHEN 0 THEN '0' WHEN 1 THEN '50' ELSE '100' END AS seq_len,
@@ -142,5 +142,5 @@ ledger AS (
       CASE WHEN seq_len <> '0' THEN 'seq_len=' || seq_len END, CASE WHEN utd = 'true' THEN 'use_time_decay=true' END) AS fp,
     CASE WHEN stage = 'ensemble' AND prim IS NOT NULL THEN prim WHEN members IS NOT NULL AND prim IS NOT NULL THEN prim
          WHEN confirmed_mean IS NOT NULL THEN confirmed_mean ELSE prim END AS submit,
-    (stage = 'improve' AND arm = '4') AS is_child
+    (stage = 'improve' AND arm = 'ablate') AS is_child
   FROM ledger0)"""

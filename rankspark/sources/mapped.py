@@ -109,7 +109,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         key.alias("node_id"),
         F.when(i > 0, key - i + F.floor((i - 1) / 2)).cast("long").alias("parent_id"),
         stage.alias("stage"),
-        (cust % 10).cast("string").alias("arm"),
+        F.when(cust % 10 == 4, "ablate").otherwise((cust % 10).cast("string")).alias("arm"),
         config.alias("config"),
         F.when(cust % 4 == 0, "h1").otherwise("h0").alias("source_hash"),
         (key % 3).cast("int").alias("seed"),
