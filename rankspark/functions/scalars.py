@@ -24,7 +24,7 @@ IGNORED_KEYS = [
     "eval_user_frac",
 ]
 
-# Config values are JSON scalars as text, so strings keep their quotes.
+# Config values are JSON scalars as text: strings keep their quotes, whole numbers have no fraction.
 CONFIG_DEFAULTS = {
     "loss": '"logloss"',
     "seq_mode": '"none"',
@@ -45,15 +45,15 @@ CONFIG_DEFAULTS = {
     "gbm_leaves": "31",
     "gbm_rounds": "80",
     "gbm_min_data": "20",
-    "gbm_feat_frac": "1.0",
-    "gbm_bag_frac": "1.0",
+    "gbm_feat_frac": "1",
+    "gbm_bag_frac": "1",
     "gbm_lr": "0.05",
     "gbm_cat": '"lowcard"',
     "data_scale": '"pure"',
     "torch_device": '"auto"',
     "k": "16",
     "lr": "0.001",
-    "l2": "1e-06",
+    "l2": "1.0E-6",
     "epochs": "40",
     "batch": "8192",
     "patience": "4",
@@ -178,6 +178,19 @@ def token_set(c) -> Column:
 # ---- configs (MAP<STRING,STRING> of JSON scalars) -----------------------------------
 
 
+def json_scalar(text: Column) -> Column:
+    """One spelling per number, so that 16, 16.0 and 1.6e1 compare equal."""
+    number = text.try_cast("double")
+    whole = (number == F.floor(number)) & (F.abs(number) < 1e15)
+    return F.when(number.isNull(), text).when(whole, number.cast("long").cast("string")).otherwise(number.cast("string"))
+
+
+def config_map(variant) -> Column:
+    """MAP of JSON scalars from a JSON object held as VARIANT; NULL values are dropped."""
+    items = F.transform_values(_col(variant).cast("map<string,variant>"), lambda k, v: json_scalar(F.to_json(v)))
+    return F.map_filter(items, lambda k, v: v.isNotNull() & (v != "null"))
+
+
 def defaults_map() -> Column:
     pairs = [F.lit(x) for kv in CONFIG_DEFAULTS.items() for x in kv]
     return F.create_map(*pairs)

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankspark.functions import scalars as E
+from rankspark.functions.ordered import has_large_group
 from rankspark.operators import fusion as B
 from rankspark.operators import metrics as M
 from rankspark.operators.ledger import COMPLEMENT_DELTA, EPSILON, NEAR_TOP_EPS, RUN, best_node, is_good, is_timeout, submit_score, yes
+from rankspark.session import cut_lineage
 
 # ---- fixed values ----
 SCREEN_DELTA = 0.001
@@ -114,18 +116,23 @@ def pick_candidate(cands: DataFrame, eps: float = EPSILON) -> DataFrame:
     return near.agg(F.max_by(F.struct(*cols), F.struct(-F.col("n_flags"), "score", "robust")).alias("_r")).select("_r.*")
 
 
-def bag_candidates(scores: DataFrame, members: DataFrame, chunked: bool | None = None) -> DataFrame:
-    """Identities with at least two seed packs: bag primary, robust (weaker half) score and flag count.
+def identity_bags(scores: DataFrame, members: DataFrame, chunked: bool | None = None) -> DataFrame:
+    """Rank-averaged scores of every identity with at least two seed packs, written once."""
+    enough = members.groupBy("identity").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") >= 2)
+    tagged = scores.join(members.select("model_id", "identity"), "model_id").join(enough.select("identity"), "identity", "left_semi")
+    return cut_lineage(B.rank_average(tagged, group=F.col("identity"), chunked=chunked))
+
+
+def bag_candidates(bags: DataFrame, members: DataFrame, chunked: bool | None = None) -> DataFrame:
+    """Per identity bag: primary, robust (weaker half) score and flag count.
 
     `members` maps model_id to (identity, config)."""
-    enough = members.groupBy("identity").agg(F.count(F.lit(1)).alias("_k"), F.first("config").alias("config")).where(F.col("_k") >= 2)
-    tagged = scores.join(members.select("model_id", "identity"), "model_id").join(enough.select("identity"), "identity", "left_semi")
-    bags = B.rank_average(tagged, group=F.col("identity"), chunked=chunked)
+    configs = members.groupBy("identity").agg(F.first("config").alias("config"))
     primary = M.ranking_metrics(bags, chunked=chunked).select("model_id", F.col("primary").alias("score"))
     halves = M.half_primaries(bags, chunked).select("model_id", F.least("primary_front", "primary_back").alias("robust"))
     return (
         primary.join(halves, "model_id", "left")
-        .join(enough.select(F.col("identity").alias("model_id"), "config"), "model_id")
+        .join(configs.select(F.col("identity").alias("model_id"), "config"), "model_id")
         .select(
             F.col("model_id").alias("candidate"),
             "score",
@@ -136,9 +143,9 @@ def bag_candidates(scores: DataFrame, members: DataFrame, chunked: bool | None =
     )
 
 
-def blend_candidates(scores: DataFrame, members: DataFrame, bags: DataFrame, chunked: bool | None = None) -> DataFrame | None:
+def blend_candidates(fused: DataFrame, members: DataFrame, bags: DataFrame, chunked: bool | None = None) -> DataFrame | None:
     """Blends of the best bag with every other bag in the window that shares no leak-prone flag and clears
-    the best bag by two standard errors. The bag table has one row per identity and is read here."""
+    the best bag by two standard errors. The candidate table has one row per identity and is read here."""
     ranked = bags.orderBy(F.col("score").desc(), "candidate").select("candidate", "score").collect()
     if len(ranked) < 2:
         return None
@@ -146,8 +153,6 @@ def blend_candidates(scores: DataFrame, members: DataFrame, bags: DataFrame, chu
     near = [r for r in ranked if r["score"] >= best - NEAR_TOP_EPS]
     window = NEAR_TOP_EPS if len(near) >= 2 else COMPLEMENT_DELTA
     configs = members.groupBy("identity").agg(F.first("config").alias("config"))
-    tagged = scores.join(members.select("model_id", "identity"), "model_id")
-    fused = B.rank_average(tagged, group=F.col("identity"), chunked=chunked)
     parts = []
     for row in ranked[1:]:
         other = row["candidate"]
@@ -159,9 +164,11 @@ def blend_candidates(scores: DataFrame, members: DataFrame, bags: DataFrame, chu
         flags = pair.select(E.extra_flag_count(E.overlay("_a", "_b")).alias("n_flags")).first()
         if flags is None:
             continue
-        sides = B.pair_scores(fused, top, other)
+        sides = cut_lineage(B.pair_scores(fused, top, other))
         point = B.sweep_blend(sides, chunked).first()
-        mixed = B.apply_blend(sides, point["blend_alpha"], point["blend_gamma"]).withColumn("model_id", F.lit("blend"))
+        mixed = cut_lineage(
+            B.apply_blend(sides, point["blend_alpha"], point["blend_gamma"]).withColumn("model_id", F.lit("blend"))
+        )
         base = sides.select(F.lit("bag").alias("model_id"), "row_id", "user_id", "label", F.col("s_a").alias("score"), "date")
         both = mixed.unionByName(base)
         per_user = M.user_metrics(both, chunked=chunked)
@@ -182,6 +189,9 @@ def blend_candidates(scores: DataFrame, members: DataFrame, bags: DataFrame, chu
 
 def pick_final(scores: DataFrame, members: DataFrame, eps: float = EPSILON, chunked: bool | None = None) -> DataFrame:
     """The submission: seed bags and admissible blends, by robust score, parsimony and score."""
-    bags = bag_candidates(scores, members, chunked)
-    blends = blend_candidates(scores, members, bags, chunked)
+    if chunked is None:
+        chunked = has_large_group(scores, ["model_id", "user_id"])
+    fused = identity_bags(scores, members, chunked)
+    bags = cut_lineage(bag_candidates(fused, members, chunked))
+    blends = blend_candidates(fused, members, bags, chunked)
     return pick_candidate(bags if blends is None else bags.unionByName(blends), eps)

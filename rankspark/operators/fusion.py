@@ -11,6 +11,7 @@ from rankspark.functions.ordered import has_large_group, positions
 from rankspark.functions.scalars import log1p_score
 from rankspark.operators import metrics as M
 from rankspark.operators.itemcf import BLEND_GRID
+from rankspark.session import cut_lineage
 
 # Fixed values of the fusion rules.
 SWEEP_ALPHAS = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
@@ -236,11 +237,12 @@ def complementary_blend(scores: DataFrame, members: DataFrame, replicates: int =
     means = members.groupBy("identity").agg(F.avg("primary").alias("_m"))
     best = means.orderBy(F.col("_m").desc(), "identity").first()["identity"]
     tagged = scores.join(members.select("model_id", "identity"), "model_id")
-    bags = rank_average(tagged, group=F.col("identity"), chunked=chunked)
+    # Several jobs read the bags, so they are written once.
+    bags = cut_lineage(rank_average(tagged, group=F.col("identity"), chunked=chunked))
     agree = M.topk_agreement(bags, best, 1)
     row = agree.orderBy("top1_agree", "model_id").first()
     partner, top1 = row["model_id"], row["top1_agree"]
-    pairs = pair_scores(bags, best, partner)
+    pairs = cut_lineage(pair_scores(bags, best, partner))
     sweep = sweep_blend(pairs, chunked)
     point = sweep.first()
     fused = apply_blend(pairs, point["blend_alpha"], point["blend_gamma"]).withColumn("model_id", F.lit("blend"))

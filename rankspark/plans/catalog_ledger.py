@@ -619,7 +619,8 @@ cand AS (SELECT br.model_id AS candidate, br."primary" AS score, (SELECT min("pr
     f"WITH {SCORES}, {LEDGER}, {BAGS} SELECT candidate, round(score, 9) AS score, round(robust, 9) AS robust, CAST(n_flags AS BIGINT) AS n_flags FROM cand",
 )
 def bag_candidates(spark, sf):
-    return tidy(D.bag_candidates(score_table(spark, sf), _members(spark, sf)).drop("kind"))
+    members = _members(spark, sf)
+    return tidy(D.bag_candidates(D.identity_bags(score_table(spark, sf), members), members).drop("kind"))
 
 
 @query("pick_final")

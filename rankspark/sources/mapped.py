@@ -25,7 +25,11 @@ def _millis(ts):
 
 def raw_impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Impressions of all splits, labels still visible."""
-    ev = table(spark, sf_dir, "events")
+    return map_events(table(spark, sf_dir, "events"))
+
+
+def map_events(ev: DataFrame) -> DataFrame:
+    """The impression columns of an events table or stream."""
     video = F.get_json_object("props", "$.k").cast("int")
     date = F.date_format("ts", "yyyyMMdd").cast("int")
     base = ev.select(
