@@ -11,7 +11,7 @@ from rankspark.functions.ordered import has_large_group, positions
 from rankspark.functions.scalars import log1p_score
 from rankspark.operators import metrics as M
 from rankspark.operators.itemcf import BLEND_GRID
-from rankspark.session import cut_lineage
+from rankspark.session import cut_lineage, shuffle_width
 
 # Fixed values of the fusion rules.
 SWEEP_ALPHAS = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
@@ -28,19 +28,32 @@ def _scaled(df: DataFrame, by: list[str], aggs: list[Column]) -> DataFrame:
     return df.crossJoin(F.broadcast(df.agg(*aggs)))
 
 
+def _zscored(df: DataFrame, cols: dict[str, str], by: list[str]) -> DataFrame:
+    """Several columns standardised from one aggregation; 0 where a column is constant."""
+    aggs = [f(c).alias(f"{p}{c}") for c in cols for f, p in ((F.avg, "_m_"), (F.stddev_pop, "_s_"))]
+    out = _scaled(df, by, aggs)
+    for c, name in cols.items():
+        m, s = F.col(f"_m_{c}"), F.col(f"_s_{c}")
+        out = out.withColumn(name, F.when(s < 1e-12, 0.0).otherwise((F.col(c) - m) / s))
+    return out.drop(*[f"{p}{c}" for c in cols for p in ("_m_", "_s_")])
+
+
+def _ranged(df: DataFrame, cols: dict[str, str], by: list[str]) -> DataFrame:
+    """Several columns scaled to [0, 1] from one aggregation; 0 where a column is constant."""
+    aggs = [f(c).alias(f"{p}{c}") for c in cols for f, p in ((F.min, "_lo_"), (F.max, "_hi_"))]
+    out = _scaled(df, by, aggs)
+    for c, name in cols.items():
+        lo, width = F.col(f"_lo_{c}"), F.col(f"_hi_{c}") - F.col(f"_lo_{c}")
+        out = out.withColumn(name, F.when(width <= 1e-12, 0.0).otherwise((F.col(c) - lo) / width))
+    return out.drop(*[f"{p}{c}" for c in cols for p in ("_lo_", "_hi_")])
+
+
 def zscore(df: DataFrame, col: str, out: str, by: list[str] = []) -> DataFrame:
-    stats = _scaled(df, by, [F.avg(col).alias("_m"), F.stddev_pop(col).alias("_s")])
-    return stats.withColumn(out, F.when(F.col("_s") < 1e-12, 0.0).otherwise((F.col(col) - F.col("_m")) / F.col("_s"))).drop(
-        "_m", "_s"
-    )
+    return _zscored(df, {col: out}, by)
 
 
 def minmax(df: DataFrame, col: str, out: str, by: list[str] = []) -> DataFrame:
-    stats = _scaled(df, by, [F.min(col).alias("_lo"), F.max(col).alias("_hi")])
-    width = F.col("_hi") - F.col("_lo")
-    return stats.withColumn(out, F.when(width <= 1e-12, 0.0).otherwise((F.col(col) - F.col("_lo")) / width)).drop(
-        "_lo", "_hi"
-    )
+    return _ranged(df, {col: out}, by)
 
 
 def rank_average(scores: DataFrame, models: list[str] | None = None, group: Column | None = None,
@@ -71,19 +84,20 @@ def blend(z1: Column, z2: Column, alpha: Column, gamma: Column) -> Column:
 
 
 def apply_blend(pairs: DataFrame, alpha: float, gamma: float) -> DataFrame:
-    z = minmax(minmax(pairs, "s_a", "_z1"), "s_b", "_z2")
+    z = _ranged(pairs, {"s_a": "_z1", "s_b": "_z2"}, [])
     score = blend(F.col("_z1"), F.col("_z2"), F.lit(float(alpha)), F.lit(float(gamma)))
     return z.select("row_id", "user_id", "label", "date", score.alias("score"))
 
 
-def grid_metrics(rows: DataFrame, grid: DataFrame, score: Column, by: list[str], chunked: bool | None = None) -> DataFrame:
-    """Ranking metrics of one score expression at every grid point. Rows are placed by user first, so the
-    expanded grid is sorted where it lies instead of being shuffled."""
+def grid_metrics(rows: DataFrame, grid: DataFrame, score: Column, chunked: bool | None = None) -> DataFrame:
+    """Ranking metrics of one score expression at every grid point (`grid_idx` plus its parameters). Rows are
+    placed by user first, so the expanded grid is sorted where it lies instead of being shuffled."""
     if chunked is None:
         chunked = has_large_group(rows, ["user_id"])
-    placed = rows if chunked else rows.repartition("user_id")
-    wide = placed.crossJoin(F.broadcast(grid)).withColumn("score", score)
-    return M.ranking_metrics(wide, by, chunked=chunked)
+    placed = rows if chunked else rows.repartition(shuffle_width(rows.sparkSession), "user_id")
+    points = F.broadcast(grid)  # a few dozen fixed rows
+    wide = placed.crossJoin(points).select("grid_idx", "user_id", "row_id", "label", score.alias("score"))
+    return M.ranking_metrics(wide, ["grid_idx"], chunked=chunked).join(points, "grid_idx")
 
 
 def sweep_grid(spark) -> DataFrame:
@@ -92,10 +106,10 @@ def sweep_grid(spark) -> DataFrame:
 
 
 def sweep_metrics(pairs: DataFrame, chunked: bool | None = None) -> DataFrame:
-    z = minmax(minmax(pairs, "s_a", "_z1"), "s_b", "_z2")
+    z = _ranged(pairs, {"s_a": "_z1", "s_b": "_z2"}, [])
     score = blend(F.col("_z1"), F.col("_z2"), F.col("alpha"), F.col("gamma"))
     rows = z.select("row_id", "user_id", "label", "_z1", "_z2")
-    return grid_metrics(rows, sweep_grid(pairs.sparkSession), score, ["grid_idx", "alpha", "gamma"], chunked)
+    return grid_metrics(rows, sweep_grid(pairs.sparkSession), score, chunked)
 
 
 def first_best(df: DataFrame, value: str, order: str) -> DataFrame:
@@ -113,10 +127,10 @@ def sweep_blend(pairs: DataFrame, chunked: bool | None = None) -> DataFrame:
 
 def alpha_metrics(rows: DataFrame, chunked: bool | None = None) -> DataFrame:
     """Metrics of z(s_a) + alpha * z(log1p(s_b)) for every alpha of the fixed grid."""
-    z = zscore(zscore(rows.withColumn("_lb", log1p_score("s_b")), "s_a", "_z1"), "_lb", "_z2")
+    z = _zscored(rows.withColumn("_lb", log1p_score("s_b")), {"s_a": "_z1", "_lb": "_z2"}, [])
     grid = rows.sparkSession.createDataFrame(list(enumerate(BLEND_GRID)), "grid_idx int, alpha double")
     score = F.col("_z1") + F.col("alpha") * F.col("_z2")
-    return grid_metrics(z.select("row_id", "user_id", "label", "_z1", "_z2"), grid, score, ["grid_idx", "alpha"], chunked)
+    return grid_metrics(z.select("row_id", "user_id", "label", "_z1", "_z2"), grid, score, chunked)
 
 
 def pick_alpha(rows: DataFrame, chunked: bool | None = None) -> DataFrame:

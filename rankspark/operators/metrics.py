@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankspark.functions.ordered import has_large_group, lower_bound, order_bounds, positions, prefix_sums
+from rankspark.session import shuffle_width
 
 MODEL = ["model_id"]
 
@@ -39,14 +40,17 @@ def user_metrics(scores: DataFrame, by: list[str] = MODEL, k: int = 5, chunked:
     gain = F.col("label").cast("double")
     if chunked:
         return _user_metrics_chunked(scores, keys, k)
+    # One sort serves all: ties and ranks read a prefix of the first window's order, and the descending
+    # position is the list length minus the ascending one.
+    placed = Window.partitionBy(*keys).orderBy("score", F.col("row_id").desc())
     asc = Window.partitionBy(*keys).orderBy("score")
-    tie = Window.partitionBy(*keys, "score")
-    head = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "row_id")
-    ranked = scores.select(
+    ordered = scores.select(*keys, "label", "score", F.row_number().over(placed).alias("_rn"))
+    peers = F.count(F.lit(1)).over(asc.rangeBetween(Window.currentRow, Window.currentRow))
+    ranked = ordered.select(
         *keys,
         "label",
-        (F.rank().over(asc) + (F.count(F.lit(1)).over(tie) - 1) / 2.0).alias("_mid"),
-        F.row_number().over(head).alias("_pos"),
+        (F.rank().over(asc) + (peers - 1) / 2.0).alias("_mid"),
+        (F.count(F.lit(1)).over(Window.partitionBy(*keys)) - F.col("_rn") + 1).alias("_pos"),
     )
     pos = F.sum(gain)
     agg = ranked.groupBy(*keys).agg(
@@ -169,21 +173,27 @@ def poisson_weights(users: DataFrame, replicates: int, seed: int) -> DataFrame:
         p /= i + 1
     block = users.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 4))))
     digest = F.md5(F.concat_ws("|", F.col("user_id").cast("string"), F.lit(str(seed)), F.col("_b").cast("string")))
-    draws = block.select(*users.columns, "_b", digest.alias("_h")).withColumn("_q", F.explode(F.lit([0, 1, 2, 3])))
-    u = F.conv(F.substr("_h", F.col("_q") * 8 + 1, F.lit(8)), 16, 10).cast("double") / F.lit(4294967296.0)
-    weight = sum([(u >= c).cast("int") for c in cumulative[1:]], (u >= cumulative[0]).cast("int"))
-    return (
-        draws.select(*users.columns, (F.col("_b") * 4 + F.col("_q")).alias("rep"), weight.alias("w"))
-        .where((F.col("rep") < replicates) & (F.col("w") > 0))
-    )
+    hashed = block.withColumn("_h", digest)
+    cells = [
+        F.struct((F.col("_b") * 4 + q).alias("rep"), F.conv(F.substring("_h", 8 * q + 1, 8), 16, 10).cast("double").alias("u"))
+        for q in range(4)
+    ]
+    draws = hashed.select(*users.columns, F.inline(F.array(*cells))).withColumn("u", F.col("u") / F.lit(4294967296.0))
+    # Draws under the first bound have weight 0 and leave before the other bounds are compared.
+    kept = draws.where((F.col("rep") < replicates) & (F.col("u") >= cumulative[0]))
+    weight = sum([(F.col("u") >= c).cast("int") for c in cumulative[1:]], F.lit(1))
+    return kept.select(*users.columns, "rep", weight.alias("w"))
 
 
 def bootstrap_replicates(pairs: DataFrame, replicates: int = 500, seed: int = 0) -> DataFrame:
-    """Δprimary of every resample, from per-user statistics only (no score rows are copied)."""
-    both = pairs.select(
-        "model_id", "user_id", "n_pos", "auc", "ndcg", "n_pos_inc", "auc_inc", "ndcg_inc"
-    )
-    drawn = poisson_weights(both, replicates, seed)
+    """Δprimary of every resample, from per-user statistics only (no score rows are copied).
+
+    A user's candidates travel together (one entry per model), so the weights are drawn once per user. The
+    fixed partition count keeps small user tables from being merged into one task before they expand."""
+    entry = F.struct("model_id", "n_pos", "auc", "ndcg", "n_pos_inc", "auc_inc", "ndcg_inc")
+    placed = pairs.repartition(shuffle_width(pairs.sparkSession), "user_id")
+    packed = placed.groupBy("user_id").agg(F.collect_list(entry).alias("_m"))
+    drawn = poisson_weights(packed, replicates, seed).select("rep", "w", F.inline("_m"))
     w = F.col("w").cast("double")
 
     def sums(suffix: str) -> list[Column]:

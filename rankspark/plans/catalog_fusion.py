@@ -8,6 +8,7 @@ from rankspark.operators import fusion as B
 from rankspark.operators import itemcf as C
 from rankspark.plans.catalog_metrics import BOOT, HALF, PAIRS, RM, UM, _agree_sql
 from rankspark.plans.views import IMP, SCORES, score_table, summary_sql, tidy, train_rows, user_metrics_sql
+from rankspark.session import cut_lineage
 from rankspark.sources.mapped import impressions
 
 QUERIES, ORACLES = {}, {}
@@ -83,10 +84,15 @@ ag AS (SELECT alpha, row_id, user_id, label, round(z1 + alpha * z2, 9) AS score
 {user_metrics_sql('ag', 'alpha', 'am')}, {summary_sql('am', 'alpha', 'ar')}"""
 
 
+def _pairs(spark, sf):
+    """Two score packs side by side, written once as a trial's packs are."""
+    return cut_lineage(B.pair_scores(score_table(spark, sf), "m0", "m3"))
+
+
 def _cf_pairs(spark, sf):
     cf = C.item_cf_scores(impressions(spark, sf), "valid").select("row_id", F.col("cf").alias("s_b"))
     m0 = score_table(spark, sf).where(F.col("model_id") == "m0")
-    return m0.select("row_id", "user_id", "label", "date", F.col("score").alias("s_a")).join(cf, "row_id")
+    return cut_lineage(m0.select("row_id", "user_id", "label", "date", F.col("score").alias("s_a")).join(cf, "row_id"))
 
 
 @query(
@@ -124,7 +130,7 @@ SWEEP = f"""s0 AS (SELECT * FROM scores WHERE model_id = 'm0'), s3 AS (SELECT *
     f"""WITH {SCORES}, {SWEEP} SELECT alpha, gamma, n_users, round(gauc, 7) AS gauc, round(ndcg5, 7) AS ndcg5, round("primary", 7) AS "primary" FROM grm""",
 )
 def blend_sweep_grid(spark, sf):
-    return tidy(B.sweep_metrics(B.pair_scores(score_table(spark, sf), "m0", "m3")).drop("grid_idx"), 7)
+    return tidy(B.sweep_metrics(_pairs(spark, sf)).drop("grid_idx"), 7)
 
 
 @query(
@@ -133,7 +139,7 @@ def blend_sweep_grid(spark, sf):
     FROM grm ORDER BY grm."primary" DESC, alpha, gamma LIMIT 1""",
 )
 def sweep_blend(spark, sf):
-    return tidy(B.sweep_blend(B.pair_scores(score_table(spark, sf), "m0", "m3")), 7)
+    return tidy(B.sweep_blend(_pairs(spark, sf)), 7)
 
 
 @query(
@@ -141,7 +147,7 @@ def sweep_blend(spark, sf):
     f"""WITH {SCORES}, {SWEEP} SELECT row_id, round((1.0 - 0.3) * z1 + 0.3 * z2 + 0.1 * z1 * z2, 9) AS score FROM pz""",
 )
 def apply_blend(spark, sf):
-    return tidy(B.apply_blend(B.pair_scores(score_table(spark, sf), "m0", "m3"), 0.3, 0.1).select("row_id", "score"))
+    return tidy(B.apply_blend(_pairs(spark, sf), 0.3, 0.1).select("row_id", "score"))
 
 
 # A copy of m0 that keeps its order (m0b) is dropped by the filter; the others stay.
@@ -150,7 +156,7 @@ DIV = """sc2 AS (SELECT model_id, row_id, user_id, label, score FROM scores UNIO
 
 
 def _with_copy(spark, sf):
-    s = score_table(spark, sf)
+    s = cut_lineage(score_table(spark, sf))
     copy = s.where(F.col("model_id") == "m0").withColumn("model_id", F.lit("m0b")).withColumn("score", F.col("score") * 2 + 1)
     return s.unionByName(copy)
 
@@ -209,7 +215,7 @@ ORACLES["diversity_filter"] = f"""WITH c AS (SELECT left_id AS l, right_id AS r
     JOIN bt ON bt.model_id = m.model_id JOIN hp a ON a.model_id = m.model_id JOIN hp b ON b.model_id = 'm0' WHERE m.model_id <> 'm0'""",
 )
 def compare_all(spark, sf):
-    out = B.compare_all(score_table(spark, sf), "m0")
+    out = B.compare_all(cut_lineage(score_table(spark, sf)), "m0")
     return tidy(
         out.select(
             "model_id", "delta_primary", "delta_gauc", "delta_ndcg", "n_users", "mean_user_delta", "spearman", "top1_agree",
@@ -248,5 +254,5 @@ IDENTITY = {"m0": ("a", 0.61), "m1": ("b", 0.58), "m2": ("c", 0.59), "m3": ("b",
 )
 def complementary_blend(spark, sf):
     members = spark.createDataFrame([(m, i, p) for m, (i, p) in IDENTITY.items()], "model_id string, identity string, primary double")
-    out = B.complementary_blend(score_table(spark, sf), members)
+    out = B.complementary_blend(cut_lineage(score_table(spark, sf)), members)
     return tidy(out.select("best_identity", "partner", "blend_top1", "bag_primary", "blend_primary"), 7)

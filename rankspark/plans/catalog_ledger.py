@@ -9,6 +9,7 @@ from rankspark.operators import decisions as D
 from rankspark.operators import ledger as L
 from rankspark.plans.catalog_metrics import RM, UM
 from rankspark.plans.views import LEDGER, SCORES, score_table, summary_sql, tidy, user_metrics_sql
+from rankspark.session import cut_lineage
 from rankspark.sources.mapped import ledger, table
 
 QUERIES, ORACLES = {}, {}
@@ -625,4 +626,4 @@ def bag_candidates(spark, sf):
 
 @query("pick_final")
 def pick_final(spark, sf):
-    return tidy(D.pick_final(score_table(spark, sf), _members(spark, sf)), 7)
+    return tidy(D.pick_final(cut_lineage(score_table(spark, sf)), _members(spark, sf)), 7)

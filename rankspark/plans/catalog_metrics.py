@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankspark.operators import metrics as M
-from rankspark.plans.views import SCORES, score_table, summary_sql, tidy, u_sql, user_metrics_sql
+from rankspark.plans.views import SCORES, score_table, summary_sql, tidy, user_metrics_sql
+from rankspark.session import cut_lineage
 
 QUERIES, ORACLES = {}, {}
 
@@ -140,7 +141,7 @@ hp AS (SELECT model_id, max(CASE WHEN half = 'front' THEN "primary" END) AS pf,
     f"WITH {SCORES}, {HALF} SELECT model_id, round(pf, 9) AS primary_front, round(pb, 9) AS primary_back FROM hp",
 )
 def half_primaries(spark, sf):
-    return tidy(M.half_primaries(score_table(spark, sf)))
+    return tidy(M.half_primaries(cut_lineage(score_table(spark, sf))))
 
 
 @query(
@@ -150,7 +151,7 @@ def half_primaries(spark, sf):
     FROM hp a JOIN hp b ON b.model_id = 'm0' WHERE a.model_id <> 'm0'""",
 )
 def temporal_halves(spark, sf):
-    return tidy(M.temporal_halves(score_table(spark, sf), "m0"))
+    return tidy(M.temporal_halves(cut_lineage(score_table(spark, sf)), "m0"))
 
 
 RANKS = """rk AS (SELECT model_id, row_id, row_number() OVER (PARTITION BY model_id ORDER BY score, row_id) - 1 AS r FROM scores)"""
@@ -162,7 +163,7 @@ RANKS = """rk AS (SELECT model_id, row_id, row_number() OVER (PARTITION BY model
     FROM rk a JOIN rk b ON a.row_id = b.row_id AND b.model_id = 'm0' WHERE a.model_id <> 'm0' GROUP BY 1""",
 )
 def spearman(spark, sf):
-    return tidy(M.spearman(score_table(spark, sf), "m0"))
+    return tidy(M.spearman(cut_lineage(score_table(spark, sf)), "m0"))
 
 
 @query("ordinal_rank", f"WITH {SCORES}, {RANKS} SELECT model_id, row_id, r AS rk FROM rk")
@@ -186,7 +187,7 @@ def _agree_sql(k: int) -> str:
     round(ag2.agree, 9) AS top2_agree FROM ag1 JOIN ag2 USING (model_id)""",
 )
 def topk_agreement(spark, sf):
-    s = score_table(spark, sf)
+    s = cut_lineage(score_table(spark, sf))
     return tidy(M.topk_agreement(s, "m0", 1).join(M.topk_agreement(s, "m0", 2), "model_id"))
 
 

@@ -46,6 +46,13 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """Redistribute a file table that comes in fewer splits than there are cores, before heavy expressions.
+    Large tables have more splits than cores and stay where they are."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; a scratch folder only on a local master."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

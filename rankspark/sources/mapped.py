@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankspark.functions.scalars import UNKNOWN_AUTHOR, uniform
+from rankspark.session import spread
 
 TRAIN_LAST_DAY = 20240114
 VALID_LAST_DAY = 20240121
@@ -151,7 +152,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def error_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     return d.select(
         F.col("doc_id").alias("trial_id"), F.col("text").alias("message"), (F.col("doc_id") % 4 != 0).alias("success")
     )
