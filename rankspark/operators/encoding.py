@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankspark.functions.joins import keyed_join
 from rankspark.functions.ordered import has_large_group, lower_bound, order_bounds
 from rankspark.functions.scalars import beta_rate
 from rankspark.operators import features as X
@@ -104,7 +105,7 @@ def encode(df: DataFrame, vocab: DataFrame, col: str, out: str, offset: Column |
     size = vocab.agg(F.count(F.lit(1)).cast("int").alias("_unk"))
     ids = vocab.select(F.col("value").alias("_w"), F.col("id").alias("_id"))
     start = F.lit(offset) if isinstance(offset, int) else offset
-    joined = df.join(ids, F.col(col).cast("string") == F.col("_w"), "left").crossJoin(F.broadcast(size))
+    joined = keyed_join(df.withColumn("_w", F.col(col).cast("string")), ids, ["_w"]).crossJoin(F.broadcast(size))
     return joined.withColumn(out, F.coalesce("_id", "_unk") + start).drop("_w", "_id", "_unk")
 
 
@@ -169,7 +170,7 @@ def recency_columns(sdf: DataFrame, chunked: bool | None = None) -> DataFrame:
     )
     out = X.decay(train_only, ["user_id"], X.HALFLIFE)
     tab = X.daily_decay(train_only, ["user_id", "tab"], X.TAB_HALFLIFE, pos_only=True)
-    out = out.join(tab.withColumnRenamed("decay_pos", "tab_decay"), ["user_id", "tab", "date"], "left")
+    out = keyed_join(out, tab.withColumnRenamed("decay_pos", "tab_decay"), ["user_id", "tab", "date"], large=has_large_group(sdf, ["user_id", "tab", "date"]))
     out = X.momentum(out, chunked=chunked)
     return (
         out.withColumn("decay_rate", beta_rate("decay_pos", "decay_tot"))

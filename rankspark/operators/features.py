@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankspark.functions.joins import keyed_join
 from rankspark.functions.ordered import (
     CHUNK,
     chunk_tails,
@@ -28,8 +29,10 @@ MS_PER_DAY = 86400000.0
 
 
 def with_author(sdf: DataFrame, dim: DataFrame) -> DataFrame:
-    """Left lookup of the author; the join strategy is left to the optimizer's size estimate."""
-    return sdf.join(dim, "video_id", "left").withColumn("author_id", F.coalesce("author_id", F.lit(UNKNOWN_AUTHOR)))
+    """Left lookup of the author; the join strategy is left to the optimizer's size estimate. A stream cannot
+    be measured beforehand and takes the plain join."""
+    joined = sdf.join(dim, "video_id", "left") if sdf.isStreaming else keyed_join(sdf, dim, ["video_id"])
+    return joined.withColumn("author_id", F.coalesce("author_id", F.lit(UNKNOWN_AUTHOR)))
 
 
 # ---- rates -------------------------------------------------------------------------
@@ -67,7 +70,7 @@ def lookup_rates(rows: DataFrame, train: DataFrame, keys: list[str], loo: bool =
     out = rows.crossJoin(global_rate(train))
     for key in keys:
         name = key.removesuffix("_id")
-        out = out.join(_key_counts(train, key), key, "left")
+        out = keyed_join(out, _key_counts(train, key), [key], large=has_large_group(rows, [key]))
         y = F.col("long_view").cast("double") if loo else None
         rate = loo_rate(F.col(f"_{key}_cnt"), F.col(f"_{key}_pos"), F.col("p_global"), y)
         out = out.withColumn(f"{name}_rate", rate).drop(f"_{key}_cnt", f"_{key}_pos")
@@ -135,7 +138,7 @@ def daily_decay(sdf: DataFrame, keys: list[str], halflife: float, pos_only: bool
 
 def decay(sdf: DataFrame, keys: list[str] = ["user_id"], halflife: float = HALFLIFE, pos_only: bool = False) -> DataFrame:
     """Day-blind exponential decay joined back to the rows."""
-    return sdf.join(daily_decay(sdf, keys, halflife, pos_only), [*keys, "date"], "left")
+    return keyed_join(sdf, daily_decay(sdf, keys, halflife, pos_only), [*keys, "date"])
 
 
 def asof_decay(sdf: DataFrame, halflife: float = HALFLIFE, keys: list[str] = ["user_id"]) -> DataFrame:
@@ -151,7 +154,7 @@ def asof_decay(sdf: DataFrame, halflife: float = HALFLIFE, keys: list[str] = ["u
         .agg(F.sum(aged * F.col("long_view")).alias("_p"), F.sum(aged).alias("_t"), F.max("_end").alias("_end"))
     )
     since = F.pow(F.lit(rate), (day_ordinal("date") - F.col("_end")).cast("double"))
-    rest = sdf.where(F.col("split") != "train").join(state, keys, "left")
+    rest = keyed_join(sdf.where(F.col("split") != "train"), state, keys)
     return rest.withColumn("decay_pos", F.coalesce(F.col("_p") * since, F.lit(0.0))).withColumn(
         "decay_tot", F.coalesce(F.col("_t") * since, F.lit(0.0))
     ).drop("_p", "_t", "_end")
@@ -266,7 +269,7 @@ def list_quantile(df: DataFrame, value: str, out: str = "list_q", by: list[str]
 def _with_size(df: DataFrame, source: DataFrame, by: list[str], out: str, chunked: bool) -> DataFrame:
     if not chunked:
         return df.withColumn(out, F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    return df.join(source.groupBy(*by).agg(F.count(F.lit(1)).alias(out)), by)
+    return keyed_join(df, source.groupBy(*by).agg(F.count(F.lit(1)).alias(out)), by, large=True)
 
 
 def list_length(sdf: DataFrame, by: list[str] = ["split", "user_id"], out: str = "list_len",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankspark.functions.joins import keyed_join
+
 BLOCK = 1000
 BLEND_GRID = [0.0, 0.25, 0.5, 1.0, 2.0]
 
@@ -54,4 +56,4 @@ def item_cf_scores(sdf: DataFrame, split: str, block: int = BLOCK) -> DataFrame:
         popularity(train).withColumnRenamed("video_id", "v"), "v", "left"
     )
     cf = (F.coalesce("pop", F.lit(0)) + F.coalesce("_co", F.lit(0))).cast("double").alias("cf")
-    return rows.join(scored.select("user_id", F.col("v").alias("video_id"), cf), ["user_id", "video_id"])
+    return keyed_join(rows, scored.select("user_id", F.col("v").alias("video_id"), cf), ["user_id", "video_id"], "inner")

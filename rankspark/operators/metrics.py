@@ -230,9 +230,10 @@ def paired_bootstrap(pairs: DataFrame, replicates: int = 500, seed: int = 0, min
 
 def with_halves(scores: DataFrame, by: list[str] = MODEL) -> DataFrame:
     """Front/back half of each model's rows: cut at the number of rows dated up to the median date,
-    or in the middle when that leaves a side under 16 rows; models under 32 rows are dropped."""
+    or in the middle when that leaves a side under 16 rows; models under 32 rows are dropped. The broadcast
+    tables hold one row per compared model."""
     med = scores.groupBy(*by).agg(F.percentile("date", F.lit(0.5)).alias("_mid"), F.count(F.lit(1)).alias("_n"))
-    dated = scores.join(med, by).where(F.col("_n") >= 32)
+    dated = scores.join(F.broadcast(med), by).where(F.col("_n") >= 32)
     cut = dated.groupBy(*by).agg(
         F.sum((F.col("date") <= F.col("_mid")).cast("long")).alias("_f"), F.first("_n").alias("_n")
     )
@@ -240,7 +241,7 @@ def with_halves(scores: DataFrame, by: list[str] = MODEL) -> DataFrame:
     uneven = (F.col("_f") < 16) | (F.col("_n") - F.col("_f") < 16)
     cut = cut.select(*by, F.when(uneven, half).otherwise(F.col("_f")).alias("_cut"))
     placed = prefix_sums(scores, by, ["row_id"], {"_at": F.lit(1.0)}, chunked=True)
-    return placed.join(cut, by).withColumn("half", F.when(F.col("_at") < F.col("_cut"), "front").otherwise("back")).drop(
+    return placed.join(F.broadcast(cut), by).withColumn("half", F.when(F.col("_at") < F.col("_cut"), "front").otherwise("back")).drop(
         "_at", "_cut"
     )
 

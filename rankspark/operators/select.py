@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankspark.functions.joins import keyed_join
 from rankspark.functions.ordered import positions, prefix_sums
 from rankspark.functions.scalars import uniform
 
@@ -65,13 +66,13 @@ def sample_users(df: DataFrame, frac: float, seed: int) -> DataFrame:
     users = df.select("user_id").distinct().withColumn("_u", uniform("user_id", seed)).withColumn("_t", F.xxhash64("user_id"))
     total = users.agg(F.greatest(F.lit(1), F.bround(F.count(F.lit(1)) * F.lit(frac), 0)).alias("_k"))
     ranked = positions(users, [], "_u", "_p", tie="_t", chunked=True).crossJoin(F.broadcast(total))
-    return df.join(ranked.where(F.col("_p") < F.col("_k")).select("user_id"), "user_id", "left_semi")
+    return keyed_join(df, ranked.where(F.col("_p") < F.col("_k")).select("user_id"), ["user_id"], "left_semi")
 
 
 def drop_singletons(df: DataFrame) -> DataFrame:
     """Rows of users with at least two impressions: the (few) users to keep out are anti-joined."""
     single = df.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < 2)
-    return df.join(single, "user_id", "left_anti")
+    return keyed_join(df, single.select("user_id"), ["user_id"], "left_anti")
 
 
 def categorical_columns(df: DataFrame, columns: list[str], mode: str = "lowcard", limit: int = 1000,

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rankspark.functions.joins import keyed_join
 from rankspark.functions.ordered import has_large_group, positions, prefix_sums, value_prefix_sums
 from rankspark.functions.scalars import uniform, watch_targets
 
@@ -54,7 +55,7 @@ def user_batches(df: DataFrame, batch_rows: int, seed: int, weights: DataFrame |
     keyed = weighted_user_key(sizes, weights, seed).withColumn("_t", F.xxhash64("user_id"))
     packed = value_prefix_sums(keyed, [], "key", {"_before": F.col("_n").cast("double")}, "_t", descending=True)
     batch = F.floor(F.col("_before") / batch_rows).cast("long").alias("batch_id")
-    return df.join(packed.select("user_id", batch), "user_id")
+    return keyed_join(df, packed.select("user_id", batch), ["user_id"], "inner")
 
 
 # ---- pairs -------------------------------------------------------------------------
@@ -209,10 +210,11 @@ def listwise_loss(scores: DataFrame) -> DataFrame:
     y = F.col("label").cast("double")
     head = scores.groupBy("user_id").agg(F.max("score").alias("_m"), F.sum(y).alias("_np"), F.count(F.lit(1)).alias("_n"))
     mixed = head.where((F.col("_n") >= 2) & (F.col("_np") > 0) & (F.col("_np") < F.col("_n")))
-    e = scores.join(mixed, "user_id").withColumn("_e", F.exp(F.greatest(F.col("score") - F.col("_m"), F.lit(-30.0))))
+    large = has_large_group(scores, ["user_id"])
+    e = keyed_join(scores, mixed, ["user_id"], "inner", large).withColumn("_e", F.exp(F.greatest(F.col("score") - F.col("_m"), F.lit(-30.0))))
     mass = e.groupBy("user_id").agg(F.sum("_e").alias("_z"))
     p = F.col("_e") / F.col("_z")
-    per_user = e.where(F.col("label") == 1).join(mass, "user_id").groupBy("user_id").agg(
+    per_user = keyed_join(e.where(F.col("label") == 1), mass, ["user_id"], "inner", large).groupBy("user_id").agg(
         F.sum(-F.log(p + 1e-9) / F.col("_np")).alias("_loss")
     )
     return per_user.agg(F.avg("_loss").alias("loss"), F.count(F.lit(1)).alias("n_lists"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from rankspark.functions import scalars as E
 from rankspark.operators import decisions as D
 from rankspark.operators import ledger as L
-from rankspark.plans.catalog_metrics import RM, UM
+from rankspark.plans.catalog_fusion import _sweep_sql
+from rankspark.plans.catalog_metrics import BOOT, PAIRS, RM, UM
 from rankspark.plans.views import LEDGER, SCORES, score_table, summary_sql, tidy, user_metrics_sql
 from rankspark.session import cut_lineage
 from rankspark.sources.mapped import ledger, table
@@ -624,6 +625,29 @@ def bag_candidates(spark, sf):
     return tidy(D.bag_candidates(D.identity_bags(score_table(spark, sf), members), members).drop("kind"))
 
 
-@query("pick_final")
+PICK = f"""{BAGS}, rkd AS (SELECT *, row_number() OVER (ORDER BY score DESC, candidate) AS rn, max(score) OVER () AS best FROM cand),
+bt AS (SELECT * FROM bags WHERE model_id = (SELECT candidate FROM rkd WHERE rn = 1)), bo AS (SELECT * FROM bags WHERE model_id = (SELECT candidate FROM rkd WHERE rn = 2)),
+{_sweep_sql('bt', 'bo')}, pt AS (SELECT alpha, gamma FROM grm ORDER BY grm."primary" DESC, alpha, gamma LIMIT 1),
+fz AS (SELECT 'blend' AS model_id, row_id, user_id, label, date, (1.0 - alpha) * z1 + alpha * z2 + gamma * z1 * z2 AS score FROM pz, pt),
+two AS (SELECT * FROM fz UNION ALL SELECT 'bag', row_id, user_id, label, date, score FROM bt),
+{user_metrics_sql('two', 'model_id', 'um')}, {summary_sql('um', 'model_id', 'tr')}, {PAIRS.replace("'m0'", "'bag'")}, {BOOT},
+fh AS (SELECT f.*, CASE WHEN row_number() OVER (ORDER BY row_id) <= (SELECT count(*) FROM fz WHERE date <= (SELECT quantile_cont(date, 0.5) FROM fz)) THEN 'front' ELSE 'back' END AS half FROM fz f),
+{user_metrics_sql('fh', 'model_id, half', 'fm')}, {summary_sql('fm', 'model_id, half', 'fr')},
+cfg AS (SELECT max(CASE WHEN seq = 0 THEN utd END) AS ua, max(CASE WHEN seq = 2 THEN utd END) AS ub FROM ledger WHERE seq IN (0, 2)),
+lay AS (SELECT (o.k <> '16')::INT + (o.loss <> '"logloss"')::INT + (o.seq_len <> '0')::INT + (o.utd = 'true')::INT AS nf
+  FROM ledger o WHERE seq = CASE WHEN (SELECT candidate FROM rkd WHERE rn = 2) = 'a' THEN 0 ELSE 2 END),
+bl AS (SELECT (SELECT candidate FROM rkd WHERE rn = 1) || '+' || (SELECT candidate FROM rkd WHERE rn = 2) AS candidate, tr."primary" AS score,
+  (SELECT min("primary") FROM fr) AS robust, (SELECT nf FROM lay) AS n_flags, 'blend' AS kind FROM tr, cfg
+  WHERE model_id = 'blend' AND NOT (ua = 'true' AND ub = 'true')
+  AND (SELECT best - score FROM rkd WHERE rn = 2) <= CASE WHEN (SELECT best - score FROM rkd WHERE rn = 2) <= 0.002 THEN 0.002 ELSE 0.03 END
+  AND tr."primary" > (SELECT any_value(best) FROM rkd) + 2 * (SELECT stddev_samp(delta) FROM deltas)),
+allc AS (SELECT candidate, score, robust, n_flags, 'bag' AS kind FROM cand UNION ALL SELECT * FROM bl)"""
+
+
+@query(
+    "pick_final",
+    f"""WITH {SCORES}, {LEDGER}, {PICK} SELECT candidate, round(score, 7) AS score, round(robust, 7) AS robust, CAST(n_flags AS BIGINT) AS n_flags, kind FROM allc
+    WHERE robust >= (SELECT max(robust) FROM allc) - 0.002 ORDER BY n_flags, allc.score DESC, allc.robust DESC LIMIT 1""",
+)
 def pick_final(spark, sf):
     return tidy(D.pick_final(cut_lineage(score_table(spark, sf)), _members(spark, sf)), 7)

@@ -28,6 +28,12 @@ def read_jsonl_lenient(spark: SparkSession, path: str, schema: str) -> DataFrame
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def _line_order():
+    """Order of lines inside a file: a later block starts at a higher byte, and a task reads fewer lines than
+    a block has bytes, so block start plus line index never crosses into the next block."""
+    return F.col("_metadata.file_block_start") + F.monotonically_increasing_id() % F.lit(1 << 33)
+
+
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """Ledger nodes with the three ranking metrics, the other numeric metrics as a map, and `extra` as VARIANT."""
     raw = spark.read.schema(LEDGER_SCHEMA).json(path).where(F.col("node_id").isNotNull())
@@ -42,7 +48,7 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
     return raw.select(
         F.col("_metadata.file_path").alias("run_id"),
-        F.monotonically_increasing_id().alias("seq"),
+        _line_order().alias("seq"),
         "node_id", "parent_id", "stage", "arm", "hypothesis", "diff", "is_buggy", "recovery", "error", "tokens_in", "tokens_out",
         F.col("gpu_seconds").alias("elapsed_seconds"),
         metric("GAUC").alias("gauc"),

@@ -3,12 +3,14 @@
 import pytest
 from pyspark.sql import functions as F
 
+from rankspark.functions.joins import keyed_join
 from rankspark.functions.ordered import has_large_group, positions, prefix_sums, running_records
 from rankspark.operators import encoding as E
 from rankspark.operators import features as X
 from rankspark.operators import fusion as B
 from rankspark.operators import itemcf as C
 from rankspark.operators import metrics as M
+from rankspark.operators import select as S
 from rankspark.operators import trainset as R
 from tests.conftest import rows
 
@@ -170,3 +172,42 @@ def test_result_does_not_depend_on_partitions(spark, log):
         got.append(rows(out, "row_id", "user_rate", "video_rate"))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert got[0] == got[1]
+
+
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+def test_keyed_join(log, small_groups, how):
+    """User 0 is large and present on the side, user 36 is absent, and some keys are NULL."""
+    left = log.select("row_id", F.when(F.col("row_id") % 50 != 7, F.col("user_id")).alias("user_id"))
+    side = log.select("user_id").distinct().where("user_id < 30 and user_id % 3 = 0").withColumn("w", F.when(F.col("user_id") != 3, F.col("user_id") * 2))
+    cols = ["row_id", "user_id"] + (["w"] if how in ("left", "inner") else [])
+    for s in (side, side.where("user_id <> 0")):
+        a, b = keyed_join(left, s, ["user_id"], how, large=False), keyed_join(left, s, ["user_id"], how, large=True)
+        assert rows(a, *cols) == rows(b, *cols)
+
+
+def test_large_groups_through_whole_operators(spark, log, scores):
+    """Operators that decide for themselves give the same rows with tiny limits as with the defaults."""
+    train, rest = log.where("split = 'train'"), log.where("split <> 'train'")
+    one = scores.where(F.col("model_id") == "c")
+
+    def run():
+        return [
+            rows(X.lookup_rates(rest, train, ["user_id", "video_id"]), "row_id", "user_rate", "video_rate"),
+            rows(X.decay(log), "row_id", "decay_pos", "decay_tot"),
+            rows(X.asof_decay(log), "row_id", "decay_pos", "decay_tot"),
+            rows(R.user_batches(train, 64, 1), "row_id", "batch_id"),
+            rows(R.listwise_loss(one)),
+            rows(S.sample_users(log, 0.4, 3), "row_id"),
+            rows(S.drop_singletons(log.where("video_id < 3")), "row_id"),
+            rows(C.item_cf_scores(log, "valid"), "row_id", "cf"),
+            rows(M.half_primaries(scores)),
+        ]
+
+    plain = run()
+    spark.conf.set("spark.rankspark.groupRows", "20")
+    spark.conf.set("spark.rankspark.chunkRows", "16")
+    try:
+        assert run() == plain
+    finally:
+        spark.conf.unset("spark.rankspark.groupRows")
+        spark.conf.unset("spark.rankspark.chunkRows")
