@@ -20,21 +20,20 @@ RECENCY_BINS = 20
 # ---- quantile edges ----------------------------------------------------------------
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> DataFrame:
-    """Linear-interpolated quantiles as a one-row array, computed from a distributed histogram: values
-    are counted, cut into ranges, and only range totals are ordered together."""
+def exact_quantiles(df: DataFrame, col: str, probs: list[float], by: list[str] = []) -> DataFrame:
+    """Linear-interpolated quantiles as an array (one row, or one per group), computed from a distributed
+    histogram: values are counted, cut into ranges, and only range totals are ordered together."""
     v = F.col(col).cast("double")
-    hist = df.where(F.col(col).isNotNull()).groupBy(v.alias("_v")).agg(F.count(F.lit(1)).alias("_f"))
+    hist = df.where(F.col(col).isNotNull()).groupBy(*by, v.alias("_v")).agg(F.count(F.lit(1)).alias("_f"))
     hist = hist.withColumn("_c", lower_bound(F.col("_v"), order_bounds(df, F.col(col))))
-    totals = hist.groupBy("_c").agg(F.sum("_f").alias("_s"))
-    # At most one row per range bound (<= 4096) is ordered without a key.
+    totals = hist.groupBy(*by, "_c").agg(F.sum("_f").alias("_s"))
+    # At most one row per range bound (<= 4096) meets in a group.
+    before = Window.partitionBy(*by).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select(
-        "_c",
-        F.coalesce(F.sum("_s").over(Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"),
-        F.sum("_s").over(Window.partitionBy()).alias("_n"),
+        *by, "_c", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_b"), F.sum("_s").over(Window.partitionBy(*by)).alias("_n")
     )
-    inner = F.sum("_f").over(Window.partitionBy("_c").orderBy("_v"))
-    placed = hist.withColumn("_i", inner).join(base, "_c").withColumn("_hi", F.col("_i") + F.col("_b"))
+    inner = F.sum("_f").over(Window.partitionBy(*by, "_c").orderBy("_v"))
+    placed = hist.withColumn("_i", inner).join(base, [*by, "_c"]).withColumn("_hi", F.col("_i") + F.col("_b"))
     low = F.col("_hi") - F.col("_f")
     picks, edges = [], []
     for i, p in enumerate(probs):
@@ -44,7 +43,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> DataFrame:
             picks.append(F.max(F.when((rank >= low) & (rank < F.col("_hi")), F.col("_v"))).alias(name))
         picks.append(F.max(h - at).alias(f"_w{i}"))
         edges.append(F.col(f"_l{i}") + (F.col(f"_u{i}") - F.col(f"_l{i}")) * F.col(f"_w{i}"))
-    return placed.agg(*picks).select(F.array(*edges).alias("q"))
+    return placed.groupBy(*by).agg(*picks).select(*by, F.array(*edges).alias("q"))
 
 
 def fit_edges(train: DataFrame, cols: list[str], bins: int = RATE_BINS) -> DataFrame:
@@ -89,8 +88,7 @@ def fit_vocab(train: DataFrame, col: str) -> DataFrame:
     once (so the ranges cannot move), and numbered from per-range counts."""
     spark = train.sparkSession
     words = train.select(F.col(col).cast("string").alias("value")).where(F.col("value").isNotNull()).distinct()
-    limit = group_rows(spark)
-    if words.limit(limit + 1).count() <= limit:
+    if words.count() <= group_rows(spark):
         return words.select("value", (F.row_number().over(Window.orderBy("value")) - 1).cast("int").alias("id"))
     ranged = cut_lineage(words.repartitionByRange(shuffle_width(spark), "value").withColumn("_r", F.spark_partition_id()))
     base = ranged.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))

@@ -130,6 +130,9 @@ def validate_patches(patches: DataFrame) -> DataFrame:
 
 # ---- error memory ----------------------------------------------------------------------
 
+# Largest (token, query) index sent to every task; a larger one is joined by shuffle.
+INDEX_ROWS = 500_000
+
 
 def similar_errors(queries: DataFrame, cases: DataFrame, k: int = 3) -> DataFrame:
     """Top-k past cases per query by number of shared tokens, solved cases only.
@@ -137,6 +140,8 @@ def similar_errors(queries: DataFrame, cases: DataFrame, k: int = 3) -> DataFram
     Cases are placed by id as token sets; a case meets the queries' inverted index where it lies, its counts
     are complete there, and the top-k cut runs before the (small) exchange by query."""
     q = queries.select("query_id", F.explode(E.token_set(E.normalize_signature("signature"))).alias("token"))
+    if q.count() <= INDEX_ROWS:
+        q = F.broadcast(q)
     text = F.concat_ws(" ", E.normalize_signature("message"), F.col("message"))
     placed = cases.where(yes("success")).select("trial_id", E.token_set(text).alias("_t")).repartition("trial_id")
     hits = placed.select("trial_id", F.explode("_t").alias("token")).join(q, "token")

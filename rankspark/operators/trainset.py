@@ -21,14 +21,18 @@ PAIRS_CAP = 32
 
 def play_weights(df: DataFrame, by: list[str] = []) -> DataFrame:
     """Positives weigh log1p(play) over the median positive, clipped to [0.25, 8]; negatives weigh 1."""
+    from rankspark.operators.encoding import exact_quantiles, fit_edges
+
     raw = F.log1p(F.greatest("play_time_ms", F.lit(0.0)))
     pos = df.where(F.col("long_view") == 1)
     if by:
-        med = pos.groupBy(*by).agg(F.percentile(raw, F.lit(0.5)).alias("_med"))
-        out = df.join(med, by, "left")
+        large = has_large_group(df, by)
+        if large:
+            med = exact_quantiles(pos.select(*by, raw.alias("_raw")), "_raw", [0.5], by).select(*by, F.get("q", F.lit(0)).alias("_med"))
+        else:
+            med = pos.groupBy(*by).agg(F.percentile(raw, F.lit(0.5)).alias("_med"))
+        out = keyed_join(df, med, by, large=large)
     else:
-        from rankspark.operators.encoding import fit_edges
-
         med = fit_edges(pos.select(raw.alias("_raw")), ["_raw"], 2).select(F.get("_raw_edges", F.lit(0)).alias("_med"))
         out = df.crossJoin(F.broadcast(med))
     scale = F.when(F.col("_med") > 1e-6, F.col("_med")).otherwise(1.0)
@@ -136,7 +140,8 @@ def dot(a: Column, b: Column) -> Column:
 def fm_score(encoded: DataFrame, factors: DataFrame, bias: float = 0.0) -> DataFrame:
     """Factorization-machine score from a table (feature, w, v). A row gathers only its own few fields."""
     fields = encoded.select("row_id", F.posexplode("fields").alias("_f", "feature"))
-    joined = fields.join(factors, "feature")
+    # A field with few values (tab, hour) puts a large share of the exploded rows under one feature.
+    joined = keyed_join(fields, factors, ["feature"], "inner")
     item = F.struct("_f", F.col("w").alias("w"), F.col("v").cast("array<double>").alias("v"))
     packed = joined.groupBy("row_id").agg(F.sort_array(F.collect_list(item)).alias("_p"))
     first = F.get("_p", F.lit(0))["v"]
@@ -156,11 +161,13 @@ def history_context(rows: DataFrame, emb: DataFrame, mode: str = "pool") -> Data
     items = rows.select("row_id", "target", F.posexplode(F.arrays_zip("hist", "mask")).alias("_i", "_h")).where(
         F.col("_h.mask") == 1
     )
-    vec = emb.select(F.col("item").alias("_item"), F.col("vec").cast("array<double>").alias("_v"))
-    got = items.join(vec, F.col("_h.hist") == F.col("_item")).select("row_id", "target", "_i", "_v")
+    flat = items.select("row_id", "target", "_i", F.col("_h.hist").alias("item"))
+    vec = emb.select("item", F.col("vec").cast("array<double>").alias("_v"))
+    large = has_large_group(flat, ["item"])
+    got = keyed_join(flat, vec, ["item"], "inner", large)
     if mode == "din":
-        tgt = vec.select(F.col("_item").alias("target"), F.col("_v").alias("_t"))
-        got = got.join(tgt, "target").withColumn("_s", dot(F.col("_v"), F.col("_t")))
+        tgt = vec.select(F.col("item").alias("target"), F.col("_v").alias("_t"))
+        got = keyed_join(got, tgt, ["target"], "inner", large).withColumn("_s", dot(F.col("_v"), F.col("_t")))
     else:
         got = got.withColumn("_s", F.lit(0.0))
     packed = got.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("_i", "_s", "_v"))).alias("_p"))

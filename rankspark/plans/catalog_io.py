@@ -107,6 +107,18 @@ def read_video_dim(spark, sf):
     return I.read_video_dim(spark, write_logs(spark, sf))
 
 
+@query(
+    "impression_store",
+    f"""WITH {IMP} SELECT split, CAST(date AS BIGINT) AS date, count(*) AS n_rows, sum(long_view)::BIGINT AS pos FROM imp WHERE split IN ('train', 'valid') GROUP BY 1, 2""",
+)
+def impression_store(spark, sf):
+    """Written partitioned, read back with partition pruning on the split."""
+    path = new_folder(spark, "store")
+    I.write_impressions(impressions(spark, sf), path)
+    out = I.open_impressions(spark, path, ["train", "valid"])
+    return tidy(out.groupBy("split", "date").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("long_view").alias("pos")))
+
+
 def write_ledger_json(spark, sf: str) -> str:
     """The mapped ledger as JSON lines in the shape of a run journal, with a text metric to be dropped."""
     path = new_folder(spark, "ledger")

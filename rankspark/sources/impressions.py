@@ -138,3 +138,13 @@ def split_rows(spark: SparkSession, folder: str, split: str, scale: str | None =
     found = detect_scale(spark, folder, scale)
     rows = assign_split(_logs(spark, folder, found, False)).where(F.col("split") == split)
     return with_row_id(rows.select("date", "user_id", "video_id", *POSITION, "_m"))
+
+
+def write_impressions(df: DataFrame, path: str) -> None:
+    """The Parquet store: partitioned by split and date, so that split and date filters prune files."""
+    df.write.mode("overwrite").partitionBy("split", "date").parquet(path)
+
+
+def open_impressions(spark: SparkSession, path: str, splits: list[str] | None = None) -> DataFrame:
+    df = spark.read.parquet(path)
+    return df if splits is None else df.where(F.col("split").isin(splits))

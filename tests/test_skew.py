@@ -185,6 +185,15 @@ def test_keyed_join(log, small_groups, how):
         assert rows(a, *cols) == rows(b, *cols)
 
 
+def factors(spark):
+    i = F.col("id")
+    return spark.range(60).select(i.alias("feature"), (i / 10).alias("w"), F.array(i / 7, i / 11).alias("v"))
+
+
+def past(log):
+    return X.histories(log, 3).select("row_id", F.col("video_id").cast("long").alias("target"), "hist", "mask")
+
+
 def test_large_groups_through_whole_operators(spark, log, scores):
     """Operators that decide for themselves give the same rows with tiny limits as with the defaults."""
     train, rest = log.where("split = 'train'"), log.where("split <> 'train'")
@@ -201,6 +210,9 @@ def test_large_groups_through_whole_operators(spark, log, scores):
             rows(S.drop_singletons(log.where("video_id < 3")), "row_id"),
             rows(C.item_cf_scores(log, "valid"), "row_id", "cf"),
             rows(M.half_primaries(scores)),
+            rows(R.play_weights(log.where("long_view is not null"), ["tab"]), "row_id", "weight"),
+            rows(R.fm_score(log.select("row_id", F.array(F.col("user_id"), F.col("video_id") % 2 + 40).alias("fields")), factors(spark))),
+            *[rows(R.history_context(past(log), factors(spark).select(F.col("feature").alias("item"), F.col("v").alias("vec")), m)) for m in ("pool", "din")],
         ]
 
     plain = run()
