@@ -283,13 +283,15 @@ def vocabulary(spark, sf):
 
 @query(
     "encode_unseen",
-    f"""WITH {IMP}, d AS (SELECT DISTINCT CAST(video_id AS VARCHAR) AS value FROM imp WHERE split = 'train' AND video_id < 60),
-    v AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS id FROM d)
-    SELECT row_id, 7 + coalesce(id, (SELECT count(*) FROM v)) AS video_fid FROM imp LEFT JOIN v ON v.value = CAST(imp.video_id AS VARCHAR)""",
+    f"""WITH {IMP}, k AS (SELECT row_id, split, user_id || '@' || hour AS slot FROM imp),
+    v AS (SELECT slot, row_number() OVER (ORDER BY slot) - 1 AS id FROM (SELECT DISTINCT slot FROM k WHERE split = 'train'))
+    SELECT row_id, 7 + coalesce(id, (SELECT count(*) FROM v)) AS slot_fid FROM k LEFT JOIN v USING (slot)""",
 )
 def encode_unseen(spark, sf):
-    vocab = E.fit_vocab(train_rows(spark, sf).where(F.col("video_id") < 60), "video_id")
-    return tidy(E.encode(impressions(spark, sf), vocab, "video_id", "video_fid", 7).select("row_id", "video_fid"))
+    """User-hour slots: many of the later splits' slots never occur in train."""
+    slots = impressions(spark, sf).withColumn("slot", F.concat_ws("@", F.col("user_id").cast("string"), F.col("hour").cast("string")))
+    vocab = E.fit_vocab(slots.where(F.col("split") == "train"), "slot")
+    return tidy(E.encode(slots, vocab, "slot", "slot_fid", 7).select("row_id", "slot_fid"))
 
 
 RATE_COLS = ["user_rate", "video_rate"]

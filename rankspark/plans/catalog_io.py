@@ -50,7 +50,7 @@ def write_logs(spark, sf: str) -> str:
     body = ordered.drop("row_id")
     body.where(F.col("date") <= 20220421).write.csv(f"{folder}/{I.LOGS[0].format('pure')}", header=True)
     body.where(F.col("date") > 20220421).write.csv(f"{folder}/{I.LOGS[1].format('pure')}", header=True)
-    ordered.where(F.col("row_id") % 5 == 0).drop("row_id").write.csv(f"{folder}/{I.RANDOM_LOG.format('pure')}", header=True)
+    ordered.where(F.col("tab") == "2").drop("row_id").write.csv(f"{folder}/{I.RANDOM_LOG.format('pure')}", header=True)
     dim = rows.select("video_id").distinct().where(F.col("video_id") < 90)
     dim.select("video_id", (F.col("video_id") % 10).alias("author_id")).write.csv(f"{folder}/{I.VIDEO_BASIC.format('pure')}", header=True)
     return folder
@@ -83,7 +83,7 @@ def read_impressions_extended(spark, sf):
 @query(
     "read_random_log",
     f"""WITH {LOGROWS} SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, CAST(user_id AS VARCHAR) AS user_id, CAST(video_id AS VARCHAR) AS video_id,
-    CAST(y AS BIGINT) AS long_view FROM lg WHERE row_id % 5 = 0""",
+    CAST(y AS BIGINT) AS long_view FROM lg WHERE row_id % 3 = 2""",
 )
 def read_random_log(spark, sf):
     out = I.read_random_log(spark, write_logs(spark, sf))

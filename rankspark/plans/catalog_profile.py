@@ -78,15 +78,18 @@ def split_profile(spark, sf):
     return tidy(P.split_profile(impressions(spark, sf)))
 
 
+USER_DAY = "(user_id * 100000000 + date)"
+
+
 @query(
-    "split_profile_sparse_lists",
-    f"""WITH {IMP.replace("AS author_id FROM ev)", "AS author_id FROM ev WHERE video_id < 5)")}, {SPLITS}
+    "split_profile_day_lists",
+    f"""WITH {IMP}, {SPLITS.replace("SELECT split, user_id, count(*)", f"SELECT split, {USER_DAY} AS user_id, count(*)")}
     SELECT split, n_rows, round(pos_rate, 9) AS pos_rate, n_users, round(rows_mean, 9) AS rows_mean,
     round(single_imp_frac, 9) AS single_imp_frac, rows_p50, rows_p90 FROM sp""",
 )
-def split_profile_sparse_lists(spark, sf):
-    """Five videos only, so that many lists hold a single row."""
-    return tidy(P.split_profile(impressions(spark, sf).where(F.col("video_id") < 5)))
+def split_profile_day_lists(spark, sf):
+    """One list per user and day, so that many lists hold a single row."""
+    return tidy(P.split_profile(impressions(spark, sf).withColumn("user_id", F.expr(USER_DAY))))
 
 
 DRIFT = """dy AS (SELECT split, date, count(*) AS n, sum(long_view) AS pos FROM imp WHERE split <> 'test' GROUP BY 1, 2),

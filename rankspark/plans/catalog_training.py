@@ -89,11 +89,11 @@ def sample_users(spark, sf):
 
 @query(
     "drop_singletons",
-    f"""WITH {IMP}, t AS (SELECT row_id, count(*) OVER (PARTITION BY user_id) AS c FROM imp WHERE split = 'valid' AND video_id < 5)
-    SELECT row_id FROM t WHERE c >= 2""",
+    f"""WITH {IMP}, t AS (SELECT row_id, count(*) OVER (PARTITION BY user_id, date) AS c FROM imp) SELECT row_id FROM t WHERE c >= 2""",
 )
 def drop_singletons(spark, sf):
-    rows = impressions(spark, sf).where((F.col("split") == "valid") & (F.col("video_id") < 5))
+    """One list per user and day."""
+    rows = impressions(spark, sf).withColumn("user_id", F.col("user_id") * 100000000 + F.col("date"))
     return S.drop_singletons(rows).select("row_id")
 
 
@@ -109,11 +109,11 @@ def categorical_columns(spark, sf):
 
 @query(
     "union_splits",
-    f"""WITH {IMP} SELECT split, count(*) AS n_rows FROM imp GROUP BY 1 UNION ALL SELECT 'log_random', count(*) FROM imp WHERE row_id % 5 = 0""",
+    f"""WITH {IMP} SELECT split, count(*) AS n_rows FROM imp GROUP BY 1 UNION ALL SELECT 'log_random', count(*) FROM imp WHERE tab = '2'""",
 )
 def union_splits(spark, sf):
     imp = impressions(spark, sf)
-    random = imp.where(F.col("row_id") % 5 == 0).withColumn("split", F.lit("log_random")).drop("author_id")
+    random = imp.where(F.col("tab") == "2").withColumn("split", F.lit("log_random")).drop("author_id")
     return S.union_splits(imp, random).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -345,14 +345,15 @@ def _context(spark, sf, mode):
 
 @query(
     "offpolicy_metrics",
-    f"""WITH {SCORES}, r AS (SELECT * FROM scores WHERE row_id % 5 = 0), {user_metrics_sql('r')}, {summary_sql()}
+    f"""WITH {SCORES}, r AS (SELECT s.* FROM scores s JOIN imp i USING (row_id) WHERE tab = '2'), {user_metrics_sql('r')}, {summary_sql()}
     SELECT model_id, n_users, round(gauc, 9) AS gauc, round(ndcg5, 9) AS ndcg5, round("primary", 9) AS "primary" FROM rm""",
 )
 def offpolicy_metrics(spark, sf):
-    """The randomized-exposure rows of the mapping: every fifth impression."""
+    """Tab 2 plays the randomized-exposure surface."""
     from rankspark.plans.lifecycle import offpolicy_metrics as run
 
-    tagged = score_table(spark, sf).withColumn("split", F.when(F.col("row_id") % 5 == 0, "log_random").otherwise("valid"))
+    surface = impressions(spark, sf).select("row_id", F.when(F.col("tab") == "2", "log_random").otherwise("valid").alias("split"))
+    tagged = score_table(spark, sf).join(surface, "row_id")
     return tidy(run(tagged))
 
 

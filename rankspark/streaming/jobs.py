@@ -21,6 +21,12 @@ def user_counts(stream: DataFrame) -> DataFrame:
     return stream.groupBy("split", "user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("long_view").alias("pos"))
 
 
+def _utc_date(ts):
+    """yyyymmdd of a UTC instant, whatever the session time zone."""
+    day = F.date_from_unix_date(F.floor(F.unix_seconds(ts) / 86400).cast("int"))
+    return F.date_format(day, "yyyyMMdd").cast("int")
+
+
 def daily_rate(stream: DataFrame, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
     """Positive rate per day of event time; rows later than the watermark are dropped."""
     w = F.window(ts, "1 day")
@@ -28,7 +34,7 @@ def daily_rate(stream: DataFrame, ts: str = "ts", delay: str = "1 hour") -> Data
         stream.withWatermark(ts, delay)
         .groupBy(w)
         .agg(F.count(F.lit(1)).alias("n"), F.avg("long_view").alias("pos_rate"))
-        .select(F.date_format("window.start", "yyyyMMdd").cast("int").alias("date"), "n", "pos_rate")
+        .select(_utc_date(F.col("window.start")).alias("date"), "n", "pos_rate")
     )
 
 
