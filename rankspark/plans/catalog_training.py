@@ -11,6 +11,7 @@ from rankspark.operators import models as L
 from rankspark.operators import select as S
 from rankspark.operators import trainset as R
 from rankspark.plans.views import IMP, SCORES, score_table, summary_sql, tidy, train_rows, u_sql, user_metrics_sql
+from rankspark.session import cut_lineage
 from rankspark.sources.mapped import impressions, raw_impressions, table
 
 QUERIES, ORACLES = {}, {}
@@ -360,12 +361,13 @@ def offpolicy_metrics(spark, sf):
 def _model_rows(spark, sf):
     imp = impressions(spark, sf)
     rated = E.rate_columns(imp).select("row_id", "user_rate", "video_rate")
-    return E.base_fields(imp.where(F.col("split") != "test")).join(rated, "row_id")
+    # Fitting passes over the rows many times, so they are written once.
+    return cut_lineage(E.base_fields(imp.where(F.col("split") != "test")).join(rated, "row_id"))
 
 
 @query("fm_ranker")
 def fm_ranker(spark, sf):
-    rows = E.base_fields(impressions(spark, sf).where(F.col("split") != "test"))
+    rows = cut_lineage(E.base_fields(impressions(spark, sf).where(F.col("split") != "test")))
     model = L.fit_fm(rows.where(F.col("split") == "train"), k=4, epochs=10)
     scores = L.predict(model, rows.where(F.col("split") == "valid")).withColumn("model_id", F.lit("fm"))
     return tidy(M.ranking_metrics(scores), 6)
