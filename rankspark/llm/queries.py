@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankspark.llm import queries_native
+from rankspark.llm import queries_native, queries_text
 
-QUERIES = {**queries_native.QUERIES}
+QUERIES = {**queries_native.QUERIES, **queries_text.QUERIES}
 ORACLES = {**queries_native.ORACLES}
