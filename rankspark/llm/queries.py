@@ -5,4 +5,4 @@ from __future__ import annotations
 from rankspark.llm import queries_native, queries_text
 
 QUERIES = {**queries_native.QUERIES, **queries_text.QUERIES}
-ORACLES = {**queries_native.ORACLES}
+ORACLES = {**queries_native.ORACLES, **queries_text.ORACLES}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rankspark.llm.fingerprints import edited_fingerprints
 from rankspark.llm.language import identify_languages
+from rankspark.llm.near_dedup import near_components
 from rankspark.llm.packing import pack
 
 
@@ -31,4 +32,29 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(documents(spark, sf_dir))
 
 
-QUERIES = {"op2_paragraph_fingerprints": op2, "op5_harmonic_packing": op5, "op7_language": op7}
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(documents(spark, sf_dir))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh
+  FROM w WHERE len(ws) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL
+), e AS (
+  SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 75 * (p.n + q.n - k)
+), r(doc_id, reach) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.reach FROM r JOIN e ON e.x = r.doc_id WHERE r.reach < e.y
+), m AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN m ON m.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+QUERIES = {"op2_paragraph_fingerprints": op2, "op5_harmonic_packing": op5, "op7_language": op7, "op8_near_dedup": op8}
+ORACLES = {"op8_near_dedup": OP8_SQL}
