@@ -8,6 +8,8 @@ from rankspark.llm.fingerprints import edited_fingerprints
 from rankspark.llm.language import identify_languages
 from rankspark.llm.near_dedup import near_components
 from rankspark.llm.packing import pack
+from rankspark.llm.quality import score_quality
+from rankspark.llm.toxicity import score_toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +38,18 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(documents(spark, sf_dir))
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 OP8_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -56,5 +70,8 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = compon
 FROM documents d JOIN m ON m.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
-QUERIES = {"op2_paragraph_fingerprints": op2, "op5_harmonic_packing": op5, "op7_language": op7, "op8_near_dedup": op8}
+QUERIES = {
+    "op2_paragraph_fingerprints": op2, "op5_harmonic_packing": op5, "op7_language": op7, "op8_near_dedup": op8,
+    "op4_toxicity": op4, "op10_quality": op10,
+}
 ORACLES = {"op8_near_dedup": OP8_SQL}

@@ -55,10 +55,11 @@ class Words:
     text: np.ndarray
 
 
-def hash_words(texts: list[bytes]) -> Words:
-    """Words are maximal runs without ASCII white space; equal words have equal 64-bit hashes everywhere."""
+def hash_words(texts: list[bytes], apart: np.ndarray = _IS_SPACE) -> Words:
+    """Words are maximal runs of bytes not in apart (ASCII white space unless given, which must hold the line feed);
+    equal words have equal 64-bit hashes everywhere."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
-    space = _IS_SPACE[data]
+    space = apart[data]
     before = np.empty_like(space)
     before[0], before[1:] = True, space[:-1]
     start, end = np.flatnonzero(before & ~space), np.flatnonzero(space & ~before)
