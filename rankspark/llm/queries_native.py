@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rankspark.llm.exact_dedup import exact_dedup
 from rankspark.llm.line_dedup import line_dedup
 from rankspark.llm.mixing import mix_sources
+from rankspark.llm.pii import KINDS, private_spans, written
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +29,14 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = private_spans(documents(spark, sf_dir))
+    ranks = F.transform("base", lambda s: s["rank"])
+    counts = [(F.size(ranks) - F.size(F.array_remove(ranks, i))).cast("long").alias(f"n_{kind}") for i, kind in enumerate(KINDS)]
+    spans = F.sort_array(F.concat("base", "terms"))
+    return found.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(spans).alias("spans"))
+
+
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
@@ -56,5 +65,5 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped,
 FROM k GROUP BY doc_id
 """
 
-QUERIES = {"op1_exact_dedup": op1, "op3_source_mixing": op3, "op6_line_dedup": op6}
+QUERIES = {"op1_exact_dedup": op1, "op3_source_mixing": op3, "op6_line_dedup": op6, "op9_private_data": op9}
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op6_line_dedup": OP6_SQL}
