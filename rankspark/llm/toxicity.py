@@ -1,6 +1,6 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A word is the sum of a hashed word embedding and the mean of its hashed character n-gram embeddings, side by side. A window of words
+A word is the sum of a hashed word embedding and the sum of its hashed character n-gram embeddings over the root of their number, side by side. A window of words
 runs through a gated recurrent unit in each direction; attention weights pool the states into one logit. A document's score is the
 highest of all its overlapping windows. Labels are per document, so training alternates between picking each toxic document's most
 suspect window and fitting those against the most suspect and random windows of clean documents.
@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 from rankspark.llm.text import fold_of, text_of
 from rankspark.llm.words import batches, blocks, hash_words, mix
 
-WORD_BINS, CHAR_BINS, NGRAMS = 1 << 14, 1 << 15, (3, 5)
+WORD_BINS, CHAR_BINS, NGRAMS = 1 << 14, 1 << 16, (3, 4, 5)
 EMBED, HIDDEN = 8, 8
 WINDOW, STRIDE = 32, 24
 MAX_PER_LABEL, MAX_TRAIN_CHARS = 1500, 8192  # the training sample: documents per label, code points per document
-EPOCHS, BATCH, RATE, SEED = 6, 128, 0.01, 7
+EPOCHS, STEPS, BATCH, RATE, SEED = 6, 250, 128, 0.01, 7  # at least EPOCHS, and more until STEPS
 THRESHOLD = 0.7
+DECAY = 1e-4
+MIN_BIN_TEXTS = 3  # embeddings of bins found in fewer training texts stay zero, as for unknown words
 
 # Word bytes: ASCII letters, digits, apostrophe and everything beyond ASCII.
 _APART = np.array([not (b >= 128 or chr(b).isalnum() or b == 39) for b in range(256)])
@@ -95,7 +97,7 @@ def word_vectors(p: Params, t: Tokens) -> np.ndarray:
     chars = np.zeros((len(t.word), EMBED), dtype=np.float32)
     full = np.flatnonzero(t.count)
     if len(full):
-        chars[full] = np.add.reduceat(p["char"][t.gram], (np.cumsum(t.count) - t.count)[full], axis=0) / t.count[full, None]
+        chars[full] = np.add.reduceat(p["char"][t.gram], (np.cumsum(t.count) - t.count)[full], axis=0) / np.sqrt(t.count[full, None])
     return np.concatenate([p["word"][t.word], chars], axis=1)
 
 
@@ -187,18 +189,17 @@ def window_scores(p: Params, t: Tokens, chunk: int = 8192) -> tuple[np.ndarray,
     return out, text
 
 
-def log_odds(bins: np.ndarray, text: np.ndarray, label: np.ndarray, size: int) -> np.ndarray:
-    """How much more often a bin stands in toxic texts, shrunk where it is rare."""
+def log_odds(bins: np.ndarray, text: np.ndarray, label: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """How much more often a bin stands in toxic texts, and the bins found in enough texts to be learnt."""
     pair = np.unique(text * np.int64(size) + bins)
-    own, kind = pair % size, label[pair // size] == 1
-    pos, neg = np.bincount(own[kind], minlength=size), np.bincount(own[~kind], minlength=size)
-    n_pos, n_neg = (label == 1).sum(), (label == 0).sum()
-    return np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1)) * np.ones(size) if n_pos * n_neg == 0 else (
-        (np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1))) * np.minimum(1.0, (pos + neg) / 6.0)
-    )
+    own, toxic = pair % size, label[pair // size] == 1
+    pos, neg = np.bincount(own[toxic], minlength=size), np.bincount(own[~toxic], minlength=size)
+    odds = np.log((pos + 0.5) / ((label == 1).sum() + 1)) - np.log((neg + 0.5) / ((label == 0).sum() + 1))
+    known = pos + neg >= MIN_BIN_TEXTS
+    return np.where(known, odds, 0.0), known
 
 
-def train(texts: list[str], label: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Params | None:
+def train(texts: list[str], label: np.ndarray, epochs: int = EPOCHS, steps: int = STEPS, seed: int = SEED) -> Params | None:
     """None unless both labels occur."""
     if not len(label) or label.min() == label.max():
         return None
@@ -210,15 +211,17 @@ def train(texts: list[str], label: np.ndarray, epochs: int = EPOCHS, seed: int =
     pt, pw = pick // len(t.word), pick % len(t.word)
     many = t.count[pw]
     grams = t.gram[np.repeat(gram_start[pw], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
-    p["word"][:, 0] = 0.5 * log_odds(t.word[pw], pt, label, WORD_BINS)
-    p["char"][:, 0] = 0.5 * log_odds(grams, np.repeat(pt, many), label, CHAR_BINS)
+    known = {}
+    for name, odds_known in (("word", log_odds(t.word[pw], pt, label, WORD_BINS)), ("char", log_odds(grams, np.repeat(pt, many), label, CHAR_BINS))):
+        p[name][:, 0], known[name] = 0.5 * odds_known[0], odds_known[1][:, None]
+        p[name] *= known[name]
     first, length, text = windows(t.edges)
     hint = word_vectors(p, t)
     hint = (hint[:, 0] + hint[:, EMBED])[t.index]
     suspect = np.array([hint[f : f + n].max() for f, n in zip(first, length)])
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
-    step = 0
-    for epoch in range(epochs):
+    step = epoch = 0
+    while len(first) and (epoch < epochs or step < steps):
         if epoch:
             suspect, _ = window_scores(p, t)
         by = np.lexsort((-suspect, text))
@@ -227,6 +230,7 @@ def train(texts: list[str], label: np.ndarray, epochs: int = EPOCHS, seed: int =
         clean = second[label[text[second]] == 0]
         chosen = np.concatenate([top, rng.choice(clean, min(len(clean), len(top)), replace=False)])
         rng.shuffle(chosen)
+        epoch += 1
         for i in range(0, len(chosen), BATCH):
             part = chosen[i : i + BATCH]
             at = grid(t, first[part], length[part])
@@ -237,10 +241,11 @@ def train(texts: list[str], label: np.ndarray, epochs: int = EPOCHS, seed: int =
             g, dv = gradients(p, at, vectors, label[text[part]].astype(np.float32))
             g["word"], g["char"] = np.zeros_like(p["word"]), np.zeros_like(p["char"])
             np.add.at(g["word"], sub.word, dv[:, :EMBED])
-            np.add.at(g["char"], sub.gram, np.repeat(dv[:, EMBED:] / np.maximum(sub.count, 1)[:, None], sub.count, axis=0))
+            np.add.at(g["char"], sub.gram, np.repeat(dv[:, EMBED:] / np.sqrt(np.maximum(sub.count, 1))[:, None], sub.count, axis=0))
             step += 1
             for k, x in g.items():
                 m, v = moments[k]
+                x = (x + DECAY * p[k]) * known[k] if k in known else x
                 m += 0.1 * (x - m)
                 v += 0.01 * (x * x - v)
                 p[k] -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
@@ -278,6 +283,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, doc_id: str
     return found.column("_text").to_pylist(), found.column("_label").to_numpy().astype(np.int64)
 
 
+def fitted(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, folds: int, held_out: int, per_label: int, max_chars: int):
+    """The trained network as a broadcast variable of fixed size: the tables of hashed embeddings."""
+    p = train(*labelled_sample(docs, labels, label, doc_id, text, folds, held_out, per_label, max_chars))
+    return docs.sparkSession.sparkContext.broadcast(p)
+
+
+def batch_scores(p: Params | None, column: pa.Array) -> np.ndarray:
+    return score_texts(p, [t or "" for t in column.to_pylist()]) if p else np.zeros(len(column))
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 3,
                    held_out: int = 1, threshold: float = THRESHOLD, per_label: int = MAX_PER_LABEL, max_chars: int = MAX_TRAIN_CHARS) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted.
@@ -285,13 +300,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     Only the text enters a score. Labels of rows whose crc32(doc_id) mod folds is held_out are never read; null labels are ignored.
     Null, empty and wordless texts score 0. Without labels of both kinds nothing can be learnt and every score is 0. Every text is
     scored whole, in windows of 32 words every 24. Repeated rows score alike; an empty table gives an empty result."""
-    p = train(*labelled_sample(docs, labels, label, doc_id, text, folds, held_out, per_label, max_chars))
-    model = docs.sparkSession.sparkContext.broadcast(p)  # of fixed size: the tables of hashed embeddings
+    model = fitted(docs, labels, doc_id, text, label, folds, held_out, per_label, max_chars)
 
     def work(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = model.value
         for part in batches(source):
-            score = score_texts(p, [t or "" for t in part.column(2).to_pylist()]) if p else np.zeros(part.num_rows)
+            score = batch_scores(model.value, part.column(2))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))],
                 names=["doc_id", "held_out", "score", "predicted"],
@@ -299,3 +312,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), (fold_of(doc_id, folds) == held_out).alias("held_out"), F.col(text).alias("text"))
     return rows.mapInArrow(work, f"doc_id {dict(docs.dtypes)[doc_id]}, held_out boolean, score double, predicted int")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 3,
+               held_out: int = 1, threshold: float = THRESHOLD, per_label: int = MAX_PER_LABEL, max_chars: int = MAX_TRAIN_CHARS) -> DataFrame:
+    """The rows of docs, with their own columns, whose score is below the threshold; scores as in score_toxicity."""
+    model = fitted(docs, labels, doc_id, text, label, folds, held_out, per_label, max_chars)
+    place = docs.columns.index(text)
+
+    def work(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches(source):
+            yield part.filter(pa.array(batch_scores(model.value, part.column(place)) < threshold))
+
+    return docs.mapInArrow(work, docs.schema)
