@@ -46,21 +46,22 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], by: list[str] =
     return placed.groupBy(*by).agg(*picks).select(*by, F.array(*edges).alias("q"))
 
 
-def fit_edges(train: DataFrame, cols: list[str], bins: int = RATE_BINS) -> DataFrame:
-    """One row of de-duplicated inner quantile edges per column (`<col>_edges`).
+def fit_edges(train: DataFrame, cols: list[str], bins: int | dict[str, int] = RATE_BINS) -> DataFrame:
+    """One row of de-duplicated inner quantile edges per column (`<col>_edges`); bins may differ by column.
 
     Columns with few distinct values use the built-in percentile (its memory is one entry per value);
     the rest use the distributed histogram."""
-    probs = [i / bins for i in range(1, bins)]
+    each = bins if isinstance(bins, dict) else dict.fromkeys(cols, bins)
+    probs = {c: [i / n for i in range(1, n)] for c, n in each.items()}
     limit = group_rows(train.sparkSession) // 4
     sizes = train.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
     small = [c for c in cols if sizes[c] <= limit]
     parts = []
     if small:
-        parts.append(train.agg(*[F.percentile(F.col(c).cast("double"), F.lit(probs)).alias(f"{c}_edges") for c in small]))
+        parts.append(train.agg(*[F.percentile(F.col(c).cast("double"), F.lit(probs[c])).alias(f"{c}_edges") for c in small]))
     for c in cols:
         if c not in small:
-            parts.append(exact_quantiles(train, c, probs).withColumnRenamed("q", f"{c}_edges"))
+            parts.append(exact_quantiles(train, c, probs[c]).withColumnRenamed("q", f"{c}_edges"))
     row = reduce(lambda a, b: a.crossJoin(b), parts)
     default = F.array(F.lit(0.5))
     return row.select(*[F.coalesce(F.array_sort(F.array_distinct(f"{c}_edges")), default).alias(f"{c}_edges") for c in cols])
@@ -122,7 +123,7 @@ def bucket_ids(df: DataFrame, vocab: DataFrame, cols: list[str]) -> DataFrame:
     return out.drop(*[f"{c}_vocab" for c in cols])
 
 
-def bucket_fields(df: DataFrame, cols: list[str], bins: int) -> DataFrame:
+def bucket_fields(df: DataFrame, cols: list[str], bins: int | dict[str, int]) -> DataFrame:
     """Edges and vocabularies fitted on train, applied to every split."""
     table = cut_lineage(df)
     is_train = F.col("split") == "train"
@@ -146,8 +147,9 @@ def rate_fields(sdf: DataFrame, chunked: bool | None = None) -> DataFrame:
     return bucket_fields(rate_columns(sdf, chunked), ["user_rate", "video_rate"], RATE_BINS)
 
 
-def rank_columns(sdf: DataFrame, chunked: bool | None = None) -> DataFrame:
-    rated = rate_columns(sdf, chunked)
+def rank_columns(sdf: DataFrame, chunked: bool | None = None, rated: DataFrame | None = None) -> DataFrame:
+    """List position and length by video rate; rated is sdf with its rate columns, if they are there already."""
+    rated = rate_columns(sdf, chunked) if rated is None else rated
     by = ["split", "user_id"]
     large = has_large_group(sdf, by) if chunked is None else chunked
     ranked = X.list_quantile(rated, "video_rate", "list_q", chunked=large)
@@ -188,15 +190,18 @@ BASE = ["user_id", "video_id", "author_id", "tab"]
 
 
 def base_fields(sdf: DataFrame) -> DataFrame:
-    """Id fields and a duration bucket, each with its own vocabulary and unknown slot."""
+    """Id fields and a duration bucket, each with its own vocabulary and unknown slot.
+
+    Every vocabulary is fitted and written once, and large keys are looked for in sdf itself."""
     train = sdf.where(F.col("split") == "train")
     out = sdf
     for col in BASE:
-        vocab = fit_vocab(train, col)
+        vocab = cut_lineage(fit_vocab(train, col))
         name = col.removesuffix("_id")
-        out = encode(out, vocab, col, f"{name}_id_")
         size = vocab.agg((F.count(F.lit(1)) + 1).cast("int").alias(f"{name}_size"))
-        out = out.crossJoin(F.broadcast(size)).withColumnRenamed(f"{name}_id_", f"{name}_fid")
+        ids = vocab.select(F.col("value").alias("_w"), F.col("id").alias("_id"))
+        joined = keyed_join(out.withColumn("_w", F.col(col).cast("string")), ids, ["_w"], large=has_large_group(sdf, [col]))
+        out = joined.crossJoin(F.broadcast(size)).withColumn(f"{name}_fid", F.coalesce("_id", F.col(f"{name}_size") - 1)).drop("_w", "_id")
     edges = fit_edges(train, ["duration_ms"], RATE_BINS)
     placed = bucketize(out, edges, ["duration_ms"])
     vocab = bucket_vocab(bucketize(train, edges, ["duration_ms"]), ["duration_ms"])
@@ -237,37 +242,42 @@ def encode_all(
 ) -> DataFrame:
     """Every requested field as an id in one shared id space, in a fixed field order.
 
+    Features are added to the rows one after the other, so nothing is joined back on row_id: rates feed the list ranks, and all
+    numeric columns share one written table from which edges and bucket vocabularies are fitted. row_id must be unique over all splits.
     The result carries `fields` (ARRAY<INT>), `dim` and, on request, numeric, history and aux columns."""
     if chunked is None:
         chunked = has_large_group(sdf, ["user_id"])
-    out = base_fields(sdf)
     pairs = [(f"{n}_fid", f"{n}_size") for n in ("user", "video", "author", "tab", "dur")]
     extra: list[str] = []
-
-    def attach(part: DataFrame, ids: list[tuple[str, str]], nums: list[str]) -> None:
-        nonlocal out
-        cols = [c for pair in ids for c in pair] + nums
-        out = out.join(part.select("row_id", *cols), "row_id")
-        pairs.extend(ids)
-        extra.extend(nums)
-
+    bins: dict[str, int] = {}
+    out = base_fields(sdf)
     if use_hour:
         out = hour_field(out)
         pairs.append(("hour_fid", "hour_size"))
+    if use_rates or use_ranks:
+        out = cut_lineage(rate_columns(cut_lineage(out), chunked))
     if use_rates:
-        cols = ["user_rate", "video_rate"]
-        attach(rate_fields(sdf, chunked), [(f"{c}_id", f"{c}_size") for c in cols], cols)
+        bins |= dict.fromkeys(["user_rate", "video_rate"], RATE_BINS)
+        extra += ["user_rate", "video_rate"]
     if use_ranks:
-        attach(rank_fields(sdf, chunked), [(f"{c}_id", f"{c}_size") for c in ("list_q", "list_len")], [])
+        out = rank_columns(sdf, chunked, rated=out)
+        bins |= dict.fromkeys(["list_q", "list_len"], RATE_BINS)
     if use_recency:
-        ids = [(f"{c}_id", f"{c}_size") for c in [*RECENCY, "last1"]]
-        attach(recency_fields(sdf, chunked), ids, RECENCY + ["last1"])
+        out = recency_columns(out, chunked)
+        bins |= dict.fromkeys(RECENCY, RECENCY_BINS)
+        extra += [*RECENCY, "last1"]
     if seq_len > 0:
-        past = X.histories(out.select("row_id", "split", "user_id", F.col("video_fid").alias("video_id")), seq_len, chunked)
-        out = out.join(past.select("row_id", "hist", "mask"), "row_id")
-        extra.extend(["hist", "mask"])
+        out = X.histories(out.withColumn("_video", F.col("video_id")).withColumn("video_id", F.col("video_fid")), seq_len, chunked)
+        out = out.withColumn("video_id", F.col("_video")).drop("_video")
+        extra += ["hist", "mask"]
+    if bins:
+        out = bucket_fields(out, list(bins), bins)
+        pairs += [(f"{c}_id", f"{c}_size") for c in bins]
+    if use_recency:
+        out = out.withColumns({"last1_id": (F.col("last1") + 1).cast("int"), "last1_size": F.lit(3)})
+        pairs.append(("last1_id", "last1_size"))
     if need_aux:
-        extra.extend(["is_click", "play_time_ms", "duration_ms"])
+        extra += ["is_click", "play_time_ms", "duration_ms"]
     ids, start = [], F.lit(0)
     for fid, size in pairs:
         ids.append((F.col(fid) + start).cast("int"))

@@ -379,30 +379,32 @@ def base_fields(spark, sf):
     return tidy(out.select("row_id", "user_fid", "video_fid", "author_fid", "tab_fid", "dur_fid"))
 
 
+# Every column of the encoder with the id of its field, in field order; sizes add up to the next field's start.
+FIELD_IDS = [("user_fid", "s1"), ("video_fid", "s2"), ("author_fid", "s3"), ("tab_fid", "s4"), ("dur_fid", "bf.duration_ms_size"),
+             ("coalesce(nullif(list_position(h, hour), 0) - 1, len(h))", "len(h) + 1")]
+FIELD_IDS += [(f"{c}_id", f"{c}_size") for c in (*RATE_COLS, *RANK_COLS, *REC)] + [("last1 + 1", "3")]
+STARTS = [" + ".join(["0", *[size for _, size in FIELD_IDS[:i]]]) for i in range(len(FIELD_IDS) + 1)]
+
+
 @query(
     "encode_all",
-    f"""WITH {IMP}, {BASE_SQL}, {RATED}, {_edges_sql('rated', RATE_COLS, 10)}, {_bucket_sql('rated', RATE_COLS)}, {_ids_sql(RATE_COLS)},
+    f"""WITH {IMP}, {BASE_SQL}, {RATED}, {_list_q('rated', 'video_rate')},
+    {_edges_sql('rated', RATE_COLS, 10, 'er')}, {_bucket_sql('rated', RATE_COLS, 'br', 'er')}, {_ids_sql(RATE_COLS, 'br', 'ir')},
+    {_edges_sql('lq', RANK_COLS, 10, 'ek')}, {_bucket_sql('lq', RANK_COLS, 'bk', 'ek')}, {_ids_sql(RANK_COLS, 'bk', 'ik')}, {RECENCY},
+    {_edges_sql('rec', REC, 20, 'ec')}, {_bucket_sql('rec', REC, 'bc', 'ec')}, {_ids_sql(REC, 'bc', 'ic')},
     hv AS (SELECT list_sort(list(DISTINCT hour)) AS h FROM imp WHERE split = 'train'),
     z AS (SELECT {_vsize('user_id')} AS s1, {_vsize('video_id')} AS s2, {_vsize('author_id')} AS s3, {_vsize('tab')} AS s4),
     hist AS (SELECT row_id, coalesce(list(video_fid) OVER (PARTITION BY user_id ORDER BY row_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), []) AS l FROM bf)
-    SELECT row_id, array_to_string([user_fid, s1 + video_fid, s1 + s2 + author_fid, s1 + s2 + s3 + tab_fid, s1 + s2 + s3 + s4 + dur_fid,
-      s1 + s2 + s3 + s4 + duration_ms_size + coalesce(nullif(list_position(h, hour), 0) - 1, len(h)),
-      s1 + s2 + s3 + s4 + duration_ms_size + len(h) + 1 + user_rate_id,
-      s1 + s2 + s3 + s4 + duration_ms_size + len(h) + 1 + user_rate_size + video_rate_id], ',') AS fields,
-    s1 + s2 + s3 + s4 + duration_ms_size + len(h) + 1 + user_rate_size + video_rate_size AS dim,
+    SELECT row_id, array_to_string([{", ".join(f"{start} + {fid}" for (fid, _), start in zip(FIELD_IDS, STARTS))}], ',') AS fields,
+    CAST({STARTS[-1]} AS BIGINT) AS dim, round(ir.user_rate, 9) AS user_rate, round(decay_tot, 6) AS decay_tot, CAST(last1 AS BIGINT) AS last1, bf.play_time_ms,
     array_to_string(list_concat(list_transform(range(10 - len(l)), lambda x: 0), l), ',') AS hist
-    FROM bf JOIN idt USING (row_id) JOIN hist USING (row_id) CROSS JOIN hv CROSS JOIN z""",
+    FROM bf JOIN ir USING (row_id) JOIN ik USING (row_id) JOIN ic USING (row_id) JOIN hist USING (row_id) CROSS JOIN hv CROSS JOIN z""",
 )
 def encode_all(spark, sf):
-    out = E.encode_all(impressions(spark, sf), use_hour=True, use_rates=True, seq_len=10)
-    return tidy(
-        out.select(
-            "row_id",
-            F.array_join(F.col("fields").cast("array<string>"), ",").alias("fields"),
-            "dim",
-            F.array_join(F.col("hist").cast("array<string>"), ",").alias("hist"),
-        )
-    )
+    out = E.encode_all(impressions(spark, sf), True, True, True, True, seq_len=10, need_aux=True)
+    text = [F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("fields", "hist")]
+    rounded = [F.round("user_rate", 9).alias("user_rate"), F.round("decay_tot", 6).alias("decay_tot")]
+    return tidy(out.select("row_id", "dim", "last1", "play_time_ms", *text, *rounded))
 
 
 @query("aux_targets", f"WITH {IMP} SELECT row_id, split, CAST(is_click AS BIGINT) AS click, play_time_ms AS play, duration_ms AS dur FROM imp")

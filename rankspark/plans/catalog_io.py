@@ -58,18 +58,18 @@ def write_logs(spark, sf: str) -> str:
 
 @query(
     "read_impressions",
-    f"""WITH {LOGROWS} SELECT split, row_number() OVER (PARTITION BY split ORDER BY row_id) - 1 AS row_id, CAST(d2 AS BIGINT) AS date, CAST(user_id AS VARCHAR) AS user_id,
+    f"""WITH {LOGROWS} SELECT split, row_number() OVER (ORDER BY row_id) - 1 AS row_id, row_number() OVER (PARTITION BY split ORDER BY row_id) - 1 AS split_row_id, CAST(d2 AS BIGINT) AS date, CAST(user_id AS VARCHAR) AS user_id,
     CAST(video_id AS VARCHAR) AS video_id, CASE WHEN video_id < 90 THEN CAST(video_id % 10 AS VARCHAR) ELSE 'UNK' END AS author_id,
     (1 + video_id) * 1000.0::DOUBLE AS duration_ms, CAST(y AS BIGINT) AS long_view FROM sp WHERE split <> 'test'""",
 )
 def read_impressions(spark, sf):
     out = I.read_impressions(spark, write_logs(spark, sf))
-    return tidy(out.select("split", "row_id", "date", "user_id", "video_id", "author_id", "duration_ms", "long_view"))
+    return tidy(out.select("split", "row_id", "split_row_id", "date", "user_id", "video_id", "author_id", "duration_ms", "long_view"))
 
 
 @query(
     "read_impressions_extended",
-    f"""WITH {LOGROWS} SELECT split, row_number() OVER (PARTITION BY split ORDER BY row_id) - 1 AS row_id, CAST(hour AS BIGINT) AS hour, time_ms,
+    f"""WITH {LOGROWS} SELECT split, row_number() OVER (ORDER BY row_id) - 1 AS row_id, row_number() OVER (PARTITION BY split ORDER BY row_id) - 1 AS split_row_id, CAST(hour AS BIGINT) AS hour, time_ms,
     CAST(CASE WHEN event_type IN ('click','purchase','view') THEN 1 ELSE 0 END AS BIGINT) AS is_click, round(value * 1000.0, 6) AS play_time_ms,
     CASE WHEN split <> 'test' THEN CAST(y AS BIGINT) END AS long_view FROM sp""",
 )
@@ -77,7 +77,7 @@ def read_impressions_extended(spark, sf):
     """With a grant from the customer table: test rows appear, their labels stay missing."""
     grants = table(spark, sf, "customer").select(F.col("c_name").alias("grant_id"))
     out = I.read_impressions(spark, write_logs(spark, sf), grants=grants, extended=True)
-    return tidy(out.select("split", "row_id", "hour", "time_ms", "is_click", "play_time_ms", "long_view"), 6)
+    return tidy(out.select("split", "row_id", "split_row_id", "hour", "time_ms", "is_click", "play_time_ms", "long_view"), 6)
 
 
 @query(

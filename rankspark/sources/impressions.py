@@ -57,18 +57,25 @@ def _need(df: DataFrame, columns: list[str], path: str) -> DataFrame:
 POSITION = ["_f", "_n", "_b"]
 
 
-def with_row_id(df: DataFrame, keys: list[str] = []) -> DataFrame:
-    """Dense zero-based row ids in file order (inside each key if given).
-
-    The scan is written once, because block borders may differ between two scans of the same files; then
-    rows are numbered per block and block counts are carried forward (one row per block)."""
-    fixed = cut_lineage(df)
-    sizes = fixed.groupBy(*keys, *POSITION).agg(F.count(F.lit(1)).alias("_c"))
+def _numbered(df: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """Zero-based numbers in file order (inside each key if given): rows are numbered per block and block counts are
+    carried forward, one row per block."""
+    sizes = df.groupBy(*keys, *POSITION).agg(F.count(F.lit(1)).alias("_c"))
     before = Window.partitionBy(*keys).orderBy(*POSITION).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*keys, *POSITION, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_s"))
     local = F.row_number().over(Window.partitionBy(*keys, *POSITION).orderBy("_m")) - 1
-    numbered = fixed.withColumn("_l", local).join(starts, [*keys, *POSITION])
-    return numbered.withColumn("row_id", (F.col("_l") + F.col("_s")).cast("long")).drop("_l", "_s", "_m", *POSITION)
+    placed = df.withColumn("_l", local).join(starts, [*keys, *POSITION])
+    return placed.withColumn(out, (F.col("_l") + F.col("_s")).cast("long")).drop("_l", "_s")
+
+
+def with_row_id(df: DataFrame, keys: list[str] = []) -> DataFrame:
+    """`row_id`, dense and zero-based over all rows in file order; with keys also `split_row_id`, the same inside each key.
+
+    The scan is written once, because block borders may differ between two scans of the same files."""
+    out = _numbered(cut_lineage(df), [], "row_id")
+    if keys:
+        out = _numbered(out, keys, "split_row_id")
+    return out.drop("_m", *POSITION)
 
 
 def read_video_dim(spark: SparkSession, folder: str, scale: str | None = None) -> DataFrame:
@@ -114,7 +121,8 @@ def _logs(spark: SparkSession, folder: str, scale: str, extended: bool) -> DataF
 def read_impressions(
     spark: SparkSession, folder: str, scale: str | None = None, grants: DataFrame | None = None, extended: bool = False
 ) -> DataFrame:
-    """Typed, split, label-masked impressions with their author and a dense row id per split.
+    """Typed, split, label-masked impressions with their author, a `row_id` that is unique over all splits, and a dense
+    `split_row_id` for submissions.
 
     Test rows appear only with an access grant, and their labels stay missing."""
     found = detect_scale(spark, folder, scale)
@@ -141,8 +149,10 @@ def split_rows(spark: SparkSession, folder: str, split: str, scale: str | None =
 
 
 def write_impressions(df: DataFrame, path: str) -> None:
-    """The Parquet store: partitioned by split and date, so that split and date filters prune files."""
-    df.write.mode("overwrite").partitionBy("split", "date").parquet(path)
+    """The Parquet store: partitioned by split and date, so that split and date filters prune files. Rows meet by date and a
+    salt first, so that a date has a few files instead of one per task, and a busy date is not one task."""
+    salted = df.repartition("split", "date", F.pmod(F.xxhash64("user_id", "video_id"), F.lit(8)))
+    salted.write.mode("overwrite").partitionBy("split", "date").parquet(path)
 
 
 def open_impressions(spark: SparkSession, path: str, splits: list[str] | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from rankspark.operators import encoding as E
 from rankspark.operators import features as X
 from rankspark.operators import knowledge as N
 from rankspark.sources import impressions as I
@@ -28,21 +29,34 @@ def folder(tmp_path):
 
 
 def test_read_impressions(spark, folder):
-    got = rows(I.read_impressions(spark, str(folder)), "split", "row_id", "user_id", "video_id", "author_id", "long_view")
+    got = rows(I.read_impressions(spark, str(folder)), "split", "split_row_id", "row_id", "user_id", "video_id", "author_id", "long_view")
     assert got == [
-        ("train", 0, "u0", "1", "a", 1), ("train", 1, "u0", "2", "b", 0), ("train", 2, "u1", "1", "a", 1), ("train", 3, "u1", "2", "b", 0),
-        ("valid", 0, "u0", "1", "a", 1), ("valid", 1, "u0", "2", "b", 0),
+        ("train", 0, 0, "u0", "1", "a", 1), ("train", 1, 1, "u0", "2", "b", 0), ("train", 2, 2, "u1", "1", "a", 1), ("train", 3, 3, "u1", "2", "b", 0),
+        ("valid", 0, 4, "u0", "1", "a", 1), ("valid", 1, 5, "u0", "2", "b", 0),
     ]
 
 
 def test_grant_and_extended(spark, folder):
     grants = spark.createDataFrame([("g",)], "grant_id string")
     df = I.read_impressions(spark, str(folder), grants=grants, extended=True).where("split = 'test'")
-    assert rows(df, "row_id", "hour", "time_ms", "is_click", "play_time_ms", "long_view") == [
+    assert rows(df, "split_row_id", "hour", "time_ms", "is_click", "play_time_ms", "long_view") == [
         (0, 12, 1649000000006, 1, 1000.0, None), (1, 12, 1649000000007, 0, 100.0, None),
     ]
 
 
+def test_reader_to_encoder(spark, folder):
+    """From CSV through every switch of the encoder: as many rows as the log, each with its own features."""
+    grants = spark.createDataFrame([("g",)], "grant_id string")
+    log = I.read_impressions(spark, str(folder), grants=grants, extended=True)
+    for chunked in (False, True):
+        out = E.encode_all(log, True, True, True, True, seq_len=3, need_aux=True, chunked=chunked)
+        assert out.count() == log.count() == 8 and out.select("row_id").distinct().count() == 8
+        assert out.where("size(fields) = 16 and size(hist) = 3").count() == 8
+    parts = E.base_fields(log)
+    both = out.select("row_id", "fields").join(parts.select("row_id", "user_fid", "user_size", "video_fid"), "row_id")
+    assert both.where("fields[0] <> user_fid or fields[1] <> user_size + video_fid").isEmpty()
+
+
 def test_scale_and_missing_pieces(spark, folder):
     assert I.detect_scale(spark, str(folder)) == "pure"
     with pytest.raises(ValueError):
