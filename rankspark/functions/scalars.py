@@ -187,8 +187,35 @@ def json_scalar(text: Column) -> Column:
 
 def config_map(variant) -> Column:
     """MAP of JSON scalars from a JSON object held as VARIANT; NULL values are dropped."""
-    items = F.transform_values(_col(variant).cast("map<string,variant>"), lambda k, v: json_scalar(F.to_json(v)))
-    return F.map_filter(items, lambda k, v: v.isNotNull() & (v != "null"))
+    return _scalar_values(F.try_variant_get(_col(variant), "$", "map<string,variant>"))
+
+
+def _scalar_values(items: Column) -> Column:
+    texts = F.transform_values(items, lambda k, v: json_scalar(F.to_json(v)))
+    return F.map_filter(texts, lambda k, v: v.isNotNull() & (v != "null"))
+
+
+def pairs_map(text) -> Column:
+    """A config from its list form, a JSON array of [key, value] pairs; NULL when the text is none."""
+    pairs = F.try_variant_get(F.try_parse_json(_col(text)), "$", "array<array<variant>>")
+    keyed = F.transform(
+        F.filter(pairs, lambda p: F.size(p) == 2), lambda p: F.struct(F.try_variant_get(F.get(p, F.lit(0)), "$", "string").alias("key"), F.get(p, F.lit(1)).alias("value"))
+    )
+    return _scalar_values(F.map_from_entries(F.filter(keyed, lambda e: e["key"].isNotNull())))
+
+
+def literal_patch(text) -> Column:
+    """The first flat dictionary written in a text, in the spelling of Python or of JSON; NULL when there is none."""
+    found = F.regexp_extract(_col(text), r"\{[^{}]+\}", 0)
+    for pattern, into in (("'", '"'), (r"\bTrue\b", "true"), (r"\bFalse\b", "false"), (r"\bNone\b", "null")):
+        found = F.regexp_replace(found, pattern, into)
+    return config_map(F.try_parse_json(found))
+
+
+def raw_fingerprint(c) -> Column:
+    """Like fingerprint, but with keys at their default kept; only the seed is left out."""
+    kept = F.map_filter(_col(c), lambda k, v: k != "seed")
+    return F.array_join(F.array_sort(F.transform(F.map_entries(kept), lambda e: F.concat_ws("=", e["key"], e["value"]))), ";")
 
 
 def defaults_map() -> Column:

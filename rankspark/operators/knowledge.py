@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from rankspark.functions import scalars as E
 from rankspark.operators import ledger as L
-from rankspark.operators.ledger import RUN, yes
+from rankspark.operators.ledger import RUN, SCALES, yes
+from rankspark.session import cut_lineage
 
 # ---- fixed values: published size of each dataset scale ----
 PUBLISHED = [
@@ -17,7 +18,6 @@ PUBLISHED = [
     ("1k", 11713045, 1000, 4369953),
     ("27k", 322278385, 27285, 32038725),
 ]
-SCALES = ["pure", "1k", "27k"]
 
 # Legal patch keys per arm.
 ARM_KEYS = {
@@ -130,24 +130,39 @@ def validate_patches(patches: DataFrame) -> DataFrame:
 
 # ---- error memory ----------------------------------------------------------------------
 
-# Largest (token, query) index sent to every task; a larger one is joined by shuffle.
-INDEX_ROWS = 500_000
+RARE_TOKENS = 3  # of each query's tokens; they only set the first bound
 
 
 def similar_errors(queries: DataFrame, cases: DataFrame, k: int = 3) -> DataFrame:
-    """Top-k past cases per query by number of shared tokens, solved cases only.
+    """Top-k past cases per query by number of shared tokens of the whole texts, solved cases only.
 
-    Cases are placed by id as token sets; a case meets the queries' inverted index where it lies, its counts
-    are complete there, and the top-k cut runs before the (small) exchange by query."""
-    q = queries.select("query_id", F.explode(E.token_set(E.normalize_signature("signature"))).alias("token"))
-    if q.count() <= INDEX_ROWS:
-        q = F.broadcast(q)
+    A query's n tokens that occur at all are ordered from rare to frequent. Cases holding one of the first few give a
+    k-th best overlap t; a case with overlap t or more must then hold one of the first n - t + 1, so only those tokens
+    are looked up, and the overlaps of what they find are counted on the full token sets. Frequent tokens
+    are looked up only where nothing rarer decides."""
     text = F.concat_ws(" ", E.normalize_signature("message"), F.col("message"))
-    placed = cases.where(yes("success")).select("trial_id", E.token_set(text).alias("_t")).repartition("trial_id")
-    hits = placed.select("trial_id", F.explode("_t").alias("token")).join(q, "token")
-    overlap = hits.groupBy("trial_id", "query_id").agg(F.count(F.lit(1)).alias("overlap"))
-    best = Window.partitionBy("query_id").orderBy(F.col("overlap").desc(), "trial_id")
-    return overlap.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+    sets = cut_lineage(cases.where(yes("success")).select("trial_id", E.token_set(text).alias("held")))
+    index = cut_lineage(sets.select("trial_id", F.explode("held").alias("token")))
+    found = index.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    asked = queries.select("query_id", E.token_set("signature").alias("asked"))
+    tokens = asked.select("query_id", F.explode("asked").alias("token")).join(found, "token")
+    place = Window.partitionBy("query_id")  # the tokens of one query
+    tokens = cut_lineage(tokens.select(
+        "query_id", "token", F.row_number().over(place.orderBy("df", "token")).alias("rank"), F.count(F.lit(1)).over(place).alias("n"),
+    ))
+
+    def overlaps(looked: DataFrame) -> DataFrame:
+        pairs = looked.select("query_id", "token").join(index, "token").select("query_id", "trial_id").distinct()
+        both = pairs.join(asked, "query_id").join(sets, "trial_id")
+        return both.select("query_id", "trial_id", F.size(F.array_intersect("asked", "held")).cast("long").alias("overlap"))
+
+    def top(df: DataFrame) -> DataFrame:
+        best = Window.partitionBy("query_id").orderBy(F.col("overlap").desc(), "trial_id")
+        return df.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+
+    bound = top(overlaps(tokens.where(F.col("rank") <= RARE_TOKENS))).where(F.col("place") == k).select("query_id", F.col("overlap").alias("t"))
+    needed = tokens.join(cut_lineage(bound), "query_id", "left").where(F.col("rank") <= F.col("n") - F.coalesce("t", F.lit(1)) + 1)
+    return top(overlaps(needed))
 
 
 # ---- findings --------------------------------------------------------------------------
@@ -221,15 +236,23 @@ def merge_findings(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def graveyard(records: DataFrame) -> DataFrame:
-    """Falsified fingerprints per scale. Keys without a scale count as pure; the empty (default) identity is
-    never a grave."""
-    body = F.regexp_extract("key", r"^falsified:(?:(pure|1k|27k):)?(?:[^:=]*:)?([^:]*=.*)$", 2)
+    """Falsified fingerprints per scale: from the key, whose identity may be spelled key=value or as a list of pairs, from the
+    stored fingerprint, and from the patch, given as JSON or written in the text, in raw and canonical form. Records
+    without a known scale count as pure; the empty (default) identity is never a grave."""
+    none = F.lit(None).cast("string")
+    col = {c: F.col(c) if c in records.columns else none for c in ("patch", "text", "fingerprint", "scale")}
     from_key = F.regexp_extract("key", r"^falsified:(pure|1k|27k):", 1)
-    scale = F.lower(F.trim(F.coalesce("scale", from_key)))
+    scale = F.lower(F.trim(F.coalesce(F.when(col["scale"] != "", col["scale"]), from_key)))
     scale = F.when(scale.isin(SCALES), scale).otherwise("pure")
-    rows = records.where(F.col("tag") == "measured-1seed")
-    fps = F.explode(F.array_distinct(F.array_compact(F.array("fingerprint", body))))
-    return rows.select(scale.alias("scale"), fps.alias("fingerprint")).where(F.col("fingerprint") != "").distinct()
+    body = F.regexp_extract("key", r"^falsified:(?:(?:pure|1k|27k):)?(?:[^:=\[]*:)?([^:\[]*=.*|\[.*)$", 1)
+
+    def spelled(text: Column) -> Column:
+        return F.when(text.startswith("["), E.fingerprint(E.pairs_map(text))).otherwise(text)
+
+    patch = F.coalesce(E.config_map(F.try_parse_json(col["patch"])), E.literal_patch(col["text"]))
+    fps = F.array(spelled(body), spelled(col["fingerprint"]), E.raw_fingerprint(patch), E.fingerprint(patch))
+    rows = records.where(F.col("tag") == "measured-1seed").select(scale.alias("scale"), F.explode(F.array_compact(fps)).alias("fingerprint"))
+    return rows.where(F.col("fingerprint") != "").distinct()
 
 
 def claim_cards(ledger: DataFrame) -> DataFrame:

@@ -21,8 +21,8 @@ TIMEOUT_STATES = ["timeout", "partial"]
 EPSILON = 0.002
 NEAR_TOP_EPS = 0.002
 COMPLEMENT_DELTA = 0.03
-MAX_CONFIGS = 2
-MAX_SEEDS = 3
+MAX_CROSSOVERS = 3
+SCALES = ["pure", "1k", "27k"]
 # ----------------------
 
 
@@ -435,14 +435,17 @@ def _grid_rows(bases: DataFrame, grid: list[tuple[str, dict[str, str]]]) -> Data
 
 
 def untried(ledger: DataFrame, grid: list[tuple[str, dict[str, str]]], graves: DataFrame | None = None) -> DataFrame:
-    """Patches of the grid that, merged into the incumbent, give a solution the run has not tried."""
+    """Patches of the grid that, merged into the incumbent, give a solution the run has not tried; graves (scale,
+    fingerprint) bury a patch only at the incumbent's own data scale."""
     tried = ledger.where(~F.col("is_skip")).select(RUN, solution_key().alias("_k")).distinct()
     cells = _grid_rows(best_node(ledger).select(RUN, "config", "source_hash"), grid)
     cells = cells.withColumn("_k", E.fingerprint(E.overlay("config", "patch"), "source_hash"))
     out = cells.join(tried, [RUN, "_k"], "left_anti").withColumn("patch_fp", E.fingerprint("patch"))
     if graves is not None:
-        dead = graves.select(F.col("fingerprint").alias("patch_fp")).distinct()
-        out = out.join(dead, "patch_fp", "left_anti")
+        named = F.lower(F.regexp_replace(F.try_element_at("config", F.lit("data_scale")), '"', ""))
+        own = F.when(named.isin(SCALES), named).otherwise("pure")
+        dead = graves.select(F.col("scale").alias("_scale"), F.col("fingerprint").alias("patch_fp")).distinct()
+        out = out.withColumn("_scale", own).join(dead, ["_scale", "patch_fp"], "left_anti")
     return out.select(RUN, "arm", "patch_fp")
 
 
@@ -466,17 +469,17 @@ def exhausted_arms(ledger: DataFrame, grid: list[tuple[str, dict[str, str]]], gr
     return runs.join(untried(ledger, grid, graves).select(RUN, "arm").distinct(), [RUN, "arm"], "left_anti")
 
 
-def tried_by_parent(ledger: DataFrame, limit: int = 12) -> DataFrame:
-    """Canonical patches tried per parent and arm: the first `limit` distinct ones (a report length)."""
+def tried_by_parent(ledger: DataFrame) -> DataFrame:
+    """Every canonical patch tried per parent and arm, with its place in order of first trial."""
     rows = with_identity(ledger.where(~F.col("is_skip"))).where(F.col("fp") != "")
     first = rows.groupBy(RUN, "parent_id", "arm", "fp").agg(F.min("seq").alias("_s"))
     w = Window.partitionBy(RUN, "parent_id", "arm").orderBy("_s")
-    return first.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).drop("_s")
+    return first.withColumn("place", F.row_number().over(w)).drop("_s")
 
 
-def crossover_candidates(ledger: DataFrame, eps: float = NEAR_TOP_EPS, limit: int = 3) -> DataFrame:
-    """Flags of near-top partners the incumbent identity lacks; at most `limit` merges per run, which is
-    the operator's own rule."""
+def crossover_candidates(ledger: DataFrame, eps: float = NEAR_TOP_EPS, most: int = MAX_CROSSOVERS) -> DataFrame:
+    """Flags of near-top partners the incumbent identity lacks and no node of the run has merged yet (`crossover_delta`).
+    Runs in which `most` crossovers have been run (`crossover`) get none."""
     keep = best_node(ledger).select(RUN, "node_id").join(confirmed_identity(ledger), [RUN, "node_id"]).select(
         RUN, F.col("identity").alias("_keep")
     )
@@ -490,13 +493,18 @@ def crossover_candidates(ledger: DataFrame, eps: float = NEAR_TOP_EPS, limit: in
         .where(F.col("delta_fp") != "")
     )
     first = merged.groupBy(RUN, "delta_fp").agg(F.min("first_seq").alias("_s"), F.min_by("fp", "first_seq").alias("partner"))
+    done = ledger.where(F.col("crossover_delta").isNotNull()).select(RUN, F.col("crossover_delta").alias("delta_fp")).distinct()
+    spent = ledger.where(yes("crossover")).groupBy(RUN).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= most).select(RUN)
+    open_ = first.join(done, [RUN, "delta_fp"], "left_anti").join(spent, RUN, "left_anti")
     w = Window.partitionBy(RUN).orderBy("_s")
-    return first.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).select(RUN, "delta_fp", "partner", "place")
+    return open_.withColumn("place", F.row_number().over(w)).select(RUN, "delta_fp", "partner", "place")
 
 
-def expand_jobs(specs: DataFrame, graves: DataFrame | None = None) -> DataFrame:
+def expand_jobs(
+    specs: DataFrame, graves: DataFrame | None = None, max_configs: int | None = None, max_seeds: int | None = None
+) -> DataFrame:
     """Ablation jobs from specs (run_id, pending, configs, seeds): the pending config first, repeats and
-    graves after it dropped, two configs and three seeds at most as the job format defines."""
+    graves after it dropped; all configs and seeds unless a job format sets its own most."""
     order = F.when(F.col("pending").isNotNull(), F.concat(F.array("pending"), "configs")).otherwise(F.col("configs"))
     rows = specs.select(RUN, F.posexplode(order).alias("_i", "config"), "seeds").withColumn("fp", E.fingerprint("config"))
     first = rows.groupBy(RUN, "fp").agg(F.min("_i").alias("_i"), F.min_by("seeds", "_i").alias("seeds"))
@@ -504,10 +512,11 @@ def expand_jobs(specs: DataFrame, graves: DataFrame | None = None) -> DataFrame:
         dead = graves.select(F.col("fingerprint").alias("fp")).distinct().withColumn("_dead", F.lit(True))
         first = first.join(dead, "fp", "left").where((F.col("_i") == 0) | ~yes("_dead")).drop("_dead")
     w = Window.partitionBy(RUN).orderBy("_i")
-    kept = first.withColumn("config_idx", F.row_number().over(w) - 1).where(F.col("config_idx") < MAX_CONFIGS)
-    return kept.select(
-        RUN, "config_idx", "fp", F.explode(F.slice("seeds", 1, MAX_SEEDS)).alias("seed")
-    ).withColumn("label", F.format_string("c%d_s%d", "config_idx", "seed"))
+    kept = first.withColumn("config_idx", F.row_number().over(w) - 1)
+    if max_configs is not None:
+        kept = kept.where(F.col("config_idx") < max_configs)
+    seeds = F.col("seeds") if max_seeds is None else F.slice("seeds", 1, max_seeds)
+    return kept.select(RUN, "config_idx", "fp", F.explode(seeds).alias("seed")).withColumn("label", F.format_string("c%d_s%d", "config_idx", "seed"))
 
 
 # ---- seed tables and winners -----------------------------------------------------------
@@ -657,27 +666,27 @@ def arm_posterior(ledger: DataFrame, priors: DataFrame) -> DataFrame:
     )
 
 
-def recent_facts(ledger: DataFrame) -> DataFrame:
-    """The latest facts of each run by kind: screens, falsified patches, timeouts, the last ablation, and every
-    confirmed node. The lengths are the report's."""
+def recent_facts(ledger: DataFrame, lengths: dict[str, int] | None = None) -> DataFrame:
+    """The facts of each run by kind with their age (1 is the latest): screens, falsified patches, timeouts, ablations, and
+    confirmed nodes without an age. A report may ask for fewer by kind, as in {"screen": 12}."""
     improve = (F.col("stage") == "improve") & (F.col("arm") != "ablate")
     rows = with_identity(ledger).where(F.col("fp").isNotNull())
 
-    def latest(df: DataFrame, kind: str, n: int | None) -> DataFrame:
+    def latest(df: DataFrame, kind: str) -> DataFrame:
         out = df.select(RUN, "node_id", "seq", F.lit(kind).alias("fact"))
-        if n is None:
+        if kind == "confirmed":
             return out.withColumn("age", F.lit(None).cast("int"))
-        w = Window.partitionBy(RUN).orderBy(F.col("seq").desc())
-        return out.withColumn("age", F.row_number().over(w)).where(F.col("age") <= n)
+        out = out.withColumn("age", F.row_number().over(Window.partitionBy(RUN).orderBy(F.col("seq").desc())))
+        return out.where(F.col("age") <= lengths[kind]) if lengths and kind in lengths else out
 
     dead = rows.where(improve & ~F.col("is_skip") & is_falsified())
     dead = dead.groupBy(RUN, "fp").agg(F.min_by("node_id", "seq").alias("node_id"), F.min("seq").alias("seq"))
     parts = [
-        latest(rows.where(improve & ~F.col("is_skip")), "screen", 12),
-        latest(dead, "falsified", 8),
-        latest(rows.where(is_timeout()), "timeout", 6),
-        latest(rows.where(F.col("stage") == "ablate"), "ablate", 1),
-        latest(rows.where(is_good() & yes("confirmed")), "confirmed", None),
+        latest(rows.where(improve & ~F.col("is_skip")), "screen"),
+        latest(dead, "falsified"),
+        latest(rows.where(is_timeout()), "timeout"),
+        latest(rows.where(F.col("stage") == "ablate"), "ablate"),
+        latest(rows.where(is_good() & yes("confirmed")), "confirmed"),
     ]
     out = parts[0]
     for p in parts[1:]:

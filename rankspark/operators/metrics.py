@@ -215,9 +215,11 @@ def bootstrap_replicates(pairs: DataFrame, replicates: int = 500, seed: int = 0)
 
 
 def paired_bootstrap(pairs: DataFrame, replicates: int = 500, seed: int = 0, min_users: int = 8) -> DataFrame:
-    """Paired user bootstrap of Δprimary: mean, SE (ddof 1) and the 95 % interval."""
-    reps = bootstrap_replicates(pairs, replicates, seed)
+    """Paired user bootstrap of Δprimary: mean, SE (ddof 1) and the 95 % interval; NULL for models of fewer than min_users
+    users, which stay in the result."""
     users = pairs.groupBy("model_id").agg(F.count(F.lit(1)).alias("n_users"))
+    enough = F.broadcast(users.where(F.col("n_users") >= min_users).select("model_id"))  # one row per compared model
+    reps = bootstrap_replicates(pairs.join(enough, "model_id", "left_semi"), replicates, seed)
     stats = reps.groupBy("model_id").agg(
         F.stddev_samp("delta").alias("se_val_delta"),
         F.percentile("delta", F.lit(0.025)).alias("ci95_lo"),
@@ -225,7 +227,7 @@ def paired_bootstrap(pairs: DataFrame, replicates: int = 500, seed: int = 0, min
         F.avg("delta").alias("mean_delta"),
         F.count(F.lit(1)).alias("replicates"),
     )
-    return stats.join(users.where(F.col("n_users") >= min_users), "model_id")
+    return users.join(stats, "model_id", "left").select(*stats.columns, "n_users")
 
 
 def with_halves(scores: DataFrame, by: list[str] = MODEL) -> DataFrame:
@@ -247,11 +249,13 @@ def with_halves(scores: DataFrame, by: list[str] = MODEL) -> DataFrame:
 
 
 def half_primaries(scores: DataFrame, chunked: bool | None = None) -> DataFrame:
+    """Primary of each half; NULL for models too small to be halved, which stay in the result."""
     per_half = ranking_metrics(with_halves(scores), ["model_id", "half"], chunked=chunked)
-    return per_half.groupBy("model_id").agg(
+    halves = per_half.groupBy("model_id").agg(
         F.max(F.when(F.col("half") == "front", F.col("primary"))).alias("primary_front"),
         F.max(F.when(F.col("half") == "back", F.col("primary"))).alias("primary_back"),
     )
+    return scores.select("model_id").distinct().join(halves, "model_id", "left")
 
 
 def temporal_halves(scores: DataFrame, incumbent: str, chunked: bool | None = None) -> DataFrame:
@@ -263,7 +267,7 @@ def temporal_halves(scores: DataFrame, incumbent: str, chunked: bool | None = No
     front, back = F.col("primary_front") - F.col("_f"), F.col("primary_back") - F.col("_b")
     return (
         halves.where(F.col("model_id") != incumbent)
-        .crossJoin(inc)
+        .crossJoin(F.broadcast(inc))  # one row
         .select(
             "model_id",
             front.alias("delta_front"),

@@ -204,7 +204,7 @@ def validate_patches(spark, sf):
 
 @query(
     "similar_errors",
-    f"""WITH q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower({NORM.format(c='text')}), '[a-z_]{{3,}}'))) AS token FROM benchmark),
+    f"""WITH q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z_]{{3,}}'))) AS token FROM benchmark),
     c AS (SELECT doc_id AS trial_id, unnest(list_distinct(regexp_extract_all(lower({NORM.format(c='text')} || ' ' || text), '[a-z_]{{3,}}'))) AS token FROM documents WHERE doc_id % 4 <> 0),
     o AS (SELECT query_id, trial_id, count(*) AS overlap FROM q JOIN c USING (token) GROUP BY 1, 2)
     SELECT query_id, trial_id, overlap, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, trial_id) AS place FROM o QUALIFY place <= 3""",
@@ -244,15 +244,33 @@ def merge_findings(spark, sf):
     return merged.select("key", "run_id")
 
 
-@query("graveyard", f"WITH {LEDGER}, {FALS} SELECT DISTINCT 'pure' AS scale, fp AS fingerprint FROM fz UNION SELECT DISTINCT '1k', fp || ';x=1' FROM fz")
+@query(
+    "graveyard",
+    f"""WITH {LEDGER}, {FALS} SELECT DISTINCT 'pure' AS scale, fp AS fingerprint FROM fz UNION SELECT DISTINCT '1k', fp || ';x=1' FROM fz
+    UNION SELECT '27k', 'k=' || (seq + 100) || ';x=true' FROM ledger WHERE stage = 'improve'
+    UNION SELECT '1k', 'k=' || (seq + 200) || ';loss="bpr"' FROM ledger WHERE stage = 'improve'
+    UNION SELECT 'pure', 'k=' || (seq + 300) || ';use_hour=true' FROM ledger WHERE stage = 'improve'""",
+)
 def graveyard(spark, sf):
-    """Current records, and the same as scoped keys of the 1k scale without a stored fingerprint."""
+    """Current records, the same as scoped keys of the 1k scale without a stored fingerprint, and records with a key in list
+    form, with a patch, and with a patch in the text."""
     recs = N.findings(ledger(spark, sf)).where(F.col("key").startswith("falsified:"))
     scoped = recs.select(
         F.concat(F.regexp_replace("key", "^falsified:pure:", "falsified:1k:"), F.lit(";x=1")).alias("key"),
         "tag", "run_id", "text", F.lit(None).cast("string").alias("fingerprint"), F.lit(None).cast("string").alias("scale"),
     )
-    return N.graveyard(recs.unionByName(scoped))
+    node = ledger(spark, sf).where(F.col("stage") == "improve")
+    one = F.lit("measured-1seed").alias("tag")
+    listed = node.select(F.format_string('falsified:27k:[["k", %d], ["x", true]]', F.col("seq") + 100).alias("key"), one)
+    patched = node.select(
+        F.format_string("falsified:%d", "seq").alias("key"), one, F.lit(" 1K").alias("scale"),
+        F.format_string('{"k": %d.0, "loss": "bpr", "seed": 3}', F.col("seq") + 200).alias("patch"),
+    )
+    told = node.select(F.lit("").alias("key"), one, F.format_string("tried {'k': %d, 'use_hour': True} again", F.col("seq") + 300).alias("text"))
+    every = recs.unionByName(scoped)
+    for part in (listed, patched, told):
+        every = every.unionByName(part, allowMissingColumns=True)
+    return N.graveyard(every)
 
 
 @query(

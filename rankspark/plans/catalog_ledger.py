@@ -307,7 +307,7 @@ def untried_patches(spark, sf):
     return L.untried(ledger(spark, sf), GRID)
 
 
-GRAVES = "dead AS (SELECT DISTINCT fp FROM ledger WHERE ci95_hi < -0.009)"
+GRAVES = "dead AS (SELECT DISTINCT fp FROM ledger WHERE ci95_hi < -0.009 AND ci95_hi >= -0.0095)"
 
 
 @query(
@@ -316,7 +316,8 @@ GRAVES = "dead AS (SELECT DISTINCT fp FROM ledger WHERE ci95_hi < -0.009)"
 )
 def untried_without_graves(spark, sf):
     rows = ledger(spark, sf)
-    graves = rows.where(F.col("ci95_hi") < -0.009).select(E.fingerprint("config").alias("fingerprint"))
+    scale = F.when(F.col("ci95_hi") < -0.0095, "1k").otherwise("pure")  # graves of another scale bury nothing here
+    graves = rows.where(F.col("ci95_hi") < -0.009).select(scale.alias("scale"), E.fingerprint("config").alias("fingerprint"))
     return L.untried(rows, GRID, graves)
 
 
@@ -341,7 +342,7 @@ def exhausted_arms(spark, sf):
 @query(
     "tried_by_parent",
     f"""WITH {LEDGER}, t AS (SELECT run_id, parent_id, arm, fp, min(seq) AS s FROM ledger WHERE NOT is_skip AND fp <> '' GROUP BY 1, 2, 3, 4)
-    SELECT run_id, parent_id, arm, fp, row_number() OVER (PARTITION BY run_id, parent_id, arm ORDER BY s) AS place FROM t QUALIFY place <= 12""",
+    SELECT run_id, parent_id, arm, fp, row_number() OVER (PARTITION BY run_id, parent_id, arm ORDER BY s) AS place FROM t""",
 )
 def tried_by_parent(spark, sf):
     return tidy(L.tried_by_parent(ledger(spark, sf)))
@@ -358,18 +359,25 @@ def tried_by_parent(spark, sf):
     m AS (SELECT nt.run_id, nt.fp AS partner, nt.first_seq, concat_ws(';', CASE WHEN o.seq_len <> '0' AND o.seq_len <> keep.seq_len THEN 'seq_len=' || o.seq_len END,
       CASE WHEN o.utd = 'true' AND keep.utd <> 'true' THEN 'use_time_decay=true' END) AS delta_fp
       FROM nt JOIN keep USING (run_id) JOIN ledger o ON o.seq = nt.first_seq WHERE nt.fp <> keep.fp),
-    d AS (SELECT run_id, delta_fp, min(first_seq) AS s, arg_min(partner, first_seq) AS partner FROM m WHERE delta_fp <> '' GROUP BY 1, 2)
-    SELECT run_id, delta_fp, partner, row_number() OVER (PARTITION BY run_id ORDER BY s) AS place FROM d QUALIFY place <= 3""",
+    d AS (SELECT run_id, delta_fp, min(first_seq) AS s, arg_min(partner, first_seq) AS partner FROM m WHERE delta_fp <> '' GROUP BY 1, 2),
+    spent AS (SELECT run_id FROM ledger WHERE seq % 40 = 7 GROUP BY 1 HAVING count(*) >= 3),
+    done AS (SELECT DISTINCT run_id FROM ledger WHERE seq % 3 = 1 AND run_id % 2 = 0)
+    SELECT run_id, delta_fp, partner, row_number() OVER (PARTITION BY run_id ORDER BY s) AS place FROM d
+    WHERE run_id NOT IN (SELECT run_id FROM spent) AND NOT (delta_fp = 'use_time_decay=true' AND run_id IN (SELECT run_id FROM done))""",
 )
 def crossover_candidates(spark, sf):
-    return tidy(L.crossover_candidates(ledger(spark, sf), WIDE))
+    merged = (F.col("seq") % 3 == 1) & (F.col("run_id") % 2 == 0)
+    rows = ledger(spark, sf).withColumns(
+        {"crossover": F.col("seq") % 40 == 7, "crossover_delta": F.when(merged, "use_time_decay=true")}
+    )
+    return tidy(L.crossover_candidates(rows, WIDE))
 
 
 @query(
     "expand_jobs",
     f"""WITH {LEDGER}, c AS (SELECT run_id, fp, min(seq) AS s FROM ledger WHERE stage = 'improve' GROUP BY 1, 2),
-    r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY s) - 1 AS config_idx FROM c QUALIFY config_idx < 2)
-    SELECT run_id, config_idx, fp, seed, printf('c%d_s%d', config_idx, seed) AS label FROM (SELECT *, unnest([0, 1, 2]::BIGINT[]) AS seed FROM r)""",
+    r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY s) - 1 AS config_idx FROM c)
+    SELECT run_id, config_idx, fp, seed, printf('c%d_s%d', config_idx, seed) AS label FROM (SELECT *, unnest([0, 1, 2, 3, 4]::BIGINT[]) AS seed FROM r)""",
 )
 def expand_jobs(spark, sf):
     """Specs from the ledger: the first improve config is pending, the first later ones follow."""
@@ -509,7 +517,7 @@ def arm_posterior(spark, sf):
     f AS (SELECT run_id, seq AS node_id, 'falsified' AS fact, row_number() OVER (PARTITION BY run_id ORDER BY seq DESC) AS age FROM f0),
     t AS (SELECT run_id, node_id, 'timeout' AS fact, row_number() OVER (PARTITION BY run_id ORDER BY seq DESC) AS age FROM ledger WHERE {TIMEOUT}),
     a AS (SELECT run_id, node_id, 'ablate' AS fact, row_number() OVER (PARTITION BY run_id ORDER BY seq DESC) AS age FROM ledger WHERE stage = 'ablate')
-    SELECT * FROM s WHERE age <= 12 UNION ALL SELECT * FROM f WHERE age <= 8 UNION ALL SELECT * FROM t WHERE age <= 6 UNION ALL SELECT * FROM a WHERE age <= 1
+    SELECT * FROM s UNION ALL SELECT * FROM f UNION ALL SELECT * FROM t UNION ALL SELECT * FROM a
     UNION ALL SELECT run_id, node_id, 'confirmed', NULL FROM ledger WHERE {GOOD} AND confirmed""",
 )
 def recent_facts(spark, sf):

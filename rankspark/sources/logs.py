@@ -65,7 +65,7 @@ def ledger_view(nodes: DataFrame) -> DataFrame:
     def get(name: str, kind: str):
         return F.try_variant_get("extra", f"$.{name}", kind)
 
-    flags = ["confirmed", "partial", "weak_incumbent", "screen_pass", "blend_rejected"]
+    flags = ["confirmed", "partial", "weak_incumbent", "screen_pass", "blend_rejected", "crossover"]
     numbers = [
         "confirmed_mean", "delta_primary", "delta_gauc", "delta_ndcg", "se_val_delta", "ci95_lo", "ci95_hi", "expected_delta",
         "delta_front", "delta_back", "temporal_disagree", "blend_alpha", "blend_gamma", "blend_bag_primary", "submit_bag_primary",
@@ -82,6 +82,7 @@ def ledger_view(nodes: DataFrame) -> DataFrame:
         get("config_idx", "int").alias("config_idx"),
         get("source_hash", "string").alias("source_hash"),
         get("ensemble_kind", "string").alias("ensemble_kind"),
+        get("crossover_delta", "string").alias("crossover_delta"),
         F.coalesce(get("exec_status", "string"), F.when(F.col("error") == "timeout", "timeout")).alias("exec_status"),
         F.try_variant_get("extra", "$.members", "array<string>").alias("members"),
         config_map(full).alias("config"),

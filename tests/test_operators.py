@@ -167,7 +167,7 @@ def test_bootstrap_se_matches_theory(spark):
 
 def test_few_users_give_no_bootstrap(spark):
     s = packs(spark, "aabb", [1, 0, 1, 0], inc=[1, 0, 1, 0], cand=[0, 1, 0, 1])
-    assert M.paired_bootstrap(M.paired_users(M.user_metrics(s), "inc")).count() == 0
+    assert M.paired_bootstrap(M.paired_users(M.user_metrics(s), "inc")).where("se_val_delta IS NULL AND replicates IS NULL AND n_users > 0").count() == 1
 
 
 def test_alpha_zero_keeps_the_model(spark):
@@ -309,6 +309,38 @@ def test_graveyard_reads_old_keys(spark):
     assert rows(N.graveyard(recs), "scale", "fingerprint") == [("1k", "k=8"), ("pure", 'loss="bpr"')]
 
 
+def test_graveyard_reads_every_form(spark):
+    recs = spark.createDataFrame(
+        [('falsified:[["k", 8], ["loss", "bpr"]]', None, None, None, None), ('falsified:1k:root:[["k", 9.0]]', "", None, None, "pure"),
+         ("x", None, '{"k": 16, "seq_len": 20, "seed": 1}', None, "27k"), ("y", "[]", None, "was {'use_hour': True, 'k': 5}", ""),
+         ("z", '[["k", 7]]', "not json", "no patch {k}", "27K")],
+        "key string, fingerprint string, patch string, text string, scale string",
+    ).withColumn("tag", F.lit("measured-1seed"))
+    assert rows(N.graveyard(recs), "scale", "fingerprint") == [
+        ("27k", "k=16;seq_len=20"), ("27k", "k=7"), ("27k", "seq_len=20"), ("pure", 'k=5;use_hour=true'), ("pure", 'k=8;loss="bpr"'), ("pure", "k=9"),
+    ]
+
+
+def test_similar_errors_reads_whole_texts(spark):
+    long = "common " * 100
+    q = spark.createDataFrame([(1, long + " needle"), (2, "common words only")], "query_id long, signature string")
+    c = spark.createDataFrame(
+        [(k, "common words", True) for k in range(20)] + [(50, "needle", True), (51, "common needle haystack", True), (52, "needle", False)],
+        "trial_id long, message string, success boolean",
+    )
+    got = {(r.query_id, r.place): (r.trial_id, r.overlap) for r in N.similar_errors(q, c).collect()}
+    assert got == {(1, 1): (51, 2), (1, 2): (0, 1), (1, 3): (1, 1), (2, 1): (0, 2), (2, 2): (1, 2), (2, 3): (2, 2)}
+
+
+def test_small_models_stay_with_nulls(spark):
+    s = spark.createDataFrame(
+        [(m, i, f"u{i % 3}", i % 2, float(i), 1) for m, n in (("inc", 40), ("a", 40), ("b", 10)) for i in range(n)],
+        "model_id string, row_id long, user_id string, label int, score double, date int",
+    )
+    got = {r.model_id: r for r in M.temporal_halves(s, "inc").collect()}
+    assert got["a"].delta_front == 0.0 and got["b"].delta_front is None and len(got) == 2
+
+
 def test_validate_drops_tree_keys_with_family(spark):
     p = spark.createDataFrame([(0, "architecture", {"model_family": '"gbm"', "gbm_leaves": "7", "seed": "1"})], "patch_id long, arm string, patch map<string,string>")
     assert N.validate_patches(p).first()["clean"] == {"model_family": '"gbm"'}
