@@ -4,9 +4,10 @@ A document is the set of its five-word shingles. 128 MinHash samples in 32 bands
 shares no band once in 190,000), an odd sketch of the same samples estimates each candidate pair's similarity from the bits in
 which two parity bitmaps differ, and pairs it does not rule out are confirmed on their full sets.
 
-Equal sets are one class from the start. A bucket is never expanded into all its pairs: in each round a few of its members
-that stand outside its largest component meet the bucket's members of other components, and are then done in that bucket; what was found
-merges components before the next round. A bucket rests when its open members are all in one component.
+Equal sets are one class from the start. A bucket is never expanded into all its pairs. First every member meets the bucket's
+smallest member, which joins what lies around it into components. Then only members outside the bucket's largest component are left
+to be compared: as a query set, in blocks of a few dozen, each meets the bucket's members of other components, and only the pairs their
+sketches let through leave the comparison.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankspark.llm.words import batches, blocks, by_text, encoded, hash_words, mix
@@ -27,7 +28,7 @@ THRESHOLD_PERCENT = 75
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 1024
-LEADERS = 4
+BLOCK = 48  # members of a bucket compared together
 _SEED = np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64)
 _A = mix(_SEED[:SAMPLES] * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _B = mix(_SEED[SAMPLES:] * np.uint64(0xD1342543DE82EF95))
@@ -127,30 +128,40 @@ def full_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> Dat
 
 
 def differing_bits(a: Column, b: Column) -> Column:
-    words = SKETCH_BITS // 64
-    bits = [F.bit_count(F.element_at(a, i + 1).bitwiseXOR(F.element_at(b, i + 1))) for i in range(words)]
+    bits = [F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(SKETCH_BITS // 64)]
     return sum(bits[1:], bits[0])
 
 
-def leaders_of(entries: DataFrame, labels: DataFrame | None, leaders: int) -> tuple[DataFrame, DataFrame]:
-    """The open entries of unfinished buckets as (key, cls, label), and the few of each bucket that lead this round: the first by
-    the size of their component within the bucket, smallest first. Spark keeps only the leading rows before it shuffles."""
-    if labels is None:
-        named = entries.withColumn("label", F.col("cls"))
-        return named, named.groupBy("key").agg(F.min("cls").alias("cls")).withColumn("label", F.col("cls"))
-    named = entries.join(labels, "cls")
-    parts = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
-    several = parts.groupBy("key").agg(F.count(F.lit(1)).alias("n_labels")).where("n_labels > 1").select("key")
-    live = cut_lineage(named.join(parts.join(several, "key"), ["key", "label"]))
-    place = F.row_number().over(Window.partitionBy("key").orderBy("size", "label", "cls"))
-    return live.drop("size"), live.withColumn("place", place).where(F.col("place") <= leaders).select("key", "cls", "label")
+def may_link(n_a: Column, a: Column, n_b: Column, b: Column, percent: int, limit: int) -> Column:
+    """Whether sizes and sketches leave a similarity of percent possible."""
+    sizes = 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
+    return sizes & (differing_bits(a, b) <= limit)
+
 
+def star_pairs(entries: DataFrame, members: DataFrame, percent: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(x, y) pairs of each bucket's smallest member with its others, and those smallest members by key."""
+    lead = cut_lineage(entries.groupBy("key").agg(F.min("cls").alias("x")))
+    pairs = entries.join(lead, "key").where("cls <> x").select("x", F.col("cls").alias("y")).distinct()
+    x, y = [members.select(F.col("cls").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_s")) for c in "xy"]
+    near = pairs.join(x, "x").join(y, "y").where(may_link(F.col("x_n"), F.col("x_s"), F.col("y_n"), F.col("y_s"), percent, limit))
+    return near.select("x", "y"), lead
 
-def met(live: DataFrame, lead: DataFrame) -> DataFrame:
-    """Distinct (x, y), x < y: every leader against its bucket's members of other components."""
-    head = lead.select("key", F.col("cls").alias("lead_cls"), F.col("label").alias("lead_label"))
-    pairs = live.join(head, "key").where("label <> lead_label")
-    return pairs.select(F.least("cls", "lead_cls").alias("x"), F.greatest("cls", "lead_cls").alias("y")).distinct()
+
+def outsider_pairs(entries: DataFrame, lead: DataFrame, members: DataFrame, labels: DataFrame, percent: int, limit: int) -> DataFrame:
+    """(x, y) pairs of each bucket's members in different components, apart from its smallest member, which has met them all."""
+    rest = entries.join(lead.select("key", F.col("x").alias("cls")), ["key", "cls"], "left_anti")
+    named = rest.join(labels, "cls")
+    parts = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
+    largest = parts.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("top"), F.sum("size").alias("total"), F.max("size").alias("most"))
+    mixed = largest.where("total > most").select("key", "top", F.ceil((F.col("total") - F.col("most")) / BLOCK).alias("blocks"))
+    live = cut_lineage(named.join(mixed, "key").join(members.select("cls", "n", "sketch"), "cls"))
+    item = F.struct("cls", "label", "n", "sketch")
+    block = F.pmod(F.xxhash64("cls"), F.col("blocks"))
+    asked = live.where("label <> top").groupBy("key", block.alias("block")).agg(F.collect_list(item).alias("asked"))
+    hits = F.filter("asked", lambda q: (q["label"] != F.col("label")) & may_link(q["n"], q["sketch"], F.col("n"), F.col("sketch"), percent, limit))
+    met = live.join(asked.select("key", "asked"), "key").select("cls", F.transform(hits, lambda q: q["cls"]).alias("hit"))
+    pairs = met.where(F.size("hit") > 0).select("cls", F.explode("hit").alias("other"))
+    return pairs.select(F.least("cls", "other").alias("x"), F.greatest("cls", "other").alias("y")).distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -181,13 +192,12 @@ def connect(edges: DataFrame, labels: DataFrame) -> DataFrame:
         nodes, over = after, changed.isEmpty()
         if over:
             break
-    return labels.join(nodes.select(F.col("a").alias("label"), "root"), "label", "left").select(
+    return cut_lineage(labels.join(nodes.select(F.col("a").alias("label"), "root"), "label", "left").select(
         "cls", F.coalesce("root", "label").alias("label")
-    )
+    ))
 
 
-def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = THRESHOLD_PERCENT,
-                    leaders: int = LEADERS) -> DataFrame:
+def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
 
     Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z, shingles five words; a shorter text is one shingle of all its words. Two
@@ -196,28 +206,19 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     null doc_ids never name a component unless it has no other. An empty table gives an empty result; other columns are not read."""
     signed = cut_lineage(signatures(docs, doc_id, text))
     classes = signed.where("cls IS NOT NULL").groupBy("cls").agg(
-        F.min("doc_id").alias("one_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
+        F.min("doc_id").alias("one_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
     )
     entries = classes.select("cls", F.explode("bands").alias("key"))
     several = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    open_entries = cut_lineage(entries.join(several, "key").select("key", "cls"))
-    members = cut_lineage(open_entries.select("cls").distinct().join(classes.select("cls", "one_id", "sketch"), "cls"))
+    entries = cut_lineage(entries.join(several, "key").select("key", "cls"))
+    members = cut_lineage(entries.select("cls").distinct().join(classes.drop("bands"), "cls"))
     sets = cut_lineage(full_sets(docs, doc_id, text, members.select("cls", "one_id")))
-    labels, round_labels = members.select("cls", F.col("cls").alias("label")), None
     limit = allowed_difference(percent / 100)
-    while True:
-        live, lead = leaders_of(open_entries, round_labels, 1 if round_labels is None else leaders)
-        pairs = met(live, lead)
-        x, y = [members.select(F.col("cls").alias(c), F.col("sketch").alias(f"{c}_sketch")) for c in "xy"]
-        near = pairs.join(x, "x").join(y, "y").where(differing_bits(F.col("x_sketch"), F.col("y_sketch")) <= limit)
-        near = cut_lineage(near.select("x", "y"))
-        edges = cut_lineage(confirmed(near, sets, percent))
-        if not edges.isEmpty():
-            labels = cut_lineage(connect(edges, labels))
-        round_labels = labels
-        open_entries = cut_lineage(live.select("key", "cls").join(lead.select("key", "cls"), ["key", "cls"], "left_anti"))
-        if open_entries.isEmpty():
-            break
+    labels = members.select("cls", F.col("cls").alias("label"))
+    near, lead = star_pairs(entries, members, percent, limit)
+    labels = connect(cut_lineage(confirmed(cut_lineage(near), sets, percent)), labels)
+    near = outsider_pairs(entries, lead, members, labels, percent, limit)
+    labels = connect(cut_lineage(confirmed(cut_lineage(near), sets, percent)), labels)
     named = signed.select("doc_id", "n_shingles", "cls").join(labels, "cls", "left").select(
         "doc_id", "n_shingles", F.coalesce("label", "cls").alias("label")
     )
