@@ -8,11 +8,14 @@ shared. A worker's bins still open at its end are closed at lengths that are pow
 
 from __future__ import annotations
 
+import json
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 from rankspark.llm.words import batches
 
 CAPACITY, LEAST, END_ID = 4096, 64, 2
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 _CACHES: dict[str, "WordCache"] = {}
 
 
@@ -28,7 +31,7 @@ class WordCache:
     """Token ids of white-space-separated words, kept as little-endian bytes.
 
     The tokenizer drops white space and never joins across it, so a text's ids are its words' ids in order. New words are encoded
-    together, separated by spaces, and told apart by the ids that end a word part. The cache is emptied when full."""
+    together, separated by spaces, and told apart by the ids that end a word part, of which the tokenizer's own pattern gives the number. The cache is emptied when full."""
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
         from tokenizers import Tokenizer
@@ -36,49 +39,45 @@ class WordCache:
         self.tokenizer = Tokenizer.from_file(path)
         self.limit, self.known = limit, {}
         vocab = self.tokenizer.get_vocab()
+        split = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.parts = regex.compile(split).findall
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         for token, i in vocab.items():
             self.ends[i] = token.endswith("</w>")
 
     def _plain(self, text: str) -> np.ndarray:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def learn(self, new: list[bytes]) -> None:
         if len(self.known) + len(new) > self.limit:
             self.known.clear()
-        letters = [(w, s) for w in new if (s := w.decode()).isalpha()]
-        for i in range(0, len(letters), 4096):
-            part = letters[i : i + 4096]
-            ids = self._plain(" ".join(s for _, s in part))
+        for i in range(0, len(new), 4096):
+            part = new[i : i + 4096]
+            texts = [w.decode() for w in part]
+            ids = self._plain(" ".join(texts))
             stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(part):  # one ending each, so ids fall to the words in order
+            parts = np.cumsum([len(self.parts(unicodedata.normalize("NFC", t))) for t in texts])
+            if len(stops) == parts[-1]:  # the last id of each word's last part ends the word
                 raw, a = ids.tobytes(), 0
-                for (w, _), b in zip(part, (4 * stops).tolist()):
+                for w, b in zip(part, (4 * stops[parts - 1]).tolist()):
                     self.known[w] = raw[a:b]
                     a = b
-        for w in new:
-            if w not in self.known:
-                self.known[w] = self._plain(w.decode()).tobytes()
+            else:
+                for w, t in zip(part, texts):
+                    self.known[w] = self._plain(t).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = []
-        split = []
-        for t in texts:
-            if "<|" in t:  # may hold a special token, which is matched before lower-casing
-                out.append(self._plain(t).tobytes())
-                split.append([])
-            else:
-                out.append(None)
-                split.append(t.encode().lower().split())
-        new = set().union(*split)
-        new.difference_update(self.known)
+        # A text with "<|" may hold a special token, which is matched before lower-casing; it is encoded as it is.
+        split = [None if "<|" in t else t.encode().lower().split() for t in texts]
+        distinct = set().union(*filter(None, split))
+        known = self.known
+        new = [w for w in distinct if w not in known]
+        if len(known) + len(new) > self.limit:
+            new = list(distinct)
         if new:
-            keep = list(new)
-            self.learn(keep)
-            if len(self.known) < len(keep) or any(w not in self.known for ws in split for w in ws):
-                self.learn([w for w in set().union(*split) if w not in self.known])
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) if o is None else o for o, ws in zip(out, split)]
+            self.learn(new)
+        get = known.__getitem__
+        return [self._plain(t).tobytes() if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, split)]
 
 
 def tokenizer_cache(path: str) -> WordCache:
