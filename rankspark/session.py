@@ -63,8 +63,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_FOLDERS: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _FOLDERS.append(folder)
+    return folder
+
+
+def drop_cuts(spark: SparkSession) -> int:
+    """Delete every folder this driver has cut or written to so far, once no result that reads them is needed any more."""
+    dropped = 0
+    while _FOLDERS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop())
+        dropped += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return dropped
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from rankspark.session import build_session  # noqa: E402
+from rankspark.session import build_session, drop_cuts  # noqa: E402
 from tests.oracle import compare, connect  # noqa: E402
 
 
@@ -39,6 +39,7 @@ def main() -> int:
             note = "ERROR " + str(e).split("JVM stacktrace")[0][:700]
         if not (note == "ok" or note.startswith("rows")):
             bad += 1
+        drop_cuts(spark)
         print(f"{name:34s} {time.time() - start:6.2f}s {note}", flush=True)
     print("bad:", bad)
     return bad

@@ -40,3 +40,13 @@ def test_trial_and_submission(spark, tmp_path):
     assert spark.read.option("header", True).csv(path).count() == 80
     broken = test_rows.where("row_id < 79")
     assert [r["violation"] for r in Y.finalize(a.unionByName(b), ["a", "b"], broken, str(tmp_path / "no")).collect()] == ["extra row"]
+
+
+def test_cuts_are_dropped(spark):
+    from rankspark.session import cut_lineage, drop_cuts, new_folder
+
+    drop_cuts(spark)
+    cut = cut_lineage(spark.range(3))
+    assert cut.count() == 3
+    new_folder(spark, "never-written")
+    assert drop_cuts(spark) == 1 and drop_cuts(spark) == 0
