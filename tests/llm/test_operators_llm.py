@@ -105,8 +105,8 @@ def test_near_components(spark, corpus):
     assert sum(i != c for i, c in want.items()) > 20
 
 
-def test_near_components_need_several_rounds(spark):
-    """A chain in which only neighbours are linked, beside a large star: one leader a bucket is not enough."""
+def test_near_components_beyond_the_star(spark):
+    """A chain in which only neighbours are linked, beside a large group: comparing with a bucket's smallest member is not enough."""
     rng = random.Random(5)
     w = sentence(rng, 200).split()
     rows = []
@@ -118,7 +118,7 @@ def test_near_components_need_several_rounds(spark):
         for j in range(rng.randint(0, 6)):
             t[rng.randrange(len(t))] = f"q{k}x{j}"
         rows.append((100 + k, " ".join(t)))
-    got = collect(near_dedup.near_components(make(spark, rows), leaders=1))
+    got = collect(near_dedup.near_components(make(spark, rows)))
     assert {i: r.component_id for i, r in got.items()} == brute.components(rows)
 
 
