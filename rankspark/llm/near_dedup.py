@@ -26,12 +26,13 @@ from rankspark.session import cut_lineage
 SHINGLE_WORDS = 5
 THRESHOLD_PERCENT = 75
 BANDS, ROWS = 32, 4
-SAMPLES = BANDS * ROWS
-SKETCH_BITS = 1024
-BLOCK = 48  # members of a bucket compared together
-_SEED = np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64)
-_A = mix(_SEED[:SAMPLES] * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_B = mix(_SEED[SAMPLES:] * np.uint64(0xD1342543DE82EF95))
+SAMPLES, SKETCH_BITS = BANDS * ROWS, 1024  # of the sketch made from the band samples
+FINE_SAMPLES, FINE_BITS = 768, 3072  # of the sketch made for documents that share a band with another
+SIGMAS = 5.0
+BLOCK = 32  # members of a bucket compared together
+_SEED = np.arange(1, 2 * FINE_SAMPLES + 1, dtype=np.uint64)
+_A = mix(_SEED[:FINE_SAMPLES] * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_B = mix(_SEED[FINE_SAMPLES:] * np.uint64(0xD1342543DE82EF95))
 
 
 def shingle_sets(texts: list[bytes], words: int = SHINGLE_WORDS) -> Iterator[tuple[int, np.ndarray]]:
@@ -56,10 +57,10 @@ def shingle_sets(texts: list[bytes], words: int = SHINGLE_WORDS) -> Iterator[tup
                 yield a + i, np.zeros(0, dtype=np.uint64)
 
 
-def minhash(items: np.ndarray) -> np.ndarray:
-    out = np.full(SAMPLES, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for i in range(0, len(items), 1024):
-        np.minimum(out, (items[i : i + 1024, None] * _A + _B).min(axis=0), out=out)
+def minhash(items: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
+    out = np.full(samples, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for i in range(0, len(items), 512):
+        np.minimum(out, (items[i : i + 512, None] * _A[:samples] + _B[:samples]).min(axis=0), out=out)
     return out >> np.uint64(16)
 
 
@@ -71,19 +72,22 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
+def odd_sketch(samples: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
     """Every sample flips one bit, chosen by its value and its number."""
-    bit = mix(samples + _SEED[:SAMPLES] * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(SKETCH_BITS)
-    parity = np.bincount(bit.astype(np.int64), minlength=SKETCH_BITS) & 1
+    bit = mix(samples + _SEED[: len(samples)] * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(bits)
+    parity = np.bincount(bit.astype(np.int64), minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8)).view("<i8")
 
 
-def allowed_difference(threshold: float, sigmas: float = 6.0) -> int:
-    """Differing bits beyond which a pair at the threshold is not expected in about a billion pairs. Of SAMPLES samples
-    a pair at similarity s differs in about SAMPLES * (1 - s), and each differing sample flips two random bits."""
-    differ = SAMPLES * (1 - threshold) + sigmas * np.sqrt(SAMPLES * threshold * (1 - threshold))
-    expected = SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * differ))
-    return int(np.ceil(expected + sigmas * np.sqrt(expected) / 2))
+def allowed_difference(threshold: float, samples: int = SAMPLES, bits: int = SKETCH_BITS, sigmas: float = SIGMAS) -> int:
+    """Differing bits that a pair at the threshold exceeds about once in three million. Of the samples a pair at similarity s
+    differs in samples * (1 - s) on average, and each differing sample flips two random bits, of which odd counts show."""
+    flips = 2 * samples * (1 - threshold)
+    left = (1 - 2 / bits) ** flips
+    shown = (1 - left) / 2
+    noise = bits * shown * (1 - shown) + bits * (bits - 1) * ((1 - 4 / bits) ** flips - left**2) / 4
+    spread = 2 * left * np.sqrt(samples * threshold * (1 - threshold))
+    return int(np.ceil(bits * shown + sigmas * np.sqrt(noise + spread**2)))
 
 
 SIGNATURE = pa.schema([("n_shingles", pa.int64()), ("cls", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
@@ -111,54 +115,67 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
-    """cls, items for the classes in wanted (cls and the id of one document of each), from a second reading of the texts."""
-    picked = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(wanted, F.col("_id") == F.col("one_id"))
+    """cls, sketch, items, fine: sets and fine sketches of the classes in wanted (cls, sketch and the id of one document of
+    each), from a second reading of the texts."""
+    picked = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(wanted, F.col("_id").eqNullSafe(F.col("one_id")))
+    longs = pa.list_(pa.int64())
 
     def work(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches(source, 64):
-            keep, sets = [], []
+            keep, sets, fine = [], [], []
             cls = part.column(1).to_pylist()
             for i, items in shingle_sets(encoded(part.column(0))):
                 if hashlib.blake2b(items.tobytes(), digest_size=16).digest() == cls[i]:  # another row may share the id
-                    keep.append(cls[i])
+                    keep.append(i)
                     sets.append(items.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["cls", "items"])
+                    fine.append(odd_sketch(minhash(items, FINE_SAMPLES), FINE_BITS))
+            kept = part.take(pa.array(keep, pa.int32()))
+            yield pa.RecordBatch.from_arrays(
+                [kept.column(1), kept.column(2), pa.array(sets, longs), pa.array(fine, longs)], names=["cls", "sketch", "items", "fine"]
+            )
 
-    return picked.select("text", "cls").mapInArrow(work, "cls binary, items array<bigint>").dropDuplicates(["cls"])
+    made = picked.select("text", "cls", "sketch").mapInArrow(work, "cls binary, sketch array<bigint>, items array<bigint>, fine array<bigint>")
+    return made.dropDuplicates(["cls"])
 
 
-def differing_bits(a: Column, b: Column) -> Column:
-    bits = [F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(SKETCH_BITS // 64)]
-    return sum(bits[1:], bits[0])
+def differing_bits(a: Column, b: Column, bits: int) -> Column:
+    parts = [F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i))) for i in range(bits // 64)]
+    return sum(parts[1:], parts[0])
 
 
-def may_link(n_a: Column, a: Column, n_b: Column, b: Column, percent: int, limit: int) -> Column:
-    """Whether sizes and sketches leave a similarity of percent possible."""
-    sizes = 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
-    return sizes & (differing_bits(a, b) <= limit)
+def may_link(a: Column, b: Column, percent: int) -> Column:
+    """Whether sizes and sketches (structs of n, sketch, fine) leave a similarity of percent possible; the cheapest test comes first."""
+    sizes = 100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"])
+    coarse = differing_bits(a["sketch"], b["sketch"], SKETCH_BITS) <= allowed_difference(percent / 100)
+    fine = differing_bits(a["fine"], b["fine"], FINE_BITS) <= allowed_difference(percent / 100, FINE_SAMPLES, FINE_BITS)
+    return sizes & coarse & fine
 
 
-def star_pairs(entries: DataFrame, members: DataFrame, percent: int, limit: int) -> tuple[DataFrame, DataFrame]:
-    """(x, y) pairs of each bucket's smallest member with its others, and those smallest members by key."""
+def star_pairs(entries: DataFrame, members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(x, y) pairs of each bucket's smallest member with its others, and those smallest members by key. Members are (cls, m)
+    with m a struct of n, sketch and fine."""
     lead = cut_lineage(entries.groupBy("key").agg(F.min("cls").alias("x")))
     pairs = entries.join(lead, "key").where("cls <> x").select("x", F.col("cls").alias("y")).distinct()
-    x, y = [members.select(F.col("cls").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_s")) for c in "xy"]
-    near = pairs.join(x, "x").join(y, "y").where(may_link(F.col("x_n"), F.col("x_s"), F.col("y_n"), F.col("y_s"), percent, limit))
+    x, y = [members.select(F.col("cls").alias(c), F.col("m").alias(f"{c}_m")) for c in "xy"]
+    near = pairs.join(x, "x").join(y, "y").where(may_link(F.col("x_m"), F.col("y_m"), percent))
     return near.select("x", "y"), lead
 
 
-def outsider_pairs(entries: DataFrame, lead: DataFrame, members: DataFrame, labels: DataFrame, percent: int, limit: int) -> DataFrame:
+def outsider_pairs(entries: DataFrame, lead: DataFrame, members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """(x, y) pairs of each bucket's members in different components, apart from its smallest member, which has met them all."""
     rest = entries.join(lead.select("key", F.col("x").alias("cls")), ["key", "cls"], "left_anti")
     named = rest.join(labels, "cls")
     parts = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
     largest = parts.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("top"), F.sum("size").alias("total"), F.max("size").alias("most"))
     mixed = largest.where("total > most").select("key", "top", F.ceil((F.col("total") - F.col("most")) / BLOCK).alias("blocks"))
-    live = cut_lineage(named.join(mixed, "key").join(members.select("cls", "n", "sketch"), "cls"))
-    item = F.struct("cls", "label", "n", "sketch")
+    live = cut_lineage(named.join(mixed, "key").join(members, "cls"))
     block = F.pmod(F.xxhash64("cls"), F.col("blocks"))
-    asked = live.where("label <> top").groupBy("key", block.alias("block")).agg(F.collect_list(item).alias("asked"))
-    hits = F.filter("asked", lambda q: (q["label"] != F.col("label")) & may_link(q["n"], q["sketch"], F.col("n"), F.col("sketch"), percent, limit))
+    asked = live.where("label <> top").groupBy("key", block.alias("block")).agg(F.collect_list(F.struct("cls", "label", "m")).alias("asked"))
+    # Of two outsiders only one asks: the one with the larger cls.
+    open_ = (F.col("label") == F.col("top"))
+    hits = F.filter(
+        "asked", lambda q: (q["label"] != F.col("label")) & (open_ | (q["cls"] > F.col("cls"))) & may_link(q["m"], F.col("m"), percent)
+    )
     met = live.join(asked.select("key", "asked"), "key").select("cls", F.transform(hits, lambda q: q["cls"]).alias("hit"))
     pairs = met.where(F.size("hit") > 0).select("cls", F.explode("hit").alias("other"))
     return pairs.select(F.least("cls", "other").alias("x"), F.greatest("cls", "other").alias("y")).distinct()
@@ -168,7 +185,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sets meet 100 * intersection >= percent * union. Only the sets of these pairs are moved; a set
     wanted by very many pairs is split by the adaptive join."""
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct()
-    sets = cut_lineage(sets.join(wanted, "cls", "left_semi"))
+    sets = cut_lineage(sets.select("cls", "items").join(wanted, "cls", "left_semi"))
     a, b = [sets.select(F.col("cls").alias(c), F.col("items").alias(f"{c}_items")) for c in "xy"]
     both = pairs.join(a, "x").join(b, "y")
     shared = F.size(F.array_intersect("x_items", "y_items"))
@@ -206,18 +223,18 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     null doc_ids never name a component unless it has no other. An empty table gives an empty result; other columns are not read."""
     signed = cut_lineage(signatures(docs, doc_id, text))
     classes = signed.where("cls IS NOT NULL").groupBy("cls").agg(
-        F.min("doc_id").alias("one_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
+        F.min("doc_id").alias("one_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
     )
     entries = classes.select("cls", F.explode("bands").alias("key"))
     several = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     entries = cut_lineage(entries.join(several, "key").select("key", "cls"))
-    members = cut_lineage(entries.select("cls").distinct().join(classes.drop("bands"), "cls"))
-    sets = cut_lineage(full_sets(docs, doc_id, text, members.select("cls", "one_id")))
-    limit = allowed_difference(percent / 100)
-    labels = members.select("cls", F.col("cls").alias("label"))
-    near, lead = star_pairs(entries, members, percent, limit)
+    wanted = classes.drop("bands").join(entries.select("cls").distinct(), "cls", "left_semi")
+    sets = cut_lineage(full_sets(docs, doc_id, text, wanted))
+    members = sets.select("cls", F.struct(F.size("items").alias("n"), "sketch", "fine").alias("m"))
+    labels = sets.select("cls", F.col("cls").alias("label"))
+    near, lead = star_pairs(entries, members, percent)
     labels = connect(cut_lineage(confirmed(cut_lineage(near), sets, percent)), labels)
-    near = outsider_pairs(entries, lead, members, labels, percent, limit)
+    near = outsider_pairs(entries, lead, members, labels, percent)
     labels = connect(cut_lineage(confirmed(cut_lineage(near), sets, percent)), labels)
     named = signed.select("doc_id", "n_shingles", "cls").join(labels, "cls", "left").select(
         "doc_id", "n_shingles", F.coalesce("label", "cls").alias("label")
