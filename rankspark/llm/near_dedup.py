@@ -28,7 +28,7 @@ THRESHOLD_PERCENT = 75
 BANDS, ROWS = 32, 4
 SAMPLES, SKETCH_BITS = BANDS * ROWS, 1024  # of the sketch made from the band samples
 FINE_SAMPLES, FINE_BITS = 768, 3072  # of the sketch made for documents that share a band with another
-SIGMAS = 5.0
+SIGMAS = 4.5
 BLOCK = 32  # members of a bucket compared together
 _SEED = np.arange(1, 2 * FINE_SAMPLES + 1, dtype=np.uint64)
 _A = mix(_SEED[:FINE_SAMPLES] * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -80,7 +80,7 @@ def odd_sketch(samples: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
 
 
 def allowed_difference(threshold: float, samples: int = SAMPLES, bits: int = SKETCH_BITS, sigmas: float = SIGMAS) -> int:
-    """Differing bits that a pair at the threshold exceeds about once in three million. Of the samples a pair at similarity s
+    """Differing bits that a pair at the threshold exceeds about once in 300,000. Of the samples a pair at similarity s
     differs in samples * (1 - s) on average, and each differing sample flips two random bits, of which odd counts show."""
     flips = 2 * samples * (1 - threshold)
     left = (1 - 2 / bits) ** flips
@@ -94,7 +94,7 @@ SIGNATURE = pa.schema([("n_shingles", pa.int64()), ("cls", pa.binary()), ("bands
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, cls (128-bit hash of the set, null when empty), bands, sketch."""
+    """doc_id, text_hash, n_shingles, cls (128-bit hash of the set, null when empty), bands, sketch."""
 
     def work(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches(source):
@@ -106,18 +106,19 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 else:
                     rows.append((0, None, None, None))
             cols = [pa.array(c, type=f.type) for c, f in zip(zip(*rows), SIGNATURE)]
-            yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["doc_id", *SIGNATURE.names])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *cols], names=["doc_id", "text_hash", *SIGNATURE.names])
 
     kind = dict(docs.dtypes)[doc_id]
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        work, f"doc_id {kind}, n_shingles bigint, cls binary, bands array<bigint>, sketch array<bigint>"
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(
+        work, f"doc_id {kind}, text_hash bigint, n_shingles bigint, cls binary, bands array<bigint>, sketch array<bigint>"
     )
 
 
 def full_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
-    """cls, sketch, items, fine: sets and fine sketches of the classes in wanted (cls, sketch and the id of one document of
-    each), from a second reading of the texts."""
-    picked = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(wanted, F.col("_id").eqNullSafe(F.col("one_id")))
+    """cls, bands, sketch, items, fine: sets and fine sketches of the classes in wanted (cls, bands, sketch, and the id and
+    text hash of one document of each), from a second reading of the texts."""
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text"), F.xxhash64(text).alias("_hash"))
+    picked = rows.join(wanted, (F.col("_hash") == F.col("one.text_hash")) & F.col("_id").eqNullSafe(F.col("one.doc_id")))
     longs = pa.list_(pa.int64())
 
     def work(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,16 +126,18 @@ def full_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> Dat
             keep, sets, fine = [], [], []
             cls = part.column(1).to_pylist()
             for i, items in shingle_sets(encoded(part.column(0))):
-                if hashlib.blake2b(items.tobytes(), digest_size=16).digest() == cls[i]:  # another row may share the id
+                if hashlib.blake2b(items.tobytes(), digest_size=16).digest() == cls[i]:  # another row may share id and hash
                     keep.append(i)
                     sets.append(items.view(np.int64))
                     fine.append(odd_sketch(minhash(items, FINE_SAMPLES), FINE_BITS))
             kept = part.take(pa.array(keep, pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [kept.column(1), kept.column(2), pa.array(sets, longs), pa.array(fine, longs)], names=["cls", "sketch", "items", "fine"]
+                [kept.column(1), kept.column(2), kept.column(3), pa.array(sets, longs), pa.array(fine, longs)],
+                names=["cls", "bands", "sketch", "items", "fine"],
             )
 
-    made = picked.select("text", "cls", "sketch").mapInArrow(work, "cls binary, sketch array<bigint>, items array<bigint>, fine array<bigint>")
+    schema = "cls binary, bands array<bigint>, sketch array<bigint>, items array<bigint>, fine array<bigint>"
+    made = picked.select("text", "cls", "bands", "sketch").mapInArrow(work, schema)
     return made.dropDuplicates(["cls"])
 
 
@@ -151,9 +154,14 @@ def may_link(a: Column, b: Column, percent: int) -> Column:
     return sizes & coarse & fine
 
 
+def first_shared(a: Column, b: Column) -> Column:
+    """The first band key two members have in common."""
+    return F.get(F.array_compact(F.zip_with(a, b, lambda x, y: F.when(x == y, x))), F.lit(0))
+
+
 def star_pairs(entries: DataFrame, members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(x, y) pairs of each bucket's smallest member with its others, and those smallest members by key. Members are (cls, m)
-    with m a struct of n, sketch and fine."""
+    with m a struct of n, bands, sketch and fine."""
     lead = cut_lineage(entries.groupBy("key").agg(F.min("cls").alias("x")))
     pairs = entries.join(lead, "key").where("cls <> x").select("x", F.col("cls").alias("y")).distinct()
     x, y = [members.select(F.col("cls").alias(c), F.col("m").alias(f"{c}_m")) for c in "xy"]
@@ -171,10 +179,12 @@ def outsider_pairs(entries: DataFrame, lead: DataFrame, members: DataFrame, labe
     live = cut_lineage(named.join(mixed, "key").join(members, "cls"))
     block = F.pmod(F.xxhash64("cls"), F.col("blocks"))
     asked = live.where("label <> top").groupBy("key", block.alias("block")).agg(F.collect_list(F.struct("cls", "label", "m")).alias("asked"))
-    # Of two outsiders only one asks: the one with the larger cls.
-    open_ = (F.col("label") == F.col("top"))
+    # Of two outsiders only one asks, the one with the larger cls, and a pair is named in the first of its buckets only.
+    once = (F.col("label") == F.col("top"))
     hits = F.filter(
-        "asked", lambda q: (q["label"] != F.col("label")) & (open_ | (q["cls"] > F.col("cls"))) & may_link(q["m"], F.col("m"), percent)
+        "asked",
+        lambda q: (q["label"] != F.col("label")) & (once | (q["cls"] > F.col("cls"))) & may_link(q["m"], F.col("m"), percent)
+        & (first_shared(q["m"]["bands"], F.col("m.bands")) == F.col("key")),
     )
     met = live.join(asked.select("key", "asked"), "key").select("cls", F.transform(hits, lambda q: q["cls"]).alias("hit"))
     pairs = met.where(F.size("hit") > 0).select("cls", F.explode("hit").alias("other"))
@@ -223,14 +233,14 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     null doc_ids never name a component unless it has no other. An empty table gives an empty result; other columns are not read."""
     signed = cut_lineage(signatures(docs, doc_id, text))
     classes = signed.where("cls IS NOT NULL").groupBy("cls").agg(
-        F.min("doc_id").alias("one_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
+        F.min(F.struct("doc_id", "text_hash")).alias("one"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
     )
     entries = classes.select("cls", F.explode("bands").alias("key"))
     several = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     entries = cut_lineage(entries.join(several, "key").select("key", "cls"))
-    wanted = classes.drop("bands").join(entries.select("cls").distinct(), "cls", "left_semi")
+    wanted = classes.join(entries.select("cls").distinct(), "cls", "left_semi")
     sets = cut_lineage(full_sets(docs, doc_id, text, wanted))
-    members = sets.select("cls", F.struct(F.size("items").alias("n"), "sketch", "fine").alias("m"))
+    members = sets.select("cls", F.struct(F.size("items").alias("n"), "bands", "sketch", "fine").alias("m"))
     labels = sets.select("cls", F.col("cls").alias("label"))
     near, lead = star_pairs(entries, members, percent)
     labels = connect(cut_lineage(confirmed(cut_lineage(near), sets, percent)), labels)
