@@ -189,14 +189,27 @@ def window_scores(p: Params, t: Tokens, chunk: int = 8192) -> tuple[np.ndarray,
     return out, text
 
 
-def log_odds(bins: np.ndarray, text: np.ndarray, label: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """How much more often a bin stands in toxic texts, and the bins found in enough texts to be learnt."""
-    pair = np.unique(text * np.int64(size) + bins)
-    own, toxic = pair % size, label[pair // size] == 1
-    pos, neg = np.bincount(own[toxic], minlength=size), np.bincount(own[~toxic], minlength=size)
-    odds = np.log((pos + 0.5) / ((label == 1).sum() + 1)) - np.log((neg + 0.5) / ((label == 0).sum() + 1))
-    known = pos + neg >= MIN_BIN_TEXTS
-    return np.where(known, odds, 0.0), known
+def spans(t: Tokens, gram_start: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """The n-gram bins of some words, one after the other."""
+    many = t.count[used]
+    return t.gram[np.repeat(gram_start[used], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+
+
+def log_odds(t: Tokens, label: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """For word and character bins: how much more often a bin stands in toxic texts, and which bins are found in enough texts to
+    be learnt. Texts are counted one by one, so memory does not follow the sample."""
+    found = {name: np.zeros((2, size), dtype=np.int64) for name, size in (("word", WORD_BINS), ("char", CHAR_BINS))}
+    start = np.cumsum(t.count) - t.count
+    for i in range(len(label)):
+        words = np.unique(t.index[t.edges[i] : t.edges[i + 1]])
+        found["word"][label[i], np.unique(t.word[words])] += 1
+        found["char"][label[i], np.unique(spans(t, start, words))] += 1
+    odds = {}
+    for name, (neg, pos) in found.items():
+        ratio = np.log((pos + 0.5) / ((label == 1).sum() + 1)) - np.log((neg + 0.5) / ((label == 0).sum() + 1))
+        known = pos + neg >= MIN_BIN_TEXTS
+        odds[name] = np.where(known, ratio, 0.0), known
+    return odds
 
 
 def train(texts: list[str], label: np.ndarray, epochs: int = EPOCHS, steps: int = STEPS, seed: int = SEED) -> Params | None:
@@ -205,15 +218,10 @@ def train(texts: list[str], label: np.ndarray, epochs: int = EPOCHS, steps: int
         return None
     rng = np.random.default_rng(seed)
     p, t = start_params(rng), tokens(texts)
-    of_word = np.repeat(np.arange(len(texts)), np.diff(t.edges))
     gram_start = np.cumsum(t.count) - t.count
-    pick = np.unique(of_word * np.int64(len(t.word)) + t.index)  # distinct (text, word)
-    pt, pw = pick // len(t.word), pick % len(t.word)
-    many = t.count[pw]
-    grams = t.gram[np.repeat(gram_start[pw], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
     known = {}
-    for name, odds_known in (("word", log_odds(t.word[pw], pt, label, WORD_BINS)), ("char", log_odds(grams, np.repeat(pt, many), label, CHAR_BINS))):
-        p[name][:, 0], known[name] = 0.5 * odds_known[0], odds_known[1][:, None]
+    for name, (odds, enough) in log_odds(t, label).items():
+        p[name][:, 0], known[name] = 0.5 * odds, enough[:, None]
         p[name] *= known[name]
     first, length, text = windows(t.edges)
     hint = word_vectors(p, t)
@@ -236,7 +244,7 @@ def train(texts: list[str], label: np.ndarray, epochs: int = EPOCHS, steps: int
             at = grid(t, first[part], length[part])
             used, local = np.unique(at[at >= 0], return_inverse=True)
             at[at >= 0] = local
-            sub = Tokens(used, used, t.word[used], _spans(t, gram_start, used), t.count[used])
+            sub = Tokens(used, used, t.word[used], spans(t, gram_start, used), t.count[used])
             vectors = word_vectors(p, sub)
             g, dv = gradients(p, at, vectors, label[text[part]].astype(np.float32))
             g["word"], g["char"] = np.zeros_like(p["word"]), np.zeros_like(p["char"])
@@ -252,11 +260,6 @@ def train(texts: list[str], label: np.ndarray, epochs: int = EPOCHS, steps: int
     return p
 
 
-def _spans(t: Tokens, gram_start: np.ndarray, used: np.ndarray) -> np.ndarray:
-    many = t.count[used]
-    return t.gram[np.repeat(gram_start[used], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
-
-
 def score_texts(p: Params, texts: list[str]) -> np.ndarray:
     """Highest window probability of each text; 0 for texts without words."""
     out = np.zeros(len(texts))
