@@ -264,6 +264,8 @@ def encode_all(
         bins |= dict.fromkeys(["list_q", "list_len"], RATE_BINS)
     if use_recency:
         out = recency_columns(out, chunked)
+        # Rounded, so that the order in which sums met cannot move a value across an edge.
+        out = out.withColumns({c: F.round(c, 11 if c == "gap" else 9) for c in RECENCY})
         bins |= dict.fromkeys(RECENCY, RECENCY_BINS)
         extra += [*RECENCY, "last1"]
     if seq_len > 0:

@@ -391,7 +391,8 @@ STARTS = [" + ".join(["0", *[size for _, size in FIELD_IDS[:i]]]) for i in range
     f"""WITH {IMP}, {BASE_SQL}, {RATED}, {_list_q('rated', 'video_rate')},
     {_edges_sql('rated', RATE_COLS, 10, 'er')}, {_bucket_sql('rated', RATE_COLS, 'br', 'er')}, {_ids_sql(RATE_COLS, 'br', 'ir')},
     {_edges_sql('lq', RANK_COLS, 10, 'ek')}, {_bucket_sql('lq', RANK_COLS, 'bk', 'ek')}, {_ids_sql(RANK_COLS, 'bk', 'ik')}, {RECENCY},
-    {_edges_sql('rec', REC, 20, 'ec')}, {_bucket_sql('rec', REC, 'bc', 'ec')}, {_ids_sql(REC, 'bc', 'ic')},
+    rrec AS (SELECT row_id, split, last1, {", ".join(f"round({c}, {11 if c == 'gap' else 9}) AS {c}" for c in REC)} FROM rec),
+    {_edges_sql('rrec', REC, 20, 'ec')}, {_bucket_sql('rrec', REC, 'bc', 'ec')}, {_ids_sql(REC, 'bc', 'ic')},
     hv AS (SELECT list_sort(list(DISTINCT hour)) AS h FROM imp WHERE split = 'train'),
     z AS (SELECT {_vsize('user_id')} AS s1, {_vsize('video_id')} AS s2, {_vsize('author_id')} AS s3, {_vsize('tab')} AS s4),
     hist AS (SELECT row_id, coalesce(list(video_fid) OVER (PARTITION BY user_id ORDER BY row_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), []) AS l FROM bf)
