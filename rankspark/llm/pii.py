@@ -123,8 +123,19 @@ def found_spans(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, text: str, min_contexts: int = MIN_CONTEXTS, disclosure: float = DISCLOSURE) -> DataFrame:
-    """entity, term, ratio of the pairs beyond the threshold, from counts over every line of the corpus."""
-    notes = found.where("notes IS NOT NULL").select(F.explode("notes").alias("n")).select("n.*")
+    """entity, term, ratio of the pairs beyond the threshold, from counts over every line of the corpus.
+
+    A term stands in at least as many lines as there are documents with it in a context, which bounds its ratio from above; only
+    terms that this bound leaves are counted in all lines, so frequent words drop out before."""
+    notes = found.where("notes IS NOT NULL").select("doc_id", F.explode("notes").alias("n")).select("doc_id", "n.*")
+    total = found.agg(F.sum("n_lines").cast("double").alias("total"))
+    held = notes.select("doc_id", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count("doc_id").alias("n_held"))
+
+    def ratio(n_t: Column) -> Column:
+        return F.try_divide(
+            F.log(F.col("n_te") * F.col("total") / (n_t * F.col("n_e"))), F.log(F.col("total") / F.col("n_e"))
+        )
+
     n_e = notes.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= min_contexts)
     often = notes.join(n_e, "entity")
     pairs = often.select("entity", "n_e", F.xxhash64("terms").alias("context"), F.explode("terms").alias("term"))
@@ -132,17 +143,15 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text: str, min_contexts:
     pairs = pairs.groupBy("entity", "n_e", "term", "context").agg(F.count(F.lit(1)).alias("n")).groupBy("entity", "n_e", "term").agg(
         F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("contexts")
     ).where(F.col("contexts") >= min_contexts)
-    pairs = cut_lineage(pairs.select("entity", "term", "n_e", "n_te"))
+    pairs = pairs.join(held, "term").crossJoin(F.broadcast(total))  # one row
+    pairs = pairs.where((F.col("total") > F.col("n_e")) & (ratio(F.greatest("n_held", F.lit(1))) >= disclosure))
+    pairs = cut_lineage(pairs.select("entity", "term", "n_e", "n_te", "total"))
     wanted = pairs.select("term").distinct()
     line = docs.select(F.explode(F.split(text_of(text), "\n", -1)).alias("line"))
     words = line.select(F.explode(F.array_distinct(F.split(F.lower("line"), r"[^\p{L}\p{N}]+"))).alias("term"))
-    n_t = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    total = found.agg(F.sum("n_lines").cast("double").alias("total"))
-    scored = pairs.join(n_t, "term").crossJoin(F.broadcast(total))  # one row
-    ratio = F.try_divide(
-        F.log(F.col("n_te") * F.col("total") / (F.col("n_t") * F.col("n_e"))), F.log(F.col("total") / F.col("n_e"))
-    )
-    return scored.select("entity", "term", ratio.alias("ratio")).where((F.col("ratio") >= disclosure) & (F.col("total") > F.col("n_e")))
+    n_t = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(wanted, "term")
+    scored = pairs.join(n_t, "term").withColumn("ratio", ratio(F.col("n_t")))
+    return scored.select("entity", "term", "ratio").where(F.col("ratio") >= disclosure)
 
 
 def term_spans(text: Column, terms: Column) -> Column:
