@@ -21,7 +21,7 @@ from rankspark.llm.words import batches, blocks, hash_words, mix
 
 WORD_BINS, CHAR_BINS, NGRAMS = 1 << 14, 1 << 16, (3, 4, 5)
 EMBED, HIDDEN = 8, 8
-WINDOW, STRIDE = 32, 24
+WINDOW = 32
 MAX_PER_LABEL, MAX_TRAIN_CHARS = 1500, 8192  # the training sample: documents per label, code points per document
 EPOCHS, STEPS, BATCH, RATE, SEED = 6, 250, 128, 0.01, 7  # at least EPOCHS, and more until STEPS
 THRESHOLD = 0.7
@@ -68,12 +68,13 @@ def tokens(texts: list[str]) -> Tokens:
 
 
 def windows(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, length and text of every window; the windows of a text overlap and cover all its words."""
+    """First word, length and text of every window: one starts at each word that has a whole window ahead, and texts shorter than
+    that are one window."""
     n = np.diff(edges)
-    many = np.where(n > 0, np.maximum(0, -(-(n - WINDOW) // STRIDE)) + 1, 0)
+    many = np.where(n > 0, np.maximum(0, n - WINDOW) + 1, 0)
     text = np.repeat(np.arange(len(n)), many)
     step = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
-    first = edges[text] + step * STRIDE
+    first = edges[text] + step
     return first, np.minimum(WINDOW, edges[text + 1] - first), text
 
 
@@ -178,13 +179,67 @@ def grid(t: Tokens, first: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.where(steps < length[:, None], t.index[np.minimum(at, len(t.index) - 1)], -1)
 
 
+def stream_logits(p: Params, index: np.ndarray, vectors: np.ndarray, chunk: int = 2048, block: int = 1024) -> np.ndarray:
+    """logits() of the windows that start at each word of one stream of words, the last WINDOW - 1 aside. Neighbouring windows read
+    shifted slices of the same input sums, and of each state only its attention score and its part of the logit are kept. Products
+    are taken in blocks below the size from which the linear algebra library starts threads."""
+    n = len(index) - WINDOW + 1
+    h2, h3 = 2 * HIDDEN, 3 * HIDDEN
+    # sigmoid(x) = 1 / (1 + exp(-x)) and tanh(x) = 2 / (1 + exp(-2 x)) - 1, the factors taken into the weights.
+    scale = np.concatenate([np.full(h2, -1.0), np.full(HIDDEN, -2.0), np.ones(2)]).astype(np.float32)
+    inputs, weights = {}, {}
+    for k, side in enumerate("fb"):
+        inputs[side] = np.ascontiguousarray((((vectors @ p[f"{side}x"] + p[f"{side}b"]) * scale[:h3])[index]).T)
+        ends = np.stack([p[x][k * HIDDEN : (k + 1) * HIDDEN] for x in ("v", "out")], axis=1)
+        weights[side] = np.ascontiguousarray((np.concatenate([p[f"{side}u"], ends], axis=1) * scale).T)
+    out = np.empty(n, dtype=np.float32)
+    for i in range(0, n, chunk):
+        m = min(chunk, n - i)
+        score, value = np.zeros((WINDOW, m), dtype=np.float32), np.zeros((WINDOW, m), dtype=np.float32)
+        gates, new = np.empty((h2, m), dtype=np.float32), np.empty((HIDDEN, m), dtype=np.float32)
+        for side in "fb":
+            h, b = np.zeros((HIDDEN, m), dtype=np.float32), np.zeros((h3 + 2, m), dtype=np.float32)
+            for s in range(WINDOW) if side == "f" else reversed(range(WINDOW)):
+                a = inputs[side][:, i + s : i + s + m]
+                np.add(a[:h2], b[:h2], out=gates)
+                np.exp(gates, out=gates)
+                gates += 1
+                np.reciprocal(gates, out=gates)
+                np.multiply(gates[HIDDEN:], b[h2:h3], out=new)
+                new += a[h2:]
+                np.exp(new, out=new)
+                new += 1
+                np.divide(2, new, out=new)
+                new -= 1
+                h -= new
+                h *= gates[:HIDDEN]
+                h += new
+                for j in range(0, m, block):
+                    np.matmul(weights[side], h[:, j : j + block], out=b[:, j : j + block])
+                score[s] += b[-2]
+                value[s] += b[-1]
+        score -= score.max(axis=0)
+        np.exp(score, out=score)
+        value *= score
+        out[i : i + m] = value.sum(axis=0) / score.sum(axis=0)
+    return out + p["bias"][0]
+
+
 def window_scores(p: Params, t: Tokens, chunk: int = 8192) -> tuple[np.ndarray, np.ndarray]:
-    """Logit and text of every window."""
+    """Logit and text of every window. Texts of at least WINDOW words are read as one stream; windows over a border are left out."""
     first, length, text = windows(t.edges)
-    order = np.argsort(-length, kind="stable")
     out, vectors = np.empty(len(first), dtype=np.float32), word_vectors(p, t)
-    for i in range(0, len(order), chunk):
-        part = order[i : i + chunk]
+    size = np.diff(t.edges)
+    if (size >= WINDOW).any():
+        owner = np.repeat(np.arange(len(size)), size)
+        long = size[owner] >= WINDOW
+        with np.errstate(over="ignore"):  # exp(-x) may be infinite; the gate is 0 then
+            value = stream_logits(p, t.index[long], vectors)
+        out[length == WINDOW] = value[(np.cumsum(long) - 1)[first[length == WINDOW]]]
+    short = np.flatnonzero(length < WINDOW)
+    short = short[np.argsort(-length[short], kind="stable")]
+    for i in range(0, len(short), chunk):
+        part = short[i : i + chunk]
         out[part] = logits(p, grid(t, first[part], length[part]), vectors)
     return out, text
 
@@ -226,7 +281,10 @@ def train(texts: list[str], label: np.ndarray, epochs: int = EPOCHS, steps: int
     first, length, text = windows(t.edges)
     hint = word_vectors(p, t)
     hint = (hint[:, 0] + hint[:, EMBED])[t.index]
-    suspect = np.array([hint[f : f + n].max() for f, n in zip(first, length)])
+    suspect = np.full(len(first), -np.inf)
+    for j in range(WINDOW):
+        inside = np.flatnonzero(length > j)
+        suspect[inside] = np.maximum(suspect[inside], hint[first[inside] + j])
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     step = epoch = 0
     while len(first) and (epoch < epochs or step < steps):
@@ -302,7 +360,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
 
     Only the text enters a score. Labels of rows whose crc32(doc_id) mod folds is held_out are never read; null labels are ignored.
     Null, empty and wordless texts score 0. Without labels of both kinds nothing can be learnt and every score is 0. Every text is
-    scored whole, in windows of 32 words every 24. Repeated rows score alike; an empty table gives an empty result."""
+    scored whole, in every window of 32 words. Repeated rows score alike; an empty table gives an empty result."""
     model = fitted(docs, labels, doc_id, text, label, folds, held_out, per_label, max_chars)
 
     def work(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -316,6 +316,21 @@ def test_every_word_lies_in_a_window():
         assert covered == set(range(edges[i], edges[i + 1]))
 
 
+def test_toxicity_does_not_depend_on_the_place_of_a_passage():
+    rng = random.Random(12)
+    p = toxicity.start_params(np.random.default_rng(3))
+    p["v"] = np.random.default_rng(4).normal(0, 2, p["v"].shape).astype(np.float32)
+    p["out"] *= 10
+    for size in (20, 31):
+        passage, around = sentence(rng, size).split(), sentence(rng, 90).split()
+        texts = [around[:k] + passage + around[k:] for k in range(91)]
+        apart = toxicity.score_texts(p, [" ".join(w[j : j + 32]) for w in texts for j in range(len(w) - 31)])
+        want = apart.reshape(len(texts), -1).max(axis=1)
+        assert toxicity.score_texts(p, [" ".join(w) for w in texts]) == pytest.approx(want, abs=1e-4)
+    mixed = ["", "one two", " ".join(around[:31]), " ".join(around[:32]), " ".join(around)]
+    assert toxicity.score_texts(p, mixed) == pytest.approx([toxicity.score_texts(p, [t])[0] for t in mixed], abs=1e-5)
+
+
 def test_quality(spark):
     rng = random.Random(9)
     docs, labels = [], []
