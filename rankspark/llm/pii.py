@@ -3,7 +3,7 @@
 Base spans come from four patterns. Around every span lies a context of words; over the whole corpus the words' co-occurrence with
 the value found there says how much they reveal of it: with a unit of one line, a term t discloses a value e by
 PMI(t, e) / IC(e) = log(n_te * N / (n_t * n_e)) / log(N / n_e), which is 1 when t occurs with e only. Terms beyond a threshold, seen
-with the value in several different contexts, are added as spans in the documents that hold the value.
+with the value in several different contexts, are added as spans in every document that holds the term, with or without the value.
 """
 
 from __future__ import annotations
@@ -114,12 +114,19 @@ def terms_near(text: Column, span: Column) -> Column:
 
 
 def found_spans(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n_lines, spans and notes (per span: entity and the terms near it)."""
+    """doc_id, own (a hash of the text), n_lines, spans and notes (per span: entity and the terms near it)."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
     rows = rows.withColumn("spans", base_spans(F.col("text")))
     notes = F.transform("spans", lambda s: F.struct(entity(s).alias("entity"), terms_near(F.col("text"), s).alias("terms")))
     lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    return rows.select("doc_id", lines.cast("bigint").alias("n_lines"), "spans", F.when(F.size("spans") > 0, notes).alias("notes"))
+    return rows.select("doc_id", F.xxhash64("text").alias("own"), lines.cast("bigint").alias("n_lines"), "spans", F.when(F.size("spans") > 0, notes).alias("notes"))
+
+
+def words_of(rows: DataFrame) -> DataFrame:
+    """One row per distinct word of each row's words, as term, beside the row's other columns."""
+    return rows.select(
+        *[c for c in rows.columns if c != "words"], F.explode(F.array_distinct(F.split(F.lower("words"), r"[^\p{L}\p{N}]+"))).alias("term")
+    )
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, text: str, min_contexts: int = MIN_CONTEXTS, disclosure: float = DISCLOSURE) -> DataFrame:
@@ -147,9 +154,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text: str, min_contexts:
     pairs = pairs.where((F.col("total") > F.col("n_e")) & (ratio(F.greatest("n_held", F.lit(1))) >= disclosure))
     pairs = cut_lineage(pairs.select("entity", "term", "n_e", "n_te", "total"))
     wanted = pairs.select("term").distinct()
-    line = docs.select(F.explode(F.split(text_of(text), "\n", -1)).alias("line"))
-    words = line.select(F.explode(F.array_distinct(F.split(F.lower("line"), r"[^\p{L}\p{N}]+"))).alias("term"))
-    n_t = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(wanted, "term")
+    n_t = words_of(docs.select(F.explode(F.split(text_of(text), "\n", -1)).alias("words"))).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(wanted, "term")
     scored = pairs.join(n_t, "term").withColumn("ratio", ratio(F.col("n_t")))
     return scored.select("entity", "term", "ratio").where(F.col("ratio") >= disclosure)
 
@@ -163,18 +168,18 @@ def term_spans(text: Column, terms: Column) -> Column:
 def private_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_contexts: int = MIN_CONTEXTS, disclosure: float = DISCLOSURE) -> DataFrame:
     """One row per row of docs: doc_id, base (spans of the base kinds), terms (added spans), each by start.
 
-    Positions are code points of the whole text. Terms of a value are looked for in every document that holds the value;
-    those overlapping a base span are left out. Null and empty texts have no spans. Rows that share a doc_id, null included, are
+    Positions are code points of the whole text. Terms of a value are looked for in every document, whether it holds the value or not,
+    since they disclose it there too; those overlapping a base span are left out. Null and empty texts have no spans. Rows that share a doc_id, null included, are
     searched for the terms of all of them. An empty table gives an empty result; other columns of docs are not read."""
     found = cut_lineage(found_spans(docs, doc_id, text))
     told = cut_lineage(disclosing_terms(docs, found, text, min_contexts, disclosure))
-    held = found.where("notes IS NOT NULL").select("doc_id", F.explode("notes.entity").alias("entity")).distinct()
-    by_doc = held.join(told, "entity").groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_set("term")).alias("_terms"))
+    held = words_of(docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("words")))
+    by_doc = held.join(told.select("term").distinct(), "term").groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_set("term")).alias("_terms"))
     by_doc = cut_lineage(by_doc)
     looked = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text")).join(by_doc, F.col("doc_id").eqNullSafe(F.col("_id")))
-    added = looked.select(F.col("doc_id").alias("_id"), F.xxhash64(base_spans(F.col("text"))).alias("_base"), term_spans(F.col("text"), F.col("_terms")).alias("_added"))
-    added = added.groupBy("_id", "_base").agg(F.first("_added").alias("_added"))
-    joined = found.withColumn("_own", F.xxhash64("spans")).join(added, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_base")), "left")
+    added = looked.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_own"), term_spans(F.col("text"), F.col("_terms")).alias("_added"))
+    added = added.groupBy("_id", "_own").agg(F.first("_added").alias("_added"))
+    joined = found.join(added, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("own") == F.col("_own")), "left")
     clear = F.filter(
         F.coalesce("_added", F.array().cast(f"array<{SPAN}>")),
         lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])),

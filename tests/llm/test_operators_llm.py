@@ -377,6 +377,18 @@ def test_private_spans(spark):
         assert len(got[i].terms) == (2 if 100 <= i < 200 else 0)
 
 
+def test_terms_are_found_without_their_value(spark):
+    rng = random.Random(13)
+    rows = [(k, f"{sentence(rng, 4)} wizzlebang {sentence(rng, 2)} boss@corp.example {sentence(rng, 4)}") for k in range(6)]
+    rows += [(100, "somebody saw Wizzlebang again"), (101, "wizzlebangs are not meant"), (None, "x wizzlebang"), (None, "y")]
+    rows += [(200 + k, "\n".join(sentence(rng, 12) for _ in range(8))) for k in range(40)]
+    got = [(r.doc_id, r.base, [(s.start, s.end) for s in r.terms]) for r in pii.private_spans(make(spark, rows)).collect()]
+    by = {i: t for i, _, t in got if i is not None}
+    assert by[100] == [(13, 23)] and by[101] == [] and all(len(by[k]) == 1 for k in range(6))
+    assert sorted(t for i, _, t in got if i is None) == [[], [(2, 12)]]
+    assert not any(by[200 + k] for k in range(40))
+
+
 def test_sanitise(spark):
     from pyspark.sql import functions as F
 
