@@ -2,8 +2,8 @@
 
 Base spans come from four patterns. Around every span lies a context of words; over the whole corpus the words' co-occurrence with
 the value found there says how much they reveal of it: with a unit of one line, a term t discloses a value e by
-PMI(t, e) / IC(e) = log(n_te * N / (n_t * n_e)) / log(N / n_e), which is 1 when t occurs with e only. Terms beyond a threshold, seen
-with the value in several different contexts, are added as spans in every document that holds the term, with or without the value.
+PMI(t, e) / IC(e) = log(n_te * N / (n_t * n_e)) / log(N / n_e), which is 1 when t occurs with e only. DISCOUNT is taken off n_te, so
+that pairs seen a few times count for less. Terms beyond a threshold, seen with the value in two different texts, are added as spans in every document that holds the term, with or without the value.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ PATTERNS = {
 }
 TERM = "term"
 CONTEXT_CHARS, CONTEXT_WORDS = 240, 10
-MIN_CONTEXTS, DISCLOSURE = 3, 0.8
+MIN_CONTEXTS, DISCOUNT, DISCLOSURE = 2, 0.5, 0.8
 WORD = r"[\p{L}\p{N}]+"
 MIN_TERM_CHARS = 3
 
@@ -134,20 +134,20 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, text: str, min_contexts:
 
     A term stands in at least as many lines as there are documents with it in a context, which bounds its ratio from above; only
     terms that this bound leaves are counted in all lines, so frequent words drop out before."""
-    notes = found.where("notes IS NOT NULL").select("doc_id", F.explode("notes").alias("n")).select("doc_id", "n.*")
+    notes = found.where("notes IS NOT NULL").select("doc_id", "own", F.explode("notes").alias("n")).select("doc_id", "own", "n.*")
     total = found.agg(F.sum("n_lines").cast("double").alias("total"))
     held = notes.select("doc_id", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count("doc_id").alias("n_held"))
 
     def ratio(n_t: Column) -> Column:
         return F.try_divide(
-            F.log(F.col("n_te") * F.col("total") / (n_t * F.col("n_e"))), F.log(F.col("total") / F.col("n_e"))
+            F.log((F.col("n_te") - DISCOUNT) * F.col("total") / (n_t * F.col("n_e"))), F.log(F.col("total") / F.col("n_e"))
         )
 
     n_e = notes.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= min_contexts)
     often = notes.join(n_e, "entity")
-    pairs = often.select("entity", "n_e", F.xxhash64("terms").alias("context"), F.explode("terms").alias("term"))
-    # Copies of a document repeat a context; only different contexts count as evidence.
-    pairs = pairs.groupBy("entity", "n_e", "term", "context").agg(F.count(F.lit(1)).alias("n")).groupBy("entity", "n_e", "term").agg(
+    pairs = often.select("entity", "n_e", "own", F.explode("terms").alias("term"))
+    # Copies of a document are one text; only different texts count as evidence.
+    pairs = pairs.groupBy("entity", "n_e", "term", "own").agg(F.count(F.lit(1)).alias("n")).groupBy("entity", "n_e", "term").agg(
         F.sum("n").alias("n_te"), F.count(F.lit(1)).alias("contexts")
     ).where(F.col("contexts") >= min_contexts)
     pairs = pairs.join(held, "term").crossJoin(F.broadcast(total))  # one row

@@ -389,6 +389,16 @@ def test_terms_are_found_without_their_value(spark):
     assert not any(by[200 + k] for k in range(40))
 
 
+def test_two_texts_are_evidence_and_copies_are_not(spark):
+    rng = random.Random(14)
+    rows = [(k, f"{sentence(rng, 9)}\nContact: Wizzlebang jane@corp.example\n{sentence(rng, 9)}") for k in range(2)]
+    rows += [(10 + k, "once copied Zappleton joe@corp.example") for k in range(5)]
+    rows += [(100 + k, "\n".join(f"contact {sentence(rng, 12)}" for _ in range(8))) for k in range(40)]
+    got = collect(pii.private_spans(make(spark, rows)))
+    named = {i: [(rows[k][1][s.start : s.end]) for s in got[i].terms] for k, (i, _) in enumerate(rows)}
+    assert named[0] == named[1] == ["Wizzlebang"] and not any(v for i, v in named.items() if i > 1)
+
+
 def test_sanitise(spark):
     from pyspark.sql import functions as F
 
