@@ -1,9 +1,9 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs.
 
-Every paragraph gives a wide vector; a document's fingerprint is their sum, lane by lane, modulo a power of two. So the
+Every paragraph gives a wide vector; a document's fingerprint is their sum, lane by lane, modulo 2**32. So the
 order of paragraphs does not matter, and inserting or deleting one is an addition or a subtraction. The vector has two
-parts: SEAL lanes modulo 2**32 taken from an extendable-output hash of the paragraph, which decide equality, and SKETCH
-lanes modulo 2**16 to which each three-word shingle of the paragraph adds +1 or -1, which give the likeness of two sums.
+parts: SEAL lanes taken from an extendable-output hash of the paragraph, which decide equality, and SKETCH
+lanes to which each three-word shingle of the paragraph adds +1 or -1, which give the likeness of two sums.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ def seals(texts: list[bytes]) -> np.ndarray:
 
 
 def sketches(texts: list[bytes]) -> np.ndarray:
-    out = np.zeros((len(texts), SKETCH), dtype=np.uint16)
+    out = np.zeros((len(texts), SKETCH), dtype=np.uint32)
     for a, b in blocks(texts):
         words = hash_words(texts[a:b])
         if not len(words.hash):
@@ -59,7 +59,7 @@ def sketches(texts: list[bytes]) -> np.ndarray:
         lane = (h & np.uint64(SKETCH - 1)).astype(np.int64)
         sign = np.where(h >> np.uint64(63), 1.0, -1.0)
         sums = np.bincount(words.text[starts] * SKETCH + lane, weights=sign, minlength=(b - a) * SKETCH)
-        out[a:b] = sums.astype(np.int64).astype(np.uint16).reshape(b - a, SKETCH)
+        out[a:b] = sums.astype(np.int64).astype(np.uint32).reshape(b - a, SKETCH)
     return out
 
 
@@ -81,14 +81,14 @@ def minus(a: Sum, b: Sum) -> Sum:
 
 
 def written(total: Sum) -> list[str]:
-    rows = np.concatenate([total[0].astype("<u4").view(np.uint8), total[1].astype("<u2").view(np.uint8)], axis=1)
+    rows = np.concatenate([total[0].astype("<u4").view(np.uint8), total[1].astype("<u4").view(np.uint8)], axis=1)
     return [base64.b64encode(r.tobytes()).decode() for r in rows]
 
 
 def likeness(a: Sum, b: Sum) -> np.ndarray:
     """1 for equal sums, else the cosine of the sketches, at least 0."""
     same = (a[0] == b[0]).all(axis=1) & (a[1] == b[1]).all(axis=1)
-    x, y = a[1].view(np.int16).astype(np.float64), b[1].view(np.int16).astype(np.float64)
+    x, y = a[1].view(np.int32).astype(np.float64), b[1].view(np.int32).astype(np.float64)
     norm = np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
     cos = np.divide((x * y).sum(axis=1), norm, out=np.zeros(len(norm)), where=norm > 0)
     return np.where(same, 1.0, np.clip(cos, 0.0, 1.0))

@@ -159,6 +159,14 @@ def test_fingerprints_are_homomorphic():
     assert fingerprints.likeness(total, c)[0] == 1.0
 
 
+def test_fingerprints_of_long_repetitive_texts_are_alike():
+    for many in (40_000, 70_000, 200_000):
+        whole, half = [fingerprints.fingerprint([b"word " * n]) for n in (many, many // 2)]
+        assert fingerprints.likeness(whole, half)[0] == pytest.approx(1.0)
+    _, own, changed = fingerprints.edits(["word " * 70_000], ["short next text"])
+    assert fingerprints.likeness(own, changed)[0] > 0.99
+
+
 def test_fingerprints_of_one_row_and_null_ids(spark):
     one = fingerprints.edited_fingerprints(make(spark, [(7, "abcd")])).collect()[0]
     assert one.edited_sha256 == brute.sha("abab") and one.near_next == 1.0
