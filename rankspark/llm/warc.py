@@ -158,7 +158,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
         for part in batches(source, 64):
             for page in part.to_pylist():
                 if out is None:
-                    out, held, size = system.open_output_stream(f"{root}/{name}-{len(done):04d}.warc.gz"), 0, 0
+                    out, held, size = system.open_output_stream(f"{root}/{name}-{len(done):04d}.warc.gz", compression=None), 0, 0
                 page["payload"] = page.pop("html").encode()
                 member = page_record(page)
                 out.write(member)
@@ -240,7 +240,7 @@ def read_runs(archives: DataFrame, folder: str) -> DataFrame:
         for part in batches(source, 1):
             archive = part.column(0)[0].as_py()
             run = []
-            with system.open_input_stream(f"{root}/{archive}") as stream:
+            with system.open_input_stream(f"{root}/{archive}", compression=None) as stream:
                 for offset, length, content in members(stream):
                     r = parsed(content)
                     run.append((url_key(r["url"]), r["captured"], r["page_id"], r["url"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"],
