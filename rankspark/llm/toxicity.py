@@ -13,16 +13,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankspark.llm.text import fold_of, text_of
 from rankspark.llm.words import batches, blocks, hash_words, mix
+from rankspark.session import cut_lineage
 
 WORD_BINS, CHAR_BINS, NGRAMS = 1 << 14, 1 << 16, (3, 4, 5)
 EMBED, HIDDEN = 8, 8
-WINDOW = 32
-MAX_PER_LABEL, MAX_TRAIN_CHARS = 1500, 8192  # the training sample: documents per label, code points per document
+WINDOW = 16
+MAX_PER_LABEL, MAX_TRAIN_CHARS = 1500, 8192  # the training sample: documents per label, and code points of each on average at most
 EPOCHS, STEPS, BATCH, RATE, SEED = 6, 250, 128, 0.01, 7  # at least EPOCHS, and more until STEPS
 THRESHOLD = 0.7
 DECAY = 1e-4
@@ -63,7 +64,7 @@ def tokens(texts: list[str]) -> Tokens:
     owner, gram = np.concatenate(owners), np.concatenate(places)
     order = np.argsort(owner, kind="stable")
     return Tokens(
-        index, edges, (table.hash[first] % np.uint64(WORD_BINS)).astype(np.int64), gram[order], np.bincount(owner, minlength=len(first)),
+        index.astype(np.int32), edges, (table.hash[first] % np.uint64(WORD_BINS)).astype(np.int64), gram[order], np.bincount(owner, minlength=len(first)),
     )
 
 
@@ -75,7 +76,7 @@ def windows(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     text = np.repeat(np.arange(len(n)), many)
     step = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
     first = edges[text] + step
-    return first, np.minimum(WINDOW, edges[text + 1] - first), text
+    return first.astype(np.int32), np.minimum(WINDOW, edges[text + 1] - first).astype(np.int8), text.astype(np.int32)
 
 
 Params = dict[str, np.ndarray]
@@ -187,20 +188,22 @@ def stream_logits(p: Params, index: np.ndarray, vectors: np.ndarray, chunk: int
     h2, h3 = 2 * HIDDEN, 3 * HIDDEN
     # sigmoid(x) = 1 / (1 + exp(-x)) and tanh(x) = 2 / (1 + exp(-2 x)) - 1, the factors taken into the weights.
     scale = np.concatenate([np.full(h2, -1.0), np.full(HIDDEN, -2.0), np.ones(2)]).astype(np.float32)
-    inputs, weights = {}, {}
+    ready, weights = {}, {}
     for k, side in enumerate("fb"):
-        inputs[side] = np.ascontiguousarray((((vectors @ p[f"{side}x"] + p[f"{side}b"]) * scale[:h3])[index]).T)
+        ready[side] = (vectors @ p[f"{side}x"] + p[f"{side}b"]) * scale[:h3]
         ends = np.stack([p[x][k * HIDDEN : (k + 1) * HIDDEN] for x in ("v", "out")], axis=1)
         weights[side] = np.ascontiguousarray((np.concatenate([p[f"{side}u"], ends], axis=1) * scale).T)
     out = np.empty(n, dtype=np.float32)
     for i in range(0, n, chunk):
         m = min(chunk, n - i)
+        words = index[i : i + m + WINDOW - 1]
+        inputs = {side: np.ascontiguousarray(ready[side][words].T) for side in "fb"}
         score, value = np.zeros((WINDOW, m), dtype=np.float32), np.zeros((WINDOW, m), dtype=np.float32)
         gates, new = np.empty((h2, m), dtype=np.float32), np.empty((HIDDEN, m), dtype=np.float32)
         for side in "fb":
             h, b = np.zeros((HIDDEN, m), dtype=np.float32), np.zeros((h3 + 2, m), dtype=np.float32)
             for s in range(WINDOW) if side == "f" else reversed(range(WINDOW)):
-                a = inputs[side][:, i + s : i + s + m]
+                a = inputs[side][:, s : s + m]
                 np.add(a[:h2], b[:h2], out=gates)
                 np.exp(gates, out=gates)
                 gates += 1
@@ -281,19 +284,22 @@ def train(texts: list[str], label: np.ndarray, epochs: int = EPOCHS, steps: int
     first, length, text = windows(t.edges)
     hint = word_vectors(p, t)
     hint = (hint[:, 0] + hint[:, EMBED])[t.index]
-    suspect = np.full(len(first), -np.inf)
+    suspect = np.full(len(first), -np.inf, dtype=np.float32)
     for j in range(WINDOW):
         inside = np.flatnonzero(length > j)
         suspect[inside] = np.maximum(suspect[inside], hint[first[inside] + j])
+    heads = np.flatnonzero(np.diff(text, prepend=-1))  # windows lie text by text
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     step = epoch = 0
     while len(first) and (epoch < epochs or step < steps):
         if epoch:
             suspect, _ = window_scores(p, t)
-        by = np.lexsort((-suspect, text))
-        top = by[np.concatenate([[True], text[by][1:] != text[by][:-1]])]
-        second = by[np.flatnonzero(np.concatenate([[False], text[by][1:] == text[by][:-1]]))]
-        clean = second[label[text[second]] == 0]
+        highest = np.repeat(np.maximum.reduceat(suspect, heads), np.diff(np.append(heads, len(text))))
+        hits = np.flatnonzero(suspect == highest)
+        top = hits[np.flatnonzero(np.diff(text[hits], prepend=-1))]
+        clean = label[text] == 0
+        clean[top] = False
+        clean = np.flatnonzero(clean)
         chosen = np.concatenate([top, rng.choice(clean, min(len(clean), len(top)), replace=False)])
         rng.shuffle(chosen)
         epoch += 1
@@ -333,13 +339,23 @@ def score_texts(p: Params, texts: list[str]) -> np.ndarray:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, doc_id: str, text: str, folds: int, held_out: int,
                     per_label: int, max_chars: int) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of at most per_label documents of each label outside the held-out fold, first by a hash of doc_id, none
-    longer than max_chars. Several label rows of a document count as its largest label."""
+    """Texts and labels of at most per_label documents of each label outside the held-out fold, with at most per_label * max_chars code points
+    together. Labels meet documents first; then documents within max_chars come before longer ones, each in the order of a hash, and longer
+    ones are taken while the whole allowance lasts. Several label rows of a document count as its largest label, equal rows as one."""
     known = labels.where(F.col(column).isNotNull() & (fold_of("doc_id", folds) != held_out)).groupBy("doc_id").agg(F.max(column).alias("_label"))
-    sides = [known.where(F.col("_label") == side).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for side in (0, 1)]
-    few = sides[0].unionByName(sides[1]).select(F.col("doc_id").alias("_id"), "_label")  # at most 2 * per_label rows
-    rows = docs.select(F.col(doc_id).alias("_doc"), text_of(text).alias("_text")).where(F.length("_text") <= max_chars)
-    found = rows.join(F.broadcast(few), F.col("_doc") == F.col("_id")).select("_doc", "_text", "_label").toArrow()
+    rows = docs.select(F.col(doc_id).alias("_doc"), text_of(text).alias("_text"))
+    names = rows.select("_doc", F.length("_text").alias("_size"), F.xxhash64("_text").alias("_hash")).join(
+        known.select(F.col("doc_id").alias("_doc"), "_label"), "_doc"
+    ).distinct()
+    order = [F.col("_size") > max_chars, F.xxhash64("_doc"), F.col("_doc"), F.col("_hash")]
+    sides = []
+    for side in (0, 1):
+        first = names.where(F.col("_label") == side).orderBy(*order).limit(per_label)
+        total = F.sum("_size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # over at most per_label rows
+        sides.append(first.withColumn("_total", total).where(F.col("_total") <= per_label * max_chars))
+    few = cut_lineage(sides[0].unionByName(sides[1]).select(F.col("_doc").alias("_id"), F.col("_hash").alias("_key"), "_label"))
+    picked = rows.join(F.broadcast(few), (F.col("_doc") == F.col("_id")) & (F.xxhash64("_text") == F.col("_key")))  # at most 2 * per_label rows
+    found = picked.select("_doc", "_text", "_label").dropDuplicates(["_doc", "_text"]).toArrow()
     found = found.sort_by([("_doc", "ascending"), ("_text", "ascending")])
     return found.column("_text").to_pylist(), found.column("_label").to_numpy().astype(np.int64)
 
@@ -351,7 +367,12 @@ def fitted(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: st
 
 
 def batch_scores(p: Params | None, column: pa.Array) -> np.ndarray:
-    return score_texts(p, [t or "" for t in column.to_pylist()]) if p else np.zeros(len(column))
+    """Scores of a batch; equal texts are scored once."""
+    if p is None:
+        return np.zeros(len(column))
+    number: dict[str, int] = {}
+    place = [number.setdefault(t or "", len(number)) for t in column.to_pylist()]
+    return score_texts(p, list(number))[place]
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 3,
@@ -360,7 +381,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
 
     Only the text enters a score. Labels of rows whose crc32(doc_id) mod folds is held_out are never read; null labels are ignored.
     Null, empty and wordless texts score 0. Without labels of both kinds nothing can be learnt and every score is 0. Every text is
-    scored whole, in every window of 32 words. Repeated rows score alike; an empty table gives an empty result."""
+    scored whole, in every window of 16 words. Repeated rows score alike; an empty table gives an empty result."""
     model = fitted(docs, labels, doc_id, text, label, folds, held_out, per_label, max_chars)
 
     def work(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
