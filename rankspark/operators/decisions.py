@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankspark.functions import scalars as E
+from rankspark.functions.joins import keyed_join
 from rankspark.functions.ordered import has_large_group
 from rankspark.operators import fusion as B
 from rankspark.operators import metrics as M
@@ -90,8 +91,7 @@ def overturns(ledger: DataFrame) -> DataFrame:
     """Nodes whose submit score exceeds the incumbent's."""
     inc = best_node(ledger).select(RUN, F.col("node_id").alias("incumbent"), F.col("submit").alias("_s"))
     return (
-        ledger.withColumn("submit", submit_score())
-        .join(inc, RUN)
+        keyed_join(ledger.withColumn("submit", submit_score()).select(RUN, "node_id", "submit"), inc, [RUN], "inner")
         .where((F.col("node_id") != F.col("incumbent")) & (F.col("submit") > F.col("_s")))
         .select(RUN, "node_id", "incumbent", "submit")
     )

@@ -104,11 +104,19 @@ def causal_rates(train: DataFrame, chunked: bool | None = None) -> DataFrame:
 # ---- recency -----------------------------------------------------------------------
 
 
+# A block of days is DECAY_BITS half-lives long, and what is older than RANGE_BITS halvings is zero in a double.
+DECAY_BITS, RANGE_BITS = 12, 1100
+
+
 def daily_decay(sdf: DataFrame, keys: list[str], halflife: float, pos_only: bool = False) -> DataFrame:
     """Decayed positives and totals of earlier days, one row per key and day that occurs.
 
-    Rows shrink to day totals first; a day never sees itself. Each day's past is summed with weights
-    relative to that day, so long histories neither overflow nor vanish."""
+    Rows shrink to day totals first; a day never sees itself. Days lie in blocks of 12 half-lives. A day weighs the days of its own block and of the one before
+    singly. Older blocks count as one sum each, with weights relative to the block's first day, so long histories neither overflow nor vanish, and only
+    the 92 or so blocks that can still reach a double are read. A day's work is bounded, whatever the length of the history."""
+    step = max(1, int(DECAY_BITS * halflife))
+    reach = int(RANGE_BITS * halflife / step) + 1
+    fields = ["_p"] if pos_only else ["_p", "_t"]
     daily = (
         sdf.groupBy(*keys, "date")
         .agg(
@@ -116,20 +124,26 @@ def daily_decay(sdf: DataFrame, keys: list[str], halflife: float, pos_only: bool
             F.count("long_view").cast("double").alias("_t"),
         )
         .withColumn("_d", day_ordinal("date"))
+        .withColumn("_b", F.floor(F.col("_d") / step).cast("long"))
     )
-    # Days of one key are few (calendar days), so its running state is folded over the ordered past.
-    past = Window.partitionBy(*keys).orderBy("_d").rangeBetween(Window.unboundedPreceding, -1)
-    items = F.collect_list(F.struct("_d", "_p", "_t")).over(past)
-    rate = 0.5 ** (1.0 / halflife)
+
+    def weight(days: Column) -> Column:
+        return F.pow(F.lit(0.5 ** (1.0 / halflife)), days.cast("double"))
+
+    start = F.col("_b") * step
+    block = Window.partitionBy(*keys, "_b")
+    sums = [F.sum(F.col(f) / weight(F.col("_d") - start)).over(block).alias(f) for f in fields]
+    out = daily.select("*", F.struct("_b", *sums).alias("_sum"), (F.min("_d").over(block) == F.col("_d")).alias("_first"))
+    near = Window.partitionBy(*keys).orderBy("_d").rangeBetween(1 - 2 * step, -1)
+    far = Window.partitionBy(*keys).orderBy("_b").rangeBetween(-reach, -2)
+    out = out.withColumns({"_near": F.collect_list(F.struct("_d", "_b", *fields)).over(near), "_far": F.collect_list(F.when(F.col("_first"), F.col("_sum"))).over(far)})
 
     def decayed(field: str) -> Column:
+        since = F.aggregate("_far", F.lit(0.0), lambda acc, e: acc + e[field] * weight(F.col("_d") - e["_b"] * step))
         return F.aggregate(
-            "_past",
-            F.lit(0.0),
-            lambda acc, e: acc + e[field] * F.pow(F.lit(rate), (F.col("_d") - e["_d"]).cast("double")),
+            F.filter("_near", lambda e: e["_b"] >= F.col("_b") - 1), since, lambda acc, e: acc + e[field] * weight(F.col("_d") - e["_d"])
         )
 
-    out = daily.withColumn("_past", items)
     cols = [*keys, "date", decayed("_p").alias("decay_pos")]
     if not pos_only:
         cols.append(decayed("_t").alias("decay_tot"))

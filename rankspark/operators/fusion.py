@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankspark.functions.joins import keyed_join
 from rankspark.functions.ordered import has_large_group, positions
 from rankspark.functions.scalars import log1p_score
 from rankspark.operators import metrics as M
@@ -24,7 +25,7 @@ REPRO_TOLERANCE = 0.001
 def _scaled(df: DataFrame, by: list[str], aggs: list[Column]) -> DataFrame:
     """Attach per-group (or global, one-row) statistics."""
     if by:
-        return df.join(df.groupBy(*by).agg(*aggs), by)
+        return keyed_join(df, df.groupBy(*by).agg(*aggs), by, "inner")
     return df.crossJoin(F.broadcast(df.agg(*aggs)))
 
 

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankspark.functions import scalars as E
-from rankspark.functions.ordered import running_records
-from rankspark.session import cut_lineage
+from rankspark.functions.joins import keyed_join
+from rankspark.functions.ordered import has_large_group, positions, running_records, value_prefix_sums
+from rankspark.session import cut_lineage, group_rows
 
 RUN = "run_id"
 
@@ -102,25 +103,29 @@ def drafts(ledger: DataFrame) -> DataFrame:
     )
 
 
-# ---- trees: pointer doubling, so a chain of depth d takes about log2(d) joins --------
+# ---- trees: pointer doubling, so a chain of depth d takes about log2(d) joins. Nodes whose walk has ended leave the join, and a node that very many
+# others point to is answered apart (keyed_join) ---------------------------------------
 
 
 def debug_depth(ledger: DataFrame) -> DataFrame:
     """Number of consecutive debug nodes from each node upwards."""
     active = ledger.where((F.col("stage") == "debug") & F.col("parent_id").isNotNull())
-    state = cut_lineage(active.select(RUN, "node_id", F.col("parent_id").alias("ptr"), F.lit(1).alias("depth")))
-    for _ in range(64):
+    state = cut_lineage(
+        active.select(RUN, "node_id", F.col("parent_id").alias("ptr"), F.lit(1).alias("depth"), F.lit(True).alias("_walks"))
+    )
+    for _ in range(30):  # chains of up to 2 ** 30 nodes
         hop = state.select(F.col(RUN), F.col("node_id").alias("ptr"), F.col("ptr").alias("_p"), F.col("depth").alias("_d"))
-        joined = state.join(hop, [RUN, "ptr"], "left")
-        if joined.where(F.col("_p").isNotNull()).isEmpty():
-            break
-        state = cut_lineage(
-            joined.select(
-                RUN, "node_id", F.coalesce("_p", "ptr").alias("ptr"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth")
-            )
+        joined = keyed_join(state.where("_walks"), hop, [RUN, "ptr"])
+        moved = joined.select(
+            RUN, "node_id", F.coalesce("_p", "ptr").alias("ptr"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"),
+            F.col("_p").isNotNull().alias("_walks"),
         )
+        state = cut_lineage(moved.unionByName(state.where("NOT _walks")))
+        if state.where("_walks").isEmpty():
+            break
     else:
         raise ValueError("parent links form a cycle")
+    state = state.drop("_walks")
     return ledger.select(RUN, "node_id", "stage").join(state.drop("ptr"), [RUN, "node_id"], "left").withColumn(
         "depth", F.coalesce("depth", F.lit(0))
     )
@@ -153,21 +158,24 @@ def confirmed_identity(ledger: DataFrame) -> DataFrame:
     nodes = ledger.join(cfg, [RUN, "node_id"]).select(
         RUN, "node_id", ends.alias("done"), F.when(ends, F.col("node_id")).otherwise(F.col("parent_id")).alias("ptr")
     )
-    state = cut_lineage(nodes)
+    state = cut_lineage(nodes.withColumn("_walks", ~F.col("done") & F.col("ptr").isNotNull()))
     for _ in range(64):
-        hop = state.select(F.col(RUN), F.col("node_id").alias("ptr"), F.col("done").alias("_done"), F.col("ptr").alias("_p"))
-        joined = state.join(hop, [RUN, "ptr"], "left")
-        # Settled: the node ends the walk itself, its pointer does, or the walk ran out of parents.
-        open_ = ~F.col("done") & F.col("ptr").isNotNull() & ~yes("_done")
-        if joined.where(open_).isEmpty():
+        if state.where("_walks").isEmpty():
             break
-        moved = F.when(F.col("done") | yes("_done"), F.col("ptr")).otherwise(F.col("_p"))
-        state = cut_lineage(joined.select(RUN, "node_id", "done", moved.alias("ptr")))
+        hop = state.select(F.col(RUN), F.col("node_id").alias("ptr"), F.col("done").alias("_done"), F.col("ptr").alias("_p"))
+        joined = keyed_join(state.where("_walks"), hop, [RUN, "ptr"])
+        # A walk ends at a pointer that is done, or where it runs out of parents.
+        moved = joined.select(
+            RUN, "node_id", "done", F.when(yes("_done"), F.col("ptr")).otherwise(F.col("_p")).alias("ptr"),
+            (~yes("_done") & F.col("_p").isNotNull()).alias("_walks"),
+        )
+        state = cut_lineage(moved.unionByName(state.where("NOT _walks")))
     else:
         raise ValueError("parent links form a cycle")
+    state = state.drop("_walks")
     source = cfg.select(F.col(RUN), F.col("node_id").alias("ptr"), F.col("own_config").alias("_c"))
     return (
-        state.join(source, [RUN, "ptr"], "left")
+        keyed_join(state, source, [RUN, "ptr"])
         .join(cfg, [RUN, "node_id"])
         .select(RUN, "node_id", F.col("ptr").alias("identity_node"), F.coalesce("_c", "own_config").alias("identity"))
     )
@@ -245,17 +253,15 @@ def skip_streak(ledger: DataFrame) -> DataFrame:
     """Skips at the end of each run, free stages ignored."""
     steps = ledger.where(~F.col("stage").isin(FREE_STAGES))
     last = steps.groupBy(RUN).agg(F.max(F.when(~F.col("is_skip"), F.col("seq"))).alias("_last"))
-    tail = steps.where(F.col("is_skip")).join(last, RUN).where(F.col("_last").isNull() | (F.col("seq") > F.col("_last")))
-    n = tail.groupBy(RUN).agg(F.count(F.lit(1)).alias("_n"))
+    tail = keyed_join(steps.where(F.col("is_skip")).select(RUN, "seq"), last, [RUN], "inner")
+    n = tail.where(F.col("_last").isNull() | (F.col("seq") > F.col("_last"))).groupBy(RUN).agg(F.count(F.lit(1)).alias("_n"))
     return last.join(n, RUN, "left").select(RUN, F.coalesce("_n", F.lit(0)).alias("skip_streak"))
 
 
-def _streak(steps: DataFrame, eps: float, out: str) -> DataFrame:
-    """Steps after the last move of the best value, where it moves only by more than eps.
+FOLD_RECORDS = 10_000  # running maxima of a run that may be folded in one row
 
-    Only strict running maxima can move it: anything else is at most eps above the best. So the fold runs
-    over those few rows of a run."""
-    records = running_records(steps.where(F.col("_v").isNotNull()).select(RUN, "seq", "_v"), [RUN], "seq", "_v")
+
+def _folded_moves(records: DataFrame, eps: float) -> DataFrame:
     seqs = records.groupBy(RUN).agg(F.sort_array(F.collect_list(F.struct("seq", "_v"))).alias("_r"))
     start = F.struct(F.get("_r", F.lit(0))["seq"].alias("at"), F.get("_r", F.lit(0))["_v"].alias("best"))
     fold = F.aggregate(
@@ -263,8 +269,45 @@ def _streak(steps: DataFrame, eps: float, out: str) -> DataFrame:
         start,
         lambda acc, e: F.when(e["_v"] > acc["best"] + F.lit(eps), F.struct(e["seq"].alias("at"), e["_v"].alias("best"))).otherwise(acc),
     )
-    moves = seqs.select(RUN, fold["at"].alias("_at"))
-    after = steps.join(moves, RUN).where(F.col("seq") > F.col("_at")).groupBy(RUN).agg(F.count(F.lit(1)).alias("_n"))
+    return seqs.select(RUN, fold["at"].alias("_at"))
+
+
+def _composed_moves(records: DataFrame, eps: float) -> DataFrame:
+    """The same without a row per run: each record is a threshold step, the map from it to the record that would move the best next. The map is composed
+    with itself, so that after k rounds it takes 2 ** k moves at once, until no run's first record gets any further."""
+    ranked = cut_lineage(positions(records, [RUN], "_v", "_i", tie="seq", chunked=True))
+    late = 1 << 40  # places a threshold behind the records of its own value
+    steps = ranked.select(RUN, F.col("_v").alias("_x"), F.col("seq").cast("long").alias("_tie"), F.lit(None).cast("long").alias("_i"))
+    asks = ranked.select(RUN, (F.col("_v") + F.lit(eps)).alias("_x"), (F.col("seq") + F.lit(late)).cast("long").alias("_tie"), "_i")
+    below = value_prefix_sums(steps.unionByName(asks), [RUN], "_x", {"_to": F.col("_i").isNull().cast("double")}, "_tie")
+    ends = ranked.groupBy(RUN).agg(F.count(F.lit(1)).alias("_n"))
+    asked = keyed_join(below.where(F.col("_i").isNotNull()).select(RUN, "_i", F.col("_to").cast("long").alias("_to")), ends, [RUN], "inner")
+    # A record no other one moves points to itself.
+    jumps = cut_lineage(asked.select(RUN, "_i", F.when(F.col("_to") < F.col("_n"), F.col("_to")).otherwise(F.col("_i")).alias("_to")))
+    while True:
+        far = jumps.select(RUN, F.col("_i").alias("_to"), F.col("_to").alias("_far"))
+        moving = keyed_join(jumps.where("_i <> _to"), far, [RUN, "_to"], "inner")
+        after = cut_lineage(
+            moving.select(RUN, "_i", F.col("_far").alias("_to"), (F.col("_far") != F.col("_to")).alias("_moved")).unionByName(
+                jumps.where("_i = _to").select(RUN, "_i", "_to", F.lit(False).alias("_moved"))
+            )
+        )
+        jumps = after.drop("_moved")
+        if after.where("_i = 0 AND _moved").isEmpty():
+            break
+    last = jumps.where("_i = 0").select(RUN, F.col("_to").alias("_i"))
+    return ranked.select(RUN, "_i", F.col("seq").alias("_at")).join(last, [RUN, "_i"]).select(RUN, "_at")
+
+
+def _streak(steps: DataFrame, eps: float, out: str) -> DataFrame:
+    """Steps after the last move of the best value, where it moves only by more than eps.
+
+    Only strict running maxima can move it: anything else is at most eps above the best. Runs with few of them are folded in a row, and where a run has
+    many the moves are composed."""
+    records = cut_lineage(running_records(steps.where(F.col("_v").isNotNull()).select(RUN, "seq", "_v"), [RUN], "seq", "_v"))
+    many = has_large_group(records, [RUN], min(FOLD_RECORDS, group_rows(steps.sparkSession)))
+    moves = _composed_moves(records, eps) if many else _folded_moves(records, eps)
+    after = keyed_join(steps.select(RUN, "seq"), moves, [RUN], "inner").where(F.col("seq") > F.col("_at")).groupBy(RUN).agg(F.count(F.lit(1)).alias("_n"))
     return moves.join(after, RUN, "left").select(RUN, F.coalesce("_n", F.lit(0)).alias(out))
 
 

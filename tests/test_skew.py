@@ -1,5 +1,8 @@
 """Groups that hold a large share of the rows: the chunked plans must give the plain plans' results."""
 
+import datetime
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from rankspark.operators import encoding as E
 from rankspark.operators import features as X
 from rankspark.operators import fusion as B
 from rankspark.operators import itemcf as C
+from rankspark.operators import ledger as L
 from rankspark.operators import metrics as M
 from rankspark.operators import select as S
 from rankspark.operators import trainset as R
@@ -223,3 +227,89 @@ def test_large_groups_through_whole_operators(spark, log, scores):
     finally:
         spark.conf.unset("spark.rankspark.groupRows")
         spark.conf.unset("spark.rankspark.chunkRows")
+
+
+def test_decay_of_a_key_with_thousands_of_days(spark):
+    """5,000 days in a row, gaps of years, and half-lives from far below a day to far above a block."""
+    days = [datetime.date(1990, 1, 1) + datetime.timedelta(days=d) for d in range(5000)]
+    labels = {d: [i % 3 == 0, i % 7 == 0][: 1 + i % 2] for i, d in enumerate(days) if not 1000 < i < 2200}
+    log = [(1, int(d.strftime("%Y%m%d")), int(y)) for d, ys in labels.items() for y in ys] + [(2, 19900103, 1), (2, 20200103, 0), (None, 19900101, 1), (None, 19900102, 0)]
+    sdf = spark.createDataFrame(log, "user_id int, date int, long_view int")
+    for halflife in (7.0, 0.02, 400.0):
+        got = {(r.user_id, r.date): (r.decay_pos, r.decay_tot) for r in X.daily_decay(sdf, ["user_id"], halflife).collect()}
+        rate, pos, tot, last = 0.5 ** (1.0 / halflife), 0.0, 0.0, None
+        for d, ys in labels.items():
+            gap = (d - last).days if last else 0
+            pos, tot = pos * rate**gap, tot * rate**gap
+            assert got[1, int(d.strftime("%Y%m%d"))] == pytest.approx((pos, tot), rel=1e-9, abs=1e-300)
+            pos, tot, last = pos + sum(ys), tot + len(ys), d
+        assert got[None, 19900102] == pytest.approx((rate, rate))
+        assert got[2, 20200103] == pytest.approx((rate**10957, rate**10957), rel=1e-6, abs=1e-300)
+
+
+def ledger_steps(spark, values):
+    return spark.createDataFrame([(r, i, v) for r, vs in values.items() for i, v in enumerate(vs)], "run_id string, seq bigint, _v double")
+
+
+def streak_by_hand(values, eps):
+    best, after = None, 0
+    for v in values:
+        if v is not None and (best is None or v > best + eps):
+            best, after = v, 0
+        elif best is not None:
+            after += 1
+    return after
+
+
+def test_streaks_are_composed_in_long_rising_runs(spark, small_groups):
+    """A run that rises all the way has as many running maxima as steps: none of them may be gathered in a row."""
+    rng = random.Random(1)
+    runs = {
+        "rising": [0.001 * i for i in range(700)], "dense": [1 + 1e-6 * i for i in range(300)], "ragged": [rng.random() for _ in range(200)],
+        "stairs": [i // 5 * 0.002 + rng.random() * 0.0019 for i in range(400)], "one": [0.3], "missing": [None, 0.1, None, 0.5, None], "equal": [0.5] * 40,
+    }
+    for eps in (0.0, 0.0015, 0.002, 0.3):
+        steps = ledger_steps(spark, runs)
+        want = sorted((r, streak_by_hand(v, eps)) for r, v in runs.items())
+        assert sorted(tuple(r) for r in L._streak(steps, eps, "n").select("run_id", "n").collect()) == want
+        spark.conf.set("spark.rankspark.groupRows", "100000")
+        assert sorted(tuple(r) for r in L._streak(steps, eps, "n").select("run_id", "n").collect()) == want
+        spark.conf.set("spark.rankspark.groupRows", "20")
+
+
+def star_ledger(spark, n=120):
+    """A root that a third of all nodes hang on, and chains below some of them."""
+    nodes = [("r", 0, None, "draft", True)] + [("r", i, 0 if i % 3 == 0 else i - 1 if i % 3 == 1 else max(0, i - 2), "debug" if i % 2 else "improve", i % 17 == 0) for i in range(1, n)]
+    rows = [(r, i, p, s, c, {"lr": str(i)} if c or i % 5 else None, None) for r, i, p, s, c in nodes]
+    return spark.createDataFrame(rows, "run_id string, node_id int, parent_id int, stage string, confirmed boolean, config map<string,string>, members array<int>"), nodes
+
+
+def test_walks_in_a_star_ledger(spark, small_groups):
+    ledger, nodes = star_ledger(spark)
+    by = {i: (p, s, c) for _, i, p, s, c in nodes}
+
+    def depth(i):
+        n = 0
+        while i is not None and by[i][1] == "debug" and by[i][0] is not None:
+            n, i = n + 1, by[i][0]
+        return n
+
+    def identity(i):
+        while i is not None and not by[i][2]:
+            i = by[i][0]
+        return i
+
+    assert {r.node_id: r.depth for r in L.debug_depth(ledger).collect()} == {i: depth(i) for i in by}
+    got = {r.node_id: r.identity_node for r in L.confirmed_identity(ledger).collect()}
+    assert got == {i: identity(i) for i in by}
+    loop = spark.createDataFrame([("r", 1, 2, "debug"), ("r", 2, 1, "debug")], "run_id string, node_id int, parent_id int, stage string")
+    with pytest.raises(ValueError, match="cycle"):
+        L.debug_depth(loop)
+
+
+def test_statistics_of_a_large_group(scores, small_groups):
+    for fn in (B.zscore, B.minmax):
+        got = rows(fn(scores, "score", "z", ["model_id"]), "model_id", "row_id", "z")
+        scores.sparkSession.conf.set("spark.rankspark.groupRows", "100000")
+        assert rows(fn(scores, "score", "z", ["model_id"]), "model_id", "row_id", "z") == got
+        scores.sparkSession.conf.set("spark.rankspark.groupRows", "20")
