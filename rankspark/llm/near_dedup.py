@@ -6,8 +6,9 @@ which two parity bitmaps differ, and pairs it does not rule out are confirmed on
 
 Equal sets are one class from the start. A bucket is never expanded into all its pairs. First every member meets the bucket's
 smallest member, which joins what lies around it into components. Then only members outside the bucket's largest component are left
-to be compared: as a query set, in blocks of a few dozen, each meets the bucket's members of other components, and only the pairs their
-sketches let through leave the comparison.
+to be compared: as a query set, in blocks of a few dozen, each meets the bucket's members of other components, and what their sketches let through is
+compared on the full sets where they meet. A member takes one of the components a block links it to, at most one row leaves per member and block, the
+components are joined, and only members that had to leave links behind meet the same blocks again.
 """
 
 from __future__ import annotations
@@ -169,26 +170,55 @@ def star_pairs(entries: DataFrame, members: DataFrame, percent: int) -> tuple[Da
     return near.select("x", "y"), lead
 
 
-def outsider_pairs(entries: DataFrame, lead: DataFrame, members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(x, y) pairs of each bucket's members in different components, apart from its smallest member, which has met them all."""
+def shares_enough(a: Column, b: Column, percent: int) -> Column:
+    """100 * intersection >= percent * union of two arrays of distinct items."""
+    shared = F.size(F.array_intersect(a, b))
+    return 100 * shared >= percent * (F.size(a) + F.size(b) - shared)
+
+
+def mixed_buckets(entries: DataFrame, lead: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, cls, m, label, asks, block): members of buckets with several components, apart from the smallest member, which has met them all. Those
+    outside the bucket's largest component ask, in blocks."""
     rest = entries.join(lead.select("key", F.col("x").alias("cls")), ["key", "cls"], "left_anti")
     named = rest.join(labels, "cls")
     parts = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
     largest = parts.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("top"), F.sum("size").alias("total"), F.max("size").alias("most"))
     mixed = largest.where("total > most").select("key", "top", F.ceil((F.col("total") - F.col("most")) / BLOCK).alias("blocks"))
-    live = cut_lineage(named.join(mixed, "key").join(members, "cls"))
-    block = F.pmod(F.xxhash64("cls"), F.col("blocks"))
-    asked = live.where("label <> top").groupBy("key", block.alias("block")).agg(F.collect_list(F.struct("cls", "label", "m")).alias("asked"))
-    # Of two outsiders only one asks, the one with the larger cls, and a pair is named in the first of its buckets only.
-    once = (F.col("label") == F.col("top"))
+    block = F.pmod(F.xxhash64("cls"), F.col("blocks")).alias("block")
+    return named.join(mixed, "key").join(members, "cls").select("key", "cls", "m", "label", (F.col("label") != F.col("top")).alias("asks"), block)
+
+
+def block_links(live: DataFrame, percent: int, again: DataFrame | None = None) -> DataFrame:
+    """(a, b) components linked on full sets, one for each member and block that links it to any, with more saying that the block links the member to
+    further components. again limits the comparison to (key, cls, block) rows of which more was said."""
+    asked = live.where("asks").groupBy("key", "block").agg(F.collect_list(F.struct("cls", "label", "m")).alias("asked"))
+    rows = live.select("key", "cls", "label", "asks", "m")
+    if again is None:
+        met = rows.join(asked, "key")
+    else:
+        met = rows.join(again.select("key", "cls", "block"), ["key", "cls"]).join(asked, ["key", "block"])
+    # Of two that ask only one is met by the other, the one with the larger cls, and a pair is compared in the first of its buckets only.
     hits = F.filter(
         "asked",
-        lambda q: (q["label"] != F.col("label")) & (once | (q["cls"] > F.col("cls"))) & may_link(q["m"], F.col("m"), percent)
-        & (first_shared(q["m"]["bands"], F.col("m.bands")) == F.col("key")),
+        lambda q: (q["label"] != F.col("label")) & (~F.col("asks") | (q["cls"] > F.col("cls"))) & may_link(q["m"], F.col("m"), percent)
+        & (first_shared(q["m"]["bands"], F.col("m.bands")) == F.col("key")) & shares_enough(q["m"]["items"], F.col("m.items"), percent),
     )
-    met = live.join(asked.select("key", "asked"), "key").select("cls", F.transform(hits, lambda q: q["cls"]).alias("hit"))
-    pairs = met.where(F.size("hit") > 0).select("cls", F.explode("hit").alias("other"))
-    return pairs.select(F.least("cls", "other").alias("x"), F.greatest("cls", "other").alias("y")).distinct()
+    found = met.select("key", "cls", "block", "label", F.array_distinct(F.transform(hits, lambda q: q["label"])).alias("hit")).where(F.size("hit") > 0)
+    # Members choose by hash, so that those of one component together take nearly all of the links.
+    chosen = F.array_min(F.transform("hit", lambda x: F.struct(F.xxhash64(x, "cls").alias("h"), x.alias("x"))))["x"]
+    return found.select("key", "cls", "block", F.col("label").alias("a"), chosen.alias("b"), (F.size("hit") > 1).alias("more"))
+
+
+def join_outsiders(entries: DataFrame, lead: DataFrame, members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(cls, label) after every pair that shares a bucket and could join two components has been compared."""
+    live, again = cut_lineage(mixed_buckets(entries, lead, members, labels)), None
+    while True:
+        links = cut_lineage(block_links(live, percent, again))
+        labels = connect(links, labels)
+        again = links.where("more")
+        if again.isEmpty():
+            return labels
+        live = live.drop("label").join(labels, "cls")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -198,16 +228,19 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     sets = cut_lineage(sets.select("cls", "items").join(wanted, "cls", "left_semi"))
     a, b = [sets.select(F.col("cls").alias(c), F.col("items").alias(f"{c}_items")) for c in "xy"]
     both = pairs.join(a, "x").join(b, "y")
-    shared = F.size(F.array_intersect("x_items", "y_items"))
-    union = F.size("x_items") + F.size("y_items") - shared
-    return both.where(100 * shared >= percent * union).select("x", "y")
+    return both.where(shares_enough(F.col("x_items"), F.col("y_items"), percent)).select("x", "y")
 
 
-def connect(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """New (cls, label) after joining components along edges, by smallest neighbouring label and pointer jumping."""
-    ends = edges.join(labels.select(F.col("cls").alias("x"), F.col("label").alias("a")), "x").join(
+def between(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b): the components at the two ends of (x, y) edges."""
+    return edges.join(labels.select(F.col("cls").alias("x"), F.col("label").alias("a")), "x").join(
         labels.select(F.col("cls").alias("y"), F.col("label").alias("b")), "y"
     ).where("a <> b").select("a", "b")
+
+
+def connect(ends: DataFrame, labels: DataFrame) -> DataFrame:
+    """New (cls, label) after joining the components a and b of every row of ends, by smallest neighbouring label and pointer jumping."""
+    ends = ends.select("a", "b")
     links = cut_lineage(ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     nodes = cut_lineage(links.select("a", F.col("a").alias("root")).distinct())
     while True:
@@ -240,12 +273,13 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     entries = cut_lineage(entries.join(several, "key").select("key", "cls"))
     wanted = classes.join(entries.select("cls").distinct(), "cls", "left_semi")
     sets = cut_lineage(full_sets(docs, doc_id, text, wanted))
-    members = sets.select("cls", F.struct(F.size("items").alias("n"), "bands", "sketch", "fine").alias("m"))
+    sketches = ["bands", "sketch", "fine"]
+    members = sets.select("cls", F.struct(F.size("items").alias("n"), *sketches).alias("m"))
     labels = sets.select("cls", F.col("cls").alias("label"))
     near, lead = star_pairs(entries, members, percent)
-    labels = connect(cut_lineage(confirmed(cut_lineage(near), sets, percent)), labels)
-    near = outsider_pairs(entries, lead, members, labels, percent)
-    labels = connect(cut_lineage(confirmed(cut_lineage(near), sets, percent)), labels)
+    labels = connect(between(cut_lineage(confirmed(cut_lineage(near), sets, percent)), labels), labels)
+    whole = sets.select("cls", F.struct(F.size("items").alias("n"), *sketches, "items").alias("m"))
+    labels = join_outsiders(entries, lead, whole, labels, percent)
     named = signed.select("doc_id", "n_shingles", "cls").join(labels, "cls", "left").select(
         "doc_id", "n_shingles", F.coalesce("label", "cls").alias("label")
     )
