@@ -8,6 +8,8 @@ suspect window and fitting those against the most suspect and random windows of
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +28,7 @@ WINDOW = 16
 MAX_PER_LABEL, MAX_TRAIN_CHARS = 1500, 8192  # the training sample: documents per label, and code points of each on average at most
 EPOCHS, STEPS, BATCH, RATE, SEED = 6, 250, 128, 0.01, 7  # at least EPOCHS, and more until STEPS
 THRESHOLD = 0.7
+SEEN_TEXTS = 300_000
 DECAY = 1e-4
 MIN_BIN_TEXTS = 3  # embeddings of bins found in fewer training texts stay zero, as for unknown words
 
@@ -188,9 +191,12 @@ def stream_logits(p: Params, index: np.ndarray, vectors: np.ndarray, chunk: int
     h2, h3 = 2 * HIDDEN, 3 * HIDDEN
     # sigmoid(x) = 1 / (1 + exp(-x)) and tanh(x) = 2 / (1 + exp(-2 x)) - 1, the factors taken into the weights.
     scale = np.concatenate([np.full(h2, -1.0), np.full(HIDDEN, -2.0), np.ones(2)]).astype(np.float32)
-    ready, weights = {}, {}
+    ready, weights, alone = {}, {}, {}
     for k, side in enumerate("fb"):
         ready[side] = (vectors @ p[f"{side}x"] + p[f"{side}b"]) * scale[:h3]
+        # A window's first state depends on its first word only, so it is made once for each distinct word.
+        first = 2 / (1 + np.exp(ready[side][:, h2:])) - 1
+        alone[side] = first - first / (1 + np.exp(ready[side][:, :HIDDEN]))
         ends = np.stack([p[x][k * HIDDEN : (k + 1) * HIDDEN] for x in ("v", "out")], axis=1)
         weights[side] = np.ascontiguousarray((np.concatenate([p[f"{side}u"], ends], axis=1) * scale).T)
     out = np.empty(n, dtype=np.float32)
@@ -201,22 +207,25 @@ def stream_logits(p: Params, index: np.ndarray, vectors: np.ndarray, chunk: int
         score, value = np.zeros((WINDOW, m), dtype=np.float32), np.zeros((WINDOW, m), dtype=np.float32)
         gates, new = np.empty((h2, m), dtype=np.float32), np.empty((HIDDEN, m), dtype=np.float32)
         for side in "fb":
-            h, b = np.zeros((HIDDEN, m), dtype=np.float32), np.zeros((h3 + 2, m), dtype=np.float32)
-            for s in range(WINDOW) if side == "f" else reversed(range(WINDOW)):
-                a = inputs[side][:, s : s + m]
-                np.add(a[:h2], b[:h2], out=gates)
-                np.exp(gates, out=gates)
-                gates += 1
-                np.reciprocal(gates, out=gates)
-                np.multiply(gates[HIDDEN:], b[h2:h3], out=new)
-                new += a[h2:]
-                np.exp(new, out=new)
-                new += 1
-                np.divide(2, new, out=new)
-                new -= 1
-                h -= new
-                h *= gates[:HIDDEN]
-                h += new
+            steps = range(WINDOW) if side == "f" else range(WINDOW - 1, -1, -1)
+            b = np.empty((h3 + 2, m), dtype=np.float32)
+            h = np.ascontiguousarray(alone[side][words[steps[0] : steps[0] + m]].T)
+            for s in steps:
+                if s != steps[0]:
+                    a = inputs[side][:, s : s + m]
+                    np.add(a[:h2], b[:h2], out=gates)
+                    np.exp(gates, out=gates)
+                    gates += 1
+                    np.reciprocal(gates, out=gates)
+                    np.multiply(gates[HIDDEN:], b[h2:h3], out=new)
+                    new += a[h2:]
+                    np.exp(new, out=new)
+                    new += 1
+                    np.divide(2, new, out=new)
+                    new -= 1
+                    h -= new
+                    h *= gates[:HIDDEN]
+                    h += new
                 for j in range(0, m, block):
                     np.matmul(weights[side], h[:, j : j + block], out=b[:, j : j + block])
                 score[s] += b[-2]
@@ -363,16 +372,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, doc_id: str
 def fitted(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, folds: int, held_out: int, per_label: int, max_chars: int):
     """The trained network as a broadcast variable of fixed size: the tables of hashed embeddings."""
     p = train(*labelled_sample(docs, labels, label, doc_id, text, folds, held_out, per_label, max_chars))
-    return docs.sparkSession.sparkContext.broadcast(p)
+    return docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, p))
 
 
-def batch_scores(p: Params | None, column: pa.Array) -> np.ndarray:
-    """Scores of a batch; equal texts are scored once."""
+_SEEN: dict[str, dict[bytes, float]] = {}  # of the network in use, scores by text digest
+
+
+def batch_scores(model: tuple[str, Params | None], column: pa.Array) -> np.ndarray:
+    """Scores of a batch. A worker remembers the scores it gave, so that copies of a text are scored once while they are remembered."""
+    name, p = model
     if p is None:
         return np.zeros(len(column))
-    number: dict[str, int] = {}
-    place = [number.setdefault(t or "", len(number)) for t in column.to_pylist()]
-    return score_texts(p, list(number))[place]
+    if name not in _SEEN:
+        _SEEN.clear()
+        _SEEN[name] = {}
+    seen = _SEEN[name]
+    if len(seen) > SEEN_TEXTS:
+        seen.clear()
+    texts = [t or "" for t in column.to_pylist()]
+    keys = [hashlib.blake2b(t.encode(), digest_size=16).digest() for t in texts]
+    new = {k: t for k, t in zip(keys, texts) if k not in seen}
+    seen.update(zip(new, score_texts(p, list(new.values())).tolist()))
+    return np.array([seen[k] for k in keys])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 3,
