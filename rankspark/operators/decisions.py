@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from rankspark.functions.joins import keyed_join
 from rankspark.functions.ordered import has_large_group
 from rankspark.operators import fusion as B
 from rankspark.operators import metrics as M
-from rankspark.operators.ledger import COMPLEMENT_DELTA, EPSILON, NEAR_TOP_EPS, RUN, best_node, is_good, is_timeout, submit_score, yes
+from rankspark.operators.ledger import COMPLEMENT_DELTA, EPSILON, NEAR_TOP_EPS, RUN, best_node, is_good, is_timeout, own_config, submit_score, yes
 from rankspark.session import cut_lineage
 
 # ---- fixed values ----
@@ -119,8 +117,7 @@ def pick_candidate(cands: DataFrame, eps: float = EPSILON) -> DataFrame:
 def identity_bags(scores: DataFrame, members: DataFrame, chunked: bool | None = None) -> DataFrame:
     """Rank-averaged scores of every identity with at least two seed packs, written once."""
     enough = members.groupBy("identity").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") >= 2)
-    tagged = scores.join(members.select("model_id", "identity"), "model_id").join(enough.select("identity"), "identity", "left_semi")
-    return cut_lineage(B.rank_average(tagged, group=F.col("identity"), chunked=chunked))
+    return cut_lineage(B.rank_average(scores, groups=members.join(enough, "identity"), chunked=chunked))
 
 
 def bag_candidates(bags: DataFrame, members: DataFrame, chunked: bool | None = None) -> DataFrame:
@@ -143,55 +140,59 @@ def bag_candidates(bags: DataFrame, members: DataFrame, chunked: bool | None = N
     )
 
 
-def blend_candidates(fused: DataFrame, members: DataFrame, bags: DataFrame, chunked: bool | None = None) -> DataFrame | None:
-    """Blends of the best bag with every other bag in the window that shares no leak-prone flag and clears
-    the best bag by two standard errors. The candidate table has one row per identity and is read here."""
-    ranked = bags.orderBy(F.col("score").desc(), "candidate").select("candidate", "score").collect()
-    if len(ranked) < 2:
-        return None
-    top, best = ranked[0]["candidate"], ranked[0]["score"]
-    near = [r for r in ranked if r["score"] >= best - NEAR_TOP_EPS]
-    window = NEAR_TOP_EPS if len(near) >= 2 else COMPLEMENT_DELTA
+def candidate_pairs(members: DataFrame, bags: DataFrame) -> DataFrame:
+    """(pair, left_id, right_id, n_flags): the best bag with every other in the window that shares no leak-prone flag with it. The window is narrow where two bags are
+    close to the best, else wide."""
+    best = bags.agg(F.min_by(F.struct("candidate", "score"), F.struct(-F.col("score"), F.col("candidate"))).alias("_t"))
+    near = bags.crossJoin(F.broadcast(best)).agg(
+        F.first("_t").alias("_t"), F.sum((F.col("score") >= F.col("_t.score") - NEAR_TOP_EPS).cast("long")).alias("_near")
+    )
+    window = F.when(F.col("_near") >= 2, NEAR_TOP_EPS).otherwise(COMPLEMENT_DELTA)
     configs = members.groupBy("identity").agg(F.first("config").alias("config"))
-    parts = []
-    for row in ranked[1:]:
-        other = row["candidate"]
-        if row["score"] < best - window:
-            continue
-        a = configs.where(F.col("identity") == top).select(F.col("config").alias("_a"))
-        b = configs.where(F.col("identity") == other).select(F.col("config").alias("_b"))
-        pair = a.crossJoin(b).where(~E.leak_overlap("_a", "_b"))
-        flags = pair.select(E.extra_flag_count(E.overlay("_a", "_b")).alias("n_flags")).first()
-        if flags is None:
-            continue
-        sides = cut_lineage(B.pair_scores(fused, top, other))
-        point = B.sweep_blend(sides, chunked).first()
-        mixed = cut_lineage(
-            B.apply_blend(sides, point["blend_alpha"], point["blend_gamma"]).withColumn("model_id", F.lit("blend"))
-        )
-        base = sides.select(F.lit("bag").alias("model_id"), "row_id", "user_id", "label", F.col("s_a").alias("score"), "date")
-        both = mixed.unionByName(base)
-        per_user = M.user_metrics(both, chunked=chunked)
-        boot = M.paired_bootstrap(M.paired_users(per_user, "bag")).select("model_id", "se_val_delta")
-        half = M.half_primaries(mixed, chunked).select("model_id", F.least("primary_front", "primary_back").alias("robust"))
-        value = M.summarize_users(per_user).select("model_id", F.col("primary").alias("score"))
-        kept = value.join(boot, "model_id").join(half, "model_id", "left").where(
-            B.beats_bag(F.col("score"), F.lit(best), F.col("se_val_delta"))
-        )
-        parts.append(
-            kept.select(
-                F.lit(f"{top}+{other}").alias("candidate"), "score", F.coalesce("robust", "score").alias("robust"),
-                F.lit(flags["n_flags"]).alias("n_flags"), F.lit("blend").alias("kind"),
-            )
-        )
-    return reduce(lambda x, y: x.unionByName(y), parts) if parts else None
+    others = bags.crossJoin(F.broadcast(near)).where(  # one row
+        (F.col("candidate") != F.col("_t.candidate")) & (F.col("score") >= F.col("_t.score") - window)
+    ).select(F.col("_t.candidate").alias("left_id"), F.col("candidate").alias("right_id"))
+    a, b = [configs.select(F.col("identity").alias(i), F.col("config").alias(c)) for i, c in (("left_id", "_a"), ("right_id", "_b"))]
+    return others.join(a, "left_id").join(b, "right_id").where(~E.leak_overlap("_a", "_b")).select(
+        F.concat_ws("+", "left_id", "right_id").alias("pair"), "left_id", "right_id", E.extra_flag_count(E.overlay("_a", "_b")).alias("n_flags")
+    )
+
 
+def blend_candidates(fused: DataFrame, members: DataFrame, bags: DataFrame, chunked: bool | None = None) -> DataFrame:
+    """Blends of candidate_pairs that clear the best bag by two standard errors; all pairs are searched together."""
+    pairs = cut_lineage(candidate_pairs(members, bags))
+    found = B.search_pairs(fused, pairs.drop("n_flags"), chunked=chunked).join(pairs.select("pair", "n_flags"), "pair")
+    best = bags.agg(F.max("score").alias("_b"))
+    kept = found.crossJoin(F.broadcast(best)).where(B.beats_bag(F.col("blend_primary"), F.col("_b"), F.col("se_val_delta")))
+    return kept.select(
+        F.col("pair").alias("candidate"), F.col("blend_primary").alias("score"), F.coalesce("robust", "blend_primary").alias("robust"), "n_flags",
+        F.lit("blend").alias("kind"),
+    )
+
+
+def ensemble_candidates(ledger: DataFrame, bags: DataFrame) -> DataFrame:
+    """Ensemble nodes of the ledger by the score they recorded. Those over several configs must clear the best bag by two standard errors."""
+    best = bags.agg(F.max("score").alias("_b"))
+    nodes = ledger.where((F.col("stage") == "ensemble") & F.col("primary").isNotNull() & ~F.col("is_skip")).crossJoin(F.broadcast(best))
+    clears = B.beats_bag(F.col("primary"), F.col("_b"), F.col("se_val_delta"))
+    kept = nodes.where((F.coalesce("ensemble_kind", F.lit("same_config")) == "same_config") | clears)
+    return kept.join(own_config(ledger), [RUN, "node_id"]).select(
+        F.col("node_id").cast("string").alias("candidate"), F.col("primary").alias("score"), F.col("primary").alias("robust"),
+        F.coalesce(E.extra_flag_count("own_config"), F.lit(0)).alias("n_flags"), F.lit("node").alias("kind"),
+    )
 
-def pick_final(scores: DataFrame, members: DataFrame, eps: float = EPSILON, chunked: bool | None = None) -> DataFrame:
-    """The submission: seed bags and admissible blends, by robust score, parsimony and score."""
+
+def final_candidates(scores: DataFrame, members: DataFrame, ledger: DataFrame | None = None, chunked: bool | None = None) -> DataFrame:
+    """Everything the submission is picked from: candidate, score, robust, n_flags, kind. Seed bags, admissible blends and, where a ledger is given, its
+    ensemble nodes."""
     if chunked is None:
         chunked = has_large_group(scores, ["model_id", "user_id"])
     fused = identity_bags(scores, members, chunked)
     bags = cut_lineage(bag_candidates(fused, members, chunked))
-    blends = blend_candidates(fused, members, bags, chunked)
-    return pick_candidate(bags if blends is None else bags.unionByName(blends), eps)
+    out = bags.unionByName(blend_candidates(fused, members, bags, chunked))
+    return out if ledger is None else out.unionByName(ensemble_candidates(ledger, bags))
+
+
+def pick_final(scores: DataFrame, members: DataFrame, eps: float = EPSILON, chunked: bool | None = None, ledger: DataFrame | None = None) -> DataFrame:
+    """The submission: by robust score, parsimony and score. The candidates, one row per identity, pair and ensemble node, are written once."""
+    return pick_candidate(cut_lineage(final_candidates(scores, members, ledger, chunked)), eps)

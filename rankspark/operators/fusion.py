@@ -57,17 +57,21 @@ def minmax(df: DataFrame, col: str, out: str, by: list[str] = []) -> DataFrame:
     return _ranged(df, {col: out}, by)
 
 
-def rank_average(scores: DataFrame, models: list[str] | None = None, group: Column | None = None,
+def rank_average(scores: DataFrame, models: list[str] | None = None, groups: DataFrame | None = None,
                  chunked: bool | None = None) -> DataFrame:
-    """Minus the mean zero-based descending position over models, per row; `group` fuses several sets at once."""
+    """Minus the mean zero-based descending position over models, per row. `groups` (model_id, identity) fuses several sets at once; a model may be in
+    several and is ranked once."""
     picked = scores if models is None else scores.where(F.col("model_id").isin(models))
+    if groups is not None:
+        picked = picked.join(F.broadcast(groups.select("model_id").distinct()), "model_id", "left_semi")  # one row per compared model
     if chunked is None:
         chunked = has_large_group(picked, ["model_id", "user_id"])
     ranked = positions(picked, ["model_id", "user_id"], "score", "_p", descending=True, chunked=chunked)
-    name = F.lit("fused") if group is None else group
+    named = ranked.withColumn("_g", F.lit("fused")) if groups is None else ranked.join(
+        F.broadcast(groups.select("model_id", F.col("identity").alias("_g"))), "model_id"
+    )
     return (
-        ranked.withColumn("_g", name)
-        .groupBy("_g", "row_id")
+        named.groupBy("_g", "row_id")
         .agg(*[F.first(c).alias(c) for c in ("user_id", "label", "date")], (-F.avg("_p")).alias("score"))
         .select(F.col("_g").alias("model_id"), "row_id", "user_id", "label", "score", "date")
     )
@@ -90,15 +94,15 @@ def apply_blend(pairs: DataFrame, alpha: float, gamma: float) -> DataFrame:
     return z.select("row_id", "user_id", "label", "date", score.alias("score"))
 
 
-def grid_metrics(rows: DataFrame, grid: DataFrame, score: Column, chunked: bool | None = None) -> DataFrame:
-    """Ranking metrics of one score expression at every grid point (`grid_idx` plus its parameters). Rows are
+def grid_metrics(rows: DataFrame, grid: DataFrame, score: Column, chunked: bool | None = None, by: list[str] = []) -> DataFrame:
+    """Ranking metrics of one score expression at every grid point (`grid_idx` plus its parameters), apart for each key in by. Rows are
     placed by user first, so the expanded grid is sorted where it lies instead of being shuffled."""
     if chunked is None:
-        chunked = has_large_group(rows, ["user_id"])
+        chunked = has_large_group(rows, [*by, "user_id"])
     placed = rows if chunked else rows.repartition(shuffle_width(rows.sparkSession), "user_id")
     points = F.broadcast(grid)  # a few dozen fixed rows
-    wide = placed.crossJoin(points).select("grid_idx", "user_id", "row_id", "label", score.alias("score"))
-    return M.ranking_metrics(wide, ["grid_idx"], chunked=chunked).join(points, "grid_idx")
+    wide = placed.crossJoin(points).select(*by, "grid_idx", "user_id", "row_id", "label", score.alias("score"))
+    return M.ranking_metrics(wide, [*by, "grid_idx"], chunked=chunked).join(points, "grid_idx")
 
 
 def sweep_grid(spark) -> DataFrame:
@@ -241,46 +245,78 @@ def fuse_and_check(scores: DataFrame, models: list[str], expected: float, tol: f
     return out.withColumn("drift", drift).withColumn("status", F.when(drift > tol, "drift").otherwise("ok"))
 
 
+def paired_sides(scores: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows both models of a pair score, side by side as s_a and s_b. `pairs` (pair, left_id, right_id) has at most one row per compared model."""
+    few = F.broadcast(pairs)
+    left = scores.join(few.withColumnRenamed("left_id", "model_id"), "model_id").select(
+        "pair", "row_id", "user_id", "label", "date", F.col("score").alias("s_a")
+    )
+    right = scores.join(few.withColumnRenamed("right_id", "model_id"), "model_id").select("pair", "row_id", F.col("score").alias("s_b"))
+    return left.join(right, ["pair", "row_id"])
+
+
+def search_pairs(scores: DataFrame, pairs: DataFrame, replicates: int = 500, chunked: bool | None = None) -> DataFrame:
+    """The best blend of every pair against its left model: pair, blend_alpha, blend_gamma, blend_primary, bag_primary, se_val_delta, ci95_lo, ci95_hi and
+    robust (the weaker half). Sweep, bootstrap and halves are grouped by pair, so the number of jobs does not follow the number of pairs."""
+    if chunked is None:
+        chunked = has_large_group(scores, ["model_id", "user_id"])
+    sides = cut_lineage(_ranged(paired_sides(scores, pairs), {"s_a": "_z1", "s_b": "_z2"}, ["pair"]))
+    score = blend(F.col("_z1"), F.col("_z2"), F.col("alpha"), F.col("gamma"))
+    swept = grid_metrics(sides.select("pair", "row_id", "user_id", "label", "_z1", "_z2"), sweep_grid(scores.sparkSession), score, chunked, ["pair"])
+    best = F.max_by(F.struct("alpha", "gamma"), F.struct("primary", -F.col("grid_idx")))
+    points = cut_lineage(swept.groupBy("pair").agg(best.alias("_p")).select("pair", "_p.alpha", "_p.gamma"))
+    mixed = sides.join(F.broadcast(points), "pair").withColumn("score", score)  # one row per pair
+    columns = ["pair", "row_id", "user_id", "label", "date", "score"]
+    both = mixed.select(*columns, F.lit("blend").alias("side")).unionByName(
+        sides.withColumn("score", F.col("s_a")).select(*columns, F.lit("bag").alias("side"))
+    )
+    per_user = cut_lineage(M.user_metrics(both, ["pair", "side"], chunked=chunked))
+    total = M.summarize_users(per_user, ["pair", "side"])
+
+    def value(side: str, name: str) -> DataFrame:
+        return total.where(F.col("side") == side).select("pair", F.col("primary").alias(name))
+
+    own = per_user.where("side = 'blend'").select(F.col("pair").alias("model_id"), "user_id", "n_pos", "auc", "ndcg")
+    base = per_user.where("side = 'bag'").select(
+        F.col("pair").alias("model_id"), "user_id", *[F.col(c).alias(f"{c}_inc") for c in ("n_pos", "auc", "ndcg")]
+    )
+    boot = M.paired_bootstrap(own.join(base, ["model_id", "user_id"]), replicates).select(
+        F.col("model_id").alias("pair"), "se_val_delta", "ci95_lo", "ci95_hi"
+    )
+    halves = M.half_primaries(mixed.select(F.col("pair").alias("model_id"), *columns[1:]), chunked).select(
+        F.col("model_id").alias("pair"), F.least("primary_front", "primary_back").alias("robust")
+    )
+    parts = [value("blend", "blend_primary"), value("bag", "bag_primary"), boot, halves]
+    named = points.select("pair", F.col("alpha").alias("blend_alpha"), F.col("gamma").alias("blend_gamma"))
+    return reduce(lambda x, y: x.join(y, "pair", "left"), parts, named)
+
+
 def complementary_blend(scores: DataFrame, members: DataFrame, replicates: int = 500,
                         chunked: bool | None = None) -> DataFrame:
-    """Best identity bag blended with its least-agreeing partner; accepted only two SE above the bag.
+    """Best identity bag blended with its least-agreeing partner; accepted only two SE above the bag. One row, none with fewer than two identities.
 
-    `members` maps model_id to (identity, primary). The identity table is small and its best row is
-    read to name the incumbent; score rows stay distributed."""
+    `members` maps model_id to (identity, primary). Best identity and partner stay rows of tables and are never read by the driver."""
     if chunked is None:
         chunked = has_large_group(scores, ["model_id", "user_id"])
     means = members.groupBy("identity").agg(F.avg("primary").alias("_m"))
-    best = means.orderBy(F.col("_m").desc(), "identity").first()["identity"]
-    tagged = scores.join(members.select("model_id", "identity"), "model_id")
+    best = cut_lineage(means.agg(F.min_by("identity", F.struct(-F.col("_m"), F.col("identity"))).alias("best_identity")))
     # Several jobs read the bags, so they are written once.
-    bags = cut_lineage(rank_average(tagged, group=F.col("identity"), chunked=chunked))
-    agree = M.topk_agreement(bags, best, 1)
-    row = agree.orderBy("top1_agree", "model_id").first()
-    partner, top1 = row["model_id"], row["top1_agree"]
-    pairs = cut_lineage(pair_scores(bags, best, partner))
-    sweep = sweep_blend(pairs, chunked)
-    point = sweep.first()
-    fused = apply_blend(pairs, point["blend_alpha"], point["blend_gamma"]).withColumn("model_id", F.lit("blend"))
-    bag = pairs.select(F.lit("bag").alias("model_id"), "row_id", "user_id", "label", F.col("s_a").alias("score"), "date")
-    per_user = M.user_metrics(fused.unionByName(bag, allowMissingColumns=True), chunked=chunked)
-    primary = M.summarize_users(per_user)
-    boot = M.paired_bootstrap(M.paired_users(per_user, "bag"), replicates).select("se_val_delta", "ci95_lo", "ci95_hi")
-
-    def value(model: str, name: str) -> DataFrame:
-        return primary.where(F.col("model_id") == model).select(F.col("primary").alias(name))
-
-    out = value("blend", "blend_primary").crossJoin(value("bag", "bag_primary")).crossJoin(boot)
+    bags = cut_lineage(rank_average(scores, groups=members, chunked=chunked))
+    one = F.broadcast(best)  # one row
+    tops = M.top_lists(bags, 1).crossJoin(one)
+    lead = tops.where(F.col("model_id") == F.col("best_identity")).select("user_id", F.col("top").alias("_inc"))
+    agree = (
+        tops.where(F.col("model_id") != F.col("best_identity")).join(lead, "user_id").groupBy("model_id").agg(F.avg((F.col("top") == F.col("_inc")).cast("double")).alias("_g"))
+    )
+    others = bags.select("model_id").distinct().crossJoin(one).where(F.col("model_id") != F.col("best_identity"))
+    scored = others.join(agree, "model_id", "left").withColumn("_g", F.coalesce("_g", F.lit(0.0)))
+    least = F.min_by(F.struct(F.col("model_id").alias("partner"), F.col("_g").alias("blend_top1")), F.struct("_g", "model_id"))
+    pair = cut_lineage(scored.groupBy("best_identity").agg(least.alias("_p")).select("best_identity", "_p.partner", "_p.blend_top1"))
+    found = search_pairs(bags, pair.select(F.lit("blend").alias("pair"), F.col("best_identity").alias("left_id"), F.col("partner").alias("right_id")), replicates, chunked)
     ok = beats_bag(F.col("blend_primary"), F.col("bag_primary"), F.col("se_val_delta"))
-    return out.select(
-        F.lit(best).alias("best_identity"),
-        F.lit(partner).alias("partner"),
-        F.lit(float(top1)).alias("blend_top1"),
-        "bag_primary",
-        "blend_primary",
-        "se_val_delta",
-        "ci95_lo",
-        "ci95_hi",
+    return found.crossJoin(F.broadcast(pair)).select(  # one row
+        "best_identity", "partner", "blend_top1", "bag_primary", "blend_primary", "se_val_delta", "ci95_lo", "ci95_hi",
         ok.alias("accepted"),
-        F.when(ok, F.lit(point["blend_alpha"])).otherwise(0.0).alias("blend_alpha"),
-        F.when(ok, F.lit(point["blend_gamma"])).otherwise(0.0).alias("blend_gamma"),
+        F.when(ok, F.col("blend_alpha")).otherwise(0.0).alias("blend_alpha"),
+        F.when(ok, F.col("blend_gamma")).otherwise(0.0).alias("blend_gamma"),
     )

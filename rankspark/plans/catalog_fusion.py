@@ -232,27 +232,3 @@ def compare_all(spark, sf):
 )
 def fuse_and_check(spark, sf):
     return tidy(B.fuse_and_check(score_table(spark, sf), ["m0", "m1", "m3"], 0.5))
-
-
-IDENTITY = {"m0": ("a", 0.61), "m1": ("b", 0.58), "m2": ("c", 0.59), "m3": ("b", 0.60)}
-
-
-@query(
-    "complementary_blend",
-    f"""WITH {SCORES}, mem(model_id, ident) AS (VALUES ('m0', 'a'), ('m1', 'b'), ('m3', 'b'), ('m2', 'c')),
-    rp AS (SELECT s.*, ident, row_number() OVER (PARTITION BY s.model_id, user_id ORDER BY score DESC, row_id) - 1 AS p FROM scores s JOIN mem USING (model_id)),
-    bags AS (SELECT ident AS model_id, row_id, user_id, any_value(label) AS label, -avg(p) AS score, any_value(date) AS date FROM rp GROUP BY 1, 2, 3),
-    tk AS (SELECT model_id, user_id, row_id, count(*) OVER (PARTITION BY model_id, user_id) AS c, row_number() OVER (PARTITION BY model_id, user_id ORDER BY score DESC, row_id) AS pos FROM bags),
-    t1 AS (SELECT * FROM tk WHERE pos = 1 AND c >= 2),
-    ga AS (SELECT r.model_id, avg(CASE WHEN l.row_id = r.row_id THEN 1.0 ELSE 0 END) AS agree FROM t1 l JOIN t1 r ON l.user_id = r.user_id AND l.model_id = 'a' AND r.model_id <> 'a' GROUP BY 1),
-    pick AS (SELECT model_id, agree FROM ga ORDER BY agree, model_id LIMIT 1),
-    ba AS (SELECT * FROM bags WHERE model_id = 'a'), bb AS (SELECT * FROM bags WHERE model_id = (SELECT model_id FROM pick)), {_sweep_sql('ba', 'bb')},
-    bestg AS (SELECT alpha, gamma, "primary" AS bp FROM grm ORDER BY grm."primary" DESC, alpha, gamma LIMIT 1),
-    z00 AS (SELECT model_id, row_id, user_id, label, score FROM ba), {user_metrics_sql('z00', 'model_id', 'zm')}, {summary_sql('zm', 'model_id', 'zr')}
-    SELECT 'a' AS best_identity, pick.model_id AS partner, round(agree, 7) AS blend_top1, round(zr."primary", 7) AS bag_primary, round(bp, 7) AS blend_primary
-    FROM pick, bestg, zr""",
-)
-def complementary_blend(spark, sf):
-    members = spark.createDataFrame([(m, i, p) for m, (i, p) in IDENTITY.items()], "model_id string, identity string, primary double")
-    out = B.complementary_blend(cut_lineage(score_table(spark, sf)), members)
-    return tidy(out.select("best_identity", "partner", "blend_top1", "bag_primary", "blend_primary"), 7)

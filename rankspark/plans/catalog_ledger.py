@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from rankspark.functions import scalars as E
 from rankspark.operators import decisions as D
+from rankspark.operators import fusion as B
 from rankspark.operators import ledger as L
-from rankspark.plans.catalog_fusion import _sweep_sql
-from rankspark.plans.catalog_metrics import BOOT, PAIRS, RM, UM
+from rankspark.plans.catalog_metrics import BOOT, RM, UM
 from rankspark.plans.views import LEDGER, SCORES, score_table, summary_sql, tidy, user_metrics_sql
 from rankspark.session import cut_lineage
 from rankspark.sources.mapped import ledger, table
@@ -606,56 +606,120 @@ def reconcile_metrics(spark, sf):
 
 
 def _members(spark, sf):
-    """Two identities of two score packs each; their configs come from the ledger's first nodes."""
-    rows = ledger(spark, sf).where(F.col("seq").isin(0, 2)).select("seq", "config")
-    link = F.when(F.col("seq") == 0, F.array(F.lit("m0"), F.lit("m1"))).otherwise(F.array(F.lit("m2"), F.lit("m3")))
-    return rows.select(F.explode(link).alias("model_id"), F.when(F.col("seq") == 0, "a").otherwise("b").alias("identity"), "config")
+    """Every confirmed ledger node names a score pack by size and seed; nodes of equal size, loss and decay flag are the seeds of one identity. Small
+    models count without time decay and larger ones with it, so that no two identities have the same packs."""
+    of = lambda key: F.col("config")[key]
+    rows = ledger(spark, sf).where(F.col("confirmed") & ~((of("loss") == '"bpr"') & (F.col("seed") == 2)))
+    rows = rows.where((of("k") == "8") == (of("use_time_decay") == "false"))
+    size = F.when(of("k") == "8", 0).when(of("k") == "16", 1).otherwise(2)
+    pack = F.concat(F.lit("m"), ((size + F.col("seed")) % 4).cast("string"))
+    config = F.map_filter("config", lambda k, v: k.isin("k", "loss", "use_time_decay"))
+    named = rows.select(pack.alias("model_id"), F.concat_ws("/", of("k"), of("loss"), of("use_time_decay")).alias("identity"), config.alias("config"), "primary")
+    return named.groupBy("model_id", "identity").agg(F.first("config").alias("config"), F.avg("primary").alias("primary"))
+
+
+MEMBERS = """mem AS (SELECT 'm' || ((CASE k WHEN '8' THEN 0 WHEN '16' THEN 1 ELSE 2 END + seed) % 4) AS model_id, k || '/' || loss || '/' || utd AS ident, k, loss, utd, avg(prim) AS prim
+  FROM ledger WHERE confirmed AND NOT (loss = '"bpr"' AND seed = 2) AND (k = '8') = (utd = 'false') GROUP BY ALL)"""
+
+BAGS = f"""{MEMBERS}, many AS (SELECT ident FROM mem GROUP BY 1 HAVING count(*) >= 2),
+rp AS (SELECT s.*, ident, row_number() OVER (PARTITION BY ident, s.model_id, user_id ORDER BY score DESC, row_id) - 1 AS p FROM scores s JOIN mem USING (model_id) WHERE ident IN (SELECT ident FROM many)),
+bags AS (SELECT ident AS model_id, row_id, user_id, any_value(label) AS label, -avg(p) AS score, any_value(date) AS date FROM rp GROUP BY 1, 2, 3),
+{user_metrics_sql('bags', 'model_id', 'bm')}, {summary_sql('bm', 'model_id', 'br')}"""
 
 
-BAGS = f"""mem(model_id, ident) AS (VALUES ('m0', 'a'), ('m1', 'a'), ('m2', 'b'), ('m3', 'b')),
-rp AS (SELECT s.*, ident, row_number() OVER (PARTITION BY s.model_id, user_id ORDER BY score DESC, row_id) - 1 AS p FROM scores s JOIN mem USING (model_id)),
-bags AS (SELECT ident AS model_id, row_id, user_id, any_value(label) AS label, -avg(p) AS score, any_value(date) AS date FROM rp GROUP BY 1, 2, 3),
-{user_metrics_sql('bags', 'model_id', 'bm')}, {summary_sql('bm', 'model_id', 'br')},
-hcut AS (SELECT model_id, quantile_cont(date, 0.5) AS md, count(*) AS n FROM bags GROUP BY 1),
-hb AS (SELECT b.*, CASE WHEN row_number() OVER (PARTITION BY b.model_id ORDER BY row_id) <= (SELECT count(*) FROM bags x WHERE x.model_id = b.model_id AND x.date <= md) THEN 'front' ELSE 'back' END AS half
-  FROM bags b JOIN hcut USING (model_id)),
-{user_metrics_sql('hb', 'model_id, half', 'hm')}, {summary_sql('hm', 'model_id, half', 'hr')},
-cand AS (SELECT br.model_id AS candidate, br."primary" AS score, (SELECT min("primary") FROM hr WHERE hr.model_id = br.model_id) AS robust,
-  (SELECT (k <> '16')::INT + (loss <> '"logloss"')::INT + (seq_len <> '0')::INT + (utd = 'true')::INT FROM ledger WHERE seq = CASE WHEN br.model_id = 'a' THEN 0 ELSE 2 END) AS n_flags FROM br)"""
+def _halves_sql(src: str, name: str) -> str:
+    """Weaker half of every model of src."""
+    return f"""{name}c AS (SELECT model_id, quantile_cont(date, 0.5) AS md, count(*) AS n FROM {src} GROUP BY 1),
+{name}f AS (SELECT s.model_id, any_value(n) AS n, count(*) FILTER (date <= md) AS f FROM {src} s JOIN {name}c USING (model_id) GROUP BY 1),
+{name}b AS (SELECT s.*, CASE WHEN row_number() OVER (PARTITION BY s.model_id ORDER BY row_id) <= CASE WHEN f < 16 OR n - f < 16 THEN n // 2 ELSE f END THEN 'front' ELSE 'back' END AS half
+  FROM {src} s JOIN {name}f USING (model_id) WHERE n >= 32),
+{user_metrics_sql(f'{name}b', 'model_id, half', f'{name}m')}, {summary_sql(f'{name}m', 'model_id, half', f'{name}r')},
+{name} AS (SELECT model_id, min("primary") AS robust FROM {name}r GROUP BY 1)"""
+
+
+FLAGS = """(k <> '16')::INT + (loss <> '"logloss"')::INT + (utd = 'true')::INT"""
+CAND = f"""{BAGS}, {_halves_sql('bags', 'hb')},
+cand AS (SELECT br.model_id AS candidate, br."primary" AS score, coalesce(robust, br."primary") AS robust, {FLAGS} AS n_flags, k, loss, utd
+  FROM br LEFT JOIN hb USING (model_id) JOIN (SELECT DISTINCT ident, k, loss, utd FROM mem) c ON c.ident = br.model_id)"""
 
 
 @query(
     "bag_candidates",
-    f"WITH {SCORES}, {LEDGER}, {BAGS} SELECT candidate, round(score, 9) AS score, round(robust, 9) AS robust, CAST(n_flags AS BIGINT) AS n_flags FROM cand",
+    f"WITH {SCORES}, {LEDGER}, {CAND} SELECT candidate, round(score, 9) AS score, round(robust, 9) AS robust, CAST(n_flags AS BIGINT) AS n_flags FROM cand",
 )
 def bag_candidates(spark, sf):
     members = _members(spark, sf)
     return tidy(D.bag_candidates(D.identity_bags(score_table(spark, sf), members), members).drop("kind"))
 
 
-PICK = f"""{BAGS}, rkd AS (SELECT *, row_number() OVER (ORDER BY score DESC, candidate) AS rn, max(score) OVER () AS best FROM cand),
-bt AS (SELECT * FROM bags WHERE model_id = (SELECT candidate FROM rkd WHERE rn = 1)), bo AS (SELECT * FROM bags WHERE model_id = (SELECT candidate FROM rkd WHERE rn = 2)),
-{_sweep_sql('bt', 'bo')}, pt AS (SELECT alpha, gamma FROM grm ORDER BY grm."primary" DESC, alpha, gamma LIMIT 1),
-fz AS (SELECT 'blend' AS model_id, row_id, user_id, label, date, (1.0 - alpha) * z1 + alpha * z2 + gamma * z1 * z2 AS score FROM pz, pt),
-two AS (SELECT * FROM fz UNION ALL SELECT 'bag', row_id, user_id, label, date, score FROM bt),
-{user_metrics_sql('two', 'model_id', 'um')}, {summary_sql('um', 'model_id', 'tr')}, {PAIRS.replace("'m0'", "'bag'")}, {BOOT},
-fh AS (SELECT f.*, CASE WHEN row_number() OVER (ORDER BY row_id) <= (SELECT count(*) FROM fz WHERE date <= (SELECT quantile_cont(date, 0.5) FROM fz)) THEN 'front' ELSE 'back' END AS half FROM fz f),
-{user_metrics_sql('fh', 'model_id, half', 'fm')}, {summary_sql('fm', 'model_id, half', 'fr')},
-cfg AS (SELECT max(CASE WHEN seq = 0 THEN utd END) AS ua, max(CASE WHEN seq = 2 THEN utd END) AS ub FROM ledger WHERE seq IN (0, 2)),
-lay AS (SELECT (o.k <> '16')::INT + (o.loss <> '"logloss"')::INT + (o.seq_len <> '0')::INT + (o.utd = 'true')::INT AS nf
-  FROM ledger o WHERE seq = CASE WHEN (SELECT candidate FROM rkd WHERE rn = 2) = 'a' THEN 0 ELSE 2 END),
-bl AS (SELECT (SELECT candidate FROM rkd WHERE rn = 1) || '+' || (SELECT candidate FROM rkd WHERE rn = 2) AS candidate, tr."primary" AS score,
-  (SELECT min("primary") FROM fr) AS robust, (SELECT nf FROM lay) AS n_flags, 'blend' AS kind FROM tr, cfg
-  WHERE model_id = 'blend' AND NOT (ua = 'true' AND ub = 'true')
-  AND (SELECT best - score FROM rkd WHERE rn = 2) <= CASE WHEN (SELECT best - score FROM rkd WHERE rn = 2) <= 0.002 THEN 0.002 ELSE 0.03 END
-  AND tr."primary" > (SELECT any_value(best) FROM rkd) + 2 * (SELECT stddev_samp(delta) FROM deltas)),
-allc AS (SELECT candidate, score, robust, n_flags, 'bag' AS kind FROM cand UNION ALL SELECT * FROM bl)"""
+def _search_sql(pairs: str) -> str:
+    """Sweep, bootstrap and halves of the pairs (pair, l, r) of bags; `found` has a row per pair."""
+    return f"""sd AS (SELECT pair, a.row_id, a.user_id, a.label, a.date, a.score AS sa, b.score AS sb FROM {pairs} JOIN bags a ON a.model_id = l JOIN bags b ON b.model_id = r AND b.row_id = a.row_id),
+pz AS (SELECT *, (sa - min(sa) OVER w) / (max(sa) OVER w - min(sa) OVER w) AS z1, (sb - min(sb) OVER w) / (max(sb) OVER w - min(sb) OVER w) AS z2 FROM sd WINDOW w AS (PARTITION BY pair)),
+gr AS (SELECT pair, row_id, user_id, label, alpha, gamma, (1.0 - alpha) * z1 + alpha * z2 + gamma * z1 * z2 AS score
+  FROM pz, (SELECT unnest([0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]::DOUBLE[]) AS alpha), (SELECT unnest([0.0, 0.1, 0.2]::DOUBLE[]) AS gamma)),
+{user_metrics_sql('gr', 'pair, alpha, gamma', 'gm')}, {summary_sql('gm', 'pair, alpha, gamma', 'grm')},
+pt AS (SELECT pair, alpha, gamma FROM grm QUALIFY row_number() OVER (PARTITION BY pair ORDER BY grm."primary" DESC, alpha, gamma) = 1),
+fz AS (SELECT pair AS model_id, row_id, user_id, label, date, (1.0 - alpha) * z1 + alpha * z2 + gamma * z1 * z2 AS score FROM pz JOIN pt USING (pair)),
+{user_metrics_sql('fz', 'model_id', 'um')}, {summary_sql('um', 'model_id', 'tr')},
+bz AS (SELECT pair AS model_id, row_id, user_id, label, sa AS score FROM sd), {user_metrics_sql('bz', 'model_id', 'ub')}, {summary_sql('ub', 'model_id', 'tb')},
+pairs AS (SELECT a.model_id, a.user_id, a.n_pos, a.auc, a.ndcg, b.n_pos AS n_pos_inc, b.auc AS auc_inc, b.ndcg AS ndcg_inc FROM um a JOIN ub b USING (model_id, user_id)), {BOOT},
+bt AS (SELECT model_id, stddev_samp(delta) AS se, quantile_cont(delta, 0.025) AS lo, quantile_cont(delta, 0.975) AS hi FROM deltas GROUP BY 1), {_halves_sql('fz', 'fh')},
+found AS (SELECT tr.model_id AS pair, alpha, gamma, tr."primary" AS blend, tb."primary" AS bag, se, lo, hi, robust
+  FROM tr JOIN tb USING (model_id) JOIN pt ON pt.pair = tr.model_id LEFT JOIN bt USING (model_id) LEFT JOIN fh USING (model_id))"""
+
+
+PICK = f"""{CAND}, rkd AS (SELECT *, row_number() OVER (ORDER BY score DESC, candidate) AS rn, max(score) OVER () AS best FROM cand),
+nr AS (SELECT count(*) AS n FROM rkd WHERE score >= best - 0.002),
+prs AS (SELECT t.candidate || '+' || o.candidate AS pair, t.candidate AS l, o.candidate AS r, o.n_flags FROM rkd o, rkd t, nr
+  WHERE t.rn = 1 AND o.rn > 1 AND o.score >= o.best - CASE WHEN n >= 2 THEN 0.002 ELSE 0.03 END AND NOT (o.utd = 'true' AND t.utd = 'true')),
+{_search_sql('prs')},
+allc AS (SELECT candidate, score, robust, n_flags, 'bag' AS kind FROM cand
+  UNION ALL SELECT pair, blend, coalesce(robust, blend), n_flags, 'blend' FROM found JOIN prs USING (pair) WHERE se > 0 AND blend > (SELECT max(score) FROM cand) + 2 * se
+  UNION ALL SELECT CAST(node_id AS VARCHAR), prim, prim, (k <> '16')::INT + (loss <> '"logloss"')::INT + (seq_len <> '0')::INT + (utd = 'true')::INT, 'node' FROM ledger
+    WHERE stage = 'ensemble' AND prim IS NOT NULL AND NOT is_skip AND (ensemble_kind = 'same_config' OR (se > 0 AND prim > (SELECT max(score) FROM cand) + 2 * se)))"""
+
+
+@query(
+    "final_candidates",
+    f"WITH {SCORES}, {LEDGER}, {PICK} SELECT candidate, round(score, 8) AS score, round(robust, 8) AS robust, CAST(n_flags AS BIGINT) AS n_flags, kind FROM allc",
+)
+def final_candidates(spark, sf):
+    return tidy(D.final_candidates(cut_lineage(score_table(spark, sf)), _members(spark, sf), ledger(spark, sf)), 8)
+
+
+@query(
+    "blend_pairs",
+    f"""WITH {SCORES}, {LEDGER}, {PICK} SELECT pair, alpha AS blend_alpha, gamma AS blend_gamma, round(blend, 7) AS blend_primary, round(bag, 7) AS bag_primary,
+    round(se, 7) AS se_val_delta, round(lo, 7) AS ci95_lo, round(hi, 7) AS ci95_hi, round(robust, 7) AS robust FROM found""",
+)
+def blend_pairs(spark, sf):
+    """Every admissible blend of the best bag, won or not."""
+    members = _members(spark, sf)
+    fused = D.identity_bags(cut_lineage(score_table(spark, sf)), members)
+    pairs = D.candidate_pairs(members, cut_lineage(D.bag_candidates(fused, members)))
+    return tidy(B.search_pairs(fused, pairs.drop("n_flags")), 7)
 
 
 @query(
     "pick_final",
-    f"""WITH {SCORES}, {LEDGER}, {PICK} SELECT candidate, round(score, 7) AS score, round(robust, 7) AS robust, CAST(n_flags AS BIGINT) AS n_flags, kind FROM allc
+    f"""WITH {SCORES}, {LEDGER}, {PICK} SELECT candidate, round(score, 8) AS score, round(robust, 8) AS robust, CAST(n_flags AS BIGINT) AS n_flags, kind FROM allc
     WHERE robust >= (SELECT max(robust) FROM allc) - 0.002 ORDER BY n_flags, allc.score DESC, allc.robust DESC LIMIT 1""",
 )
 def pick_final(spark, sf):
-    return tidy(D.pick_final(cut_lineage(score_table(spark, sf)), _members(spark, sf)), 7)
+    return tidy(D.pick_final(cut_lineage(score_table(spark, sf)), _members(spark, sf), ledger=ledger(spark, sf)), 8)
+
+
+@query(
+    "complementary_blend",
+    f"""WITH {SCORES}, {LEDGER}, {BAGS.replace('HAVING count(*) >= 2', '')}, mean AS (SELECT ident, avg(prim) AS m FROM mem GROUP BY 1),
+    tk AS (SELECT model_id, user_id, row_id, count(*) OVER (PARTITION BY model_id, user_id) AS c, row_number() OVER (PARTITION BY model_id, user_id ORDER BY score DESC, row_id) AS pos FROM bags),
+    t1 AS (SELECT * FROM tk WHERE pos = 1 AND c >= 2), best AS (SELECT ident AS b FROM mean ORDER BY m DESC, ident LIMIT 1),
+    ga AS (SELECT r.model_id, avg(CASE WHEN l.row_id = r.row_id THEN 1.0 ELSE 0 END) AS agree FROM best JOIN t1 l ON l.model_id = b JOIN t1 r ON l.user_id = r.user_id AND r.model_id <> b GROUP BY 1),
+    one AS (SELECT 'blend' AS pair, b AS l, model_id AS r, agree FROM ga, best ORDER BY agree, model_id LIMIT 1), {_search_sql('one')},
+    ok AS (SELECT *, coalesce(se > 0 AND blend > bag + 2 * se, false) AS won FROM found JOIN one USING (pair))
+    SELECT l AS best_identity, r AS partner, round(agree, 7) AS blend_top1, round(bag, 7) AS bag_primary, round(blend, 7) AS blend_primary, round(se, 7) AS se_val_delta,
+    round(lo, 7) AS ci95_lo, round(hi, 7) AS ci95_hi, won AS accepted, CASE WHEN won THEN alpha ELSE 0 END AS blend_alpha, CASE WHEN won THEN gamma ELSE 0 END AS blend_gamma FROM ok""",
+)
+def complementary_blend(spark, sf):
+    return tidy(B.complementary_blend(cut_lineage(score_table(spark, sf)), _members(spark, sf)), 7)
