@@ -188,10 +188,16 @@ def mixed_buckets(entries: DataFrame, lead: DataFrame, members: DataFrame, label
     return named.join(mixed, "key").join(members, "cls").select("key", "cls", "m", "label", (F.col("label") != F.col("top")).alias("asks"), block)
 
 
-def block_links(live: DataFrame, percent: int, again: DataFrame | None = None) -> DataFrame:
-    """(a, b) components linked on full sets, one for each member and block that links it to any, with more saying that the block links the member to
-    further components. again limits the comparison to (key, cls, block) rows of which more was said."""
-    asked = live.where("asks").groupBy("key", "block").agg(F.collect_list(F.struct("cls", "label", "m")).alias("asked"))
+def asking(live: DataFrame, again: DataFrame | None) -> DataFrame:
+    """The members that ask; of blocks named in again only."""
+    asks = live.where("asks").select("key", "block", "cls", "label", "m")
+    return asks if again is None else asks.join(again.select("key", "block").distinct(), ["key", "block"], "left_semi")
+
+
+def block_hits(live: DataFrame, percent: int, again: DataFrame | None = None) -> DataFrame:
+    """(key, block, cls, label, hit): what of a block the sketches leave possible for a member, with classes of other components only. again limits the
+    comparison to its (key, block, cls) rows."""
+    asked = asking(live, again).groupBy("key", "block").agg(F.collect_list(F.struct("cls", "label", "m")).alias("asked"))
     rows = live.select("key", "cls", "label", "asks", "m")
     if again is None:
         met = rows.join(asked, "key")
@@ -201,24 +207,35 @@ def block_links(live: DataFrame, percent: int, again: DataFrame | None = None) -
     hits = F.filter(
         "asked",
         lambda q: (q["label"] != F.col("label")) & (~F.col("asks") | (q["cls"] > F.col("cls"))) & may_link(q["m"], F.col("m"), percent)
-        & (first_shared(q["m"]["bands"], F.col("m.bands")) == F.col("key")) & shares_enough(q["m"]["items"], F.col("m.items"), percent),
+        & (first_shared(q["m"]["bands"], F.col("m.bands")) == F.col("key")),
     )
-    found = met.select("key", "cls", "block", "label", F.array_distinct(F.transform(hits, lambda q: q["label"])).alias("hit")).where(F.size("hit") > 0)
+    return met.select("key", "block", "cls", "label", F.transform(hits, lambda q: q["cls"]).alias("hit")).where(F.size("hit") > 0)
+
+
+def block_links(live: DataFrame, hits: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) components linked on full sets, one for each member and block that links it to any, with more saying that the block links the member to
+    further components. Only the sets of members with hits and of the blocks that hold them are moved."""
+    items = sets.select("cls", "items")
+    asked = asking(live, hits).join(items, "cls").groupBy("key", "block").agg(F.collect_list(F.struct("cls", "label", "items")).alias("asked"))
+    met = hits.join(items, "cls").join(asked, ["key", "block"])
+    linked = F.filter("asked", lambda q: F.array_contains("hit", q["cls"]) & shares_enough(q["items"], F.col("items"), percent))
+    found = met.select("key", "block", "cls", "label", F.array_distinct(F.transform(linked, lambda q: q["label"])).alias("to")).where(F.size("to") > 0)
     # Members choose by hash, so that those of one component together take nearly all of the links.
-    chosen = F.array_min(F.transform("hit", lambda x: F.struct(F.xxhash64(x, "cls").alias("h"), x.alias("x"))))["x"]
-    return found.select("key", "cls", "block", F.col("label").alias("a"), chosen.alias("b"), (F.size("hit") > 1).alias("more"))
+    chosen = F.array_min(F.transform("to", lambda x: F.struct(F.xxhash64(x, "cls").alias("h"), x.alias("x"))))["x"]
+    return found.select("key", "block", "cls", F.col("label").alias("a"), chosen.alias("b"), (F.size("to") > 1).alias("more"))
 
 
-def join_outsiders(entries: DataFrame, lead: DataFrame, members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def join_outsiders(entries: DataFrame, lead: DataFrame, members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """(cls, label) after every pair that shares a bucket and could join two components has been compared."""
     live, again = cut_lineage(mixed_buckets(entries, lead, members, labels)), None
     while True:
-        links = cut_lineage(block_links(live, percent, again))
+        links = cut_lineage(block_links(live, cut_lineage(block_hits(live, percent, again)), sets, percent))
         labels = connect(links, labels)
         again = links.where("more")
         if again.isEmpty():
             return labels
-        live = live.drop("label").join(labels, "cls")
+        left = live.join(again.select("key").distinct(), "key", "left_semi").drop("label")
+        live = cut_lineage(left.join(labels, "cls"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -273,13 +290,11 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     entries = cut_lineage(entries.join(several, "key").select("key", "cls"))
     wanted = classes.join(entries.select("cls").distinct(), "cls", "left_semi")
     sets = cut_lineage(full_sets(docs, doc_id, text, wanted))
-    sketches = ["bands", "sketch", "fine"]
-    members = sets.select("cls", F.struct(F.size("items").alias("n"), *sketches).alias("m"))
+    members = sets.select("cls", F.struct(F.size("items").alias("n"), "bands", "sketch", "fine").alias("m"))
     labels = sets.select("cls", F.col("cls").alias("label"))
     near, lead = star_pairs(entries, members, percent)
     labels = connect(between(cut_lineage(confirmed(cut_lineage(near), sets, percent)), labels), labels)
-    whole = sets.select("cls", F.struct(F.size("items").alias("n"), *sketches, "items").alias("m"))
-    labels = join_outsiders(entries, lead, whole, labels, percent)
+    labels = join_outsiders(entries, lead, members, sets, labels, percent)
     named = signed.select("doc_id", "n_shingles", "cls").join(labels, "cls", "left").select(
         "doc_id", "n_shingles", F.coalesce("label", "cls").alias("label")
     )
