@@ -375,6 +375,20 @@ def stream_user_counts(spark, sf):
     return tidy(J.run_to_table(J.user_counts(event_stream(spark, sf)), "update", ["split", "user_id"]))
 
 
+@query(
+    "stream_user_sparsity",
+    f"""WITH {IMP}, u AS (SELECT split, user_id, count(*) AS n, sum(CASE WHEN event_type IN ('click','purchase') THEN 1 ELSE 0 END) AS pos FROM imp JOIN ev USING (row_id, user_id) GROUP BY 1, 2)
+    SELECT split, count(*) AS n_users, sum(n)::BIGINT AS n_rows, round(avg(n), 9) AS rows_per_user, round(avg((n = 1)::INT), 9) AS single_share,
+    round(avg((pos = 0 OR pos = n)::INT), 9) AS one_class_share FROM u GROUP BY 1""",
+)
+def stream_user_sparsity(spark, sf):
+    """What the profile of users stands at after the last micro-batch."""
+    cells = J.user_sparsity(event_stream(spark, sf))
+    columns = [c for c in cells.columns if c not in ("split", "batch_id")]
+    last = cells.groupBy("split").agg(F.max_by(F.struct(*columns), "batch_id").alias("_r"))
+    return tidy(last.select("split", "_r.*"))
+
+
 @query(
     "stream_daily_rate",
     f"""WITH {IMP}, d AS (SELECT date, count(*) AS n, avg(CASE WHEN event_type IN ('click','purchase') THEN 1.0 ELSE 0 END) AS r FROM ev GROUP BY 1)
@@ -392,8 +406,7 @@ def stream_daily_rate(spark, sf):
     SELECT row_id, CAST(coalesce(ys[-1], -1) AS BIGINT) AS last1, coalesce(list_sum(ys[-5:]), 0)::DOUBLE AS lastk_sum, least(coalesce(len(ys), 0), 5)::DOUBLE AS lastk_cnt, coalesce(g, -1) AS gap_ms FROM m""",
 )
 def stream_momentum(spark, sf):
-    out = J.run_to_table(J.momentum(event_stream(spark, sf)), "append")
-    return tidy(out.drop("user_id"))
+    return tidy(J.momentum_table(event_stream(spark, sf)).drop("user_id"))
 
 
 @query("stream_author", f"WITH {IMP} SELECT row_id, author_id FROM imp")

@@ -156,3 +156,51 @@ def test_stream_counts_over_many_batches(spark, tmp_path):
     got = J.run_to_table(J.user_counts(stream), "update", ["split", "user_id"])
     want = log.groupBy("split", "user_id").agg((4 * F.count(F.lit(1))).alias("n"), (4 * F.sum("long_view")).alias("pos"))
     assert rows(got, "split", "user_id", "n", "pos") == rows(want)
+
+
+def momentum_source(spark, path, n=300, per_file=30):
+    log = spark.range(n).select(
+        F.col("id").alias("row_id"), (F.col("id") * 1000).alias("time_ms"), F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 4).alias("user_id"),
+        F.when(F.col("id") % 5 != 0, (F.pmod(F.xxhash64("id"), F.lit(2))).cast("int")).alias("long_view"),
+    )
+    for i in range(n // per_file):
+        log.where((F.col("row_id") >= per_file * i) & (F.col("row_id") < per_file * (i + 1))).coalesce(1).write.mode("append").json(path)
+    return log, lambda: spark.readStream.schema("row_id long, time_ms long, user_id long, long_view int").option("maxFilesPerTrigger", 1).json(path)
+
+
+@pytest.mark.parametrize("limit", ["20", None])
+def test_momentum_table_restarts_and_replays(spark, tmp_path, limit):
+    """The stream stops after half of its input and starts again from its folder; user 0 holds half of all rows."""
+    if limit:
+        spark.conf.set("spark.rankspark.groupRows", limit)
+        spark.conf.set("spark.rankspark.chunkRows", "16")
+    try:
+        src, folder = str(tmp_path / "in"), str(tmp_path / "out")
+        log, stream = momentum_source(spark, src, 120)
+        J.momentum_table(stream(), folder)
+        more, _ = momentum_source(spark, str(tmp_path / "more"), 240, 30)
+        more.where("row_id >= 120").coalesce(1).write.mode("append").json(src)
+        got = J.momentum_table(stream(), folder)
+        batch = X.momentum(more).withColumn("gap_ms", F.coalesce(F.round(F.col("gap_days") * X.MS_PER_DAY).cast("long"), F.lit(-1)))
+        cols = ["row_id", "last1", "lastk_sum", "lastk_cnt", "gap_ms"]
+        assert rows(got, *cols) == rows(batch, *cols)
+        # The last micro-batch is run again, as after a failure before its commit.
+        last = max(int(p.name) for p in (tmp_path / "out" / "checkpoint" / "commits").iterdir() if p.name.isdigit())
+        for p in (tmp_path / "out" / "checkpoint" / "commits").iterdir():
+            if str(last) in p.name:
+                p.unlink()
+        assert rows(J.momentum_table(stream(), folder), *cols) == rows(batch, *cols)
+    finally:
+        spark.conf.unset("spark.rankspark.groupRows")
+        spark.conf.unset("spark.rankspark.chunkRows")
+
+
+def test_user_sparsity_after_each_batch(spark, tmp_path):
+    for i, users in enumerate([[1, 1, 2], [2, 3], [4]]):
+        data = [("train", u, (u + i) % 2) for u in users]
+        spark.createDataFrame(data, "split string, user_id long, long_view int").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    stream = spark.readStream.schema("split string, user_id long, long_view int").option("maxFilesPerTrigger", 1).option("latestFirst", "false").json(str(tmp_path / "in"))
+    got = {r.batch_id: r for r in J.user_sparsity(stream, str(tmp_path / "out")).collect()}
+    assert [(got[b].n_users, got[b].n_rows) for b in (0, 1, 2)] == [(2, 3), (3, 5), (4, 6)]
+    assert [got[b].single_share for b in (0, 1, 2)] == pytest.approx([0.5, 1 / 3, 0.5])
+    assert [got[b].one_class_share for b in (0, 1, 2)] == pytest.approx([1.0, 2 / 3, 0.75])
