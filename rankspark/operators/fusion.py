@@ -167,18 +167,22 @@ def model_agreements(scores: DataFrame, models: list[str], ks: tuple[int, ...] =
 def keep_distinct(similar: DataFrame, models: list[str]) -> DataFrame:
     """Greedy pass over the ordered models: keep one unless it is too similar to a kept one.
 
-    `similar` lists the (left_id, right_id) pairs that are too close; it has at most one row per model pair."""
-    key = F.concat_ws("|", "left_id", "right_id")
-    close = similar.agg(F.collect_set(key).alias("_s"))
-    kept = F.aggregate(
-        F.lit(models),
-        F.array().cast("array<string>"),
-        lambda acc, m: F.when(
-            F.exists(acc, lambda a: F.array_contains(F.col("_s"), F.concat_ws("|", a, m))), acc
-        ).otherwise(F.array_append(acc, m)),
-    )
-    table = close.select(kept.alias("_k")).select(F.explode(F.lit(models)).alias("model_id"), "_k")
-    return table.select("model_id", F.array_contains("_k", F.col("model_id")).alias("kept"))
+    `similar` lists the (left_id, right_id) pairs that are too close, the better model left. In each round a model is dropped once a better neighbour is kept, and kept once
+    all better neighbours are dropped, so no pair table and no list of kept models ever meets in one row. The best undecided model is decided in every round."""
+    spark = similar.sparkSession
+    place = spark.createDataFrame([(m, i) for i, m in enumerate(models)], "model_id string, _i int")
+    a, b = [place.select(F.col("model_id").alias(c), F.col("_i").alias(f"_{c}")) for c in ("left_id", "right_id")]
+    edges = cut_lineage(similar.join(a, "left_id").join(b, "right_id").where("_left_id < _right_id").select("left_id", "right_id").distinct())
+    state = place.select("model_id", F.lit(None).cast("boolean").alias("kept"))
+    while True:
+        better = edges.join(state.select(F.col("model_id").alias("left_id"), F.col("kept").alias("_k")), "left_id").groupBy("right_id").agg(
+            F.bool_or(F.coalesce("_k", F.lit(False))).alias("_lost"), F.bool_and(F.coalesce(~F.col("_k"), F.lit(False))).alias("_free")
+        )
+        seen = state.join(better.withColumnRenamed("right_id", "model_id"), "model_id", "left")
+        decided = F.when(F.coalesce("_lost", F.lit(False)), False).when(F.coalesce("_free", F.lit(True)), True)
+        state = cut_lineage(seen.select("model_id", F.coalesce("kept", decided).alias("kept")))
+        if state.where("kept IS NULL").isEmpty():
+            return state
 
 
 def diversity_filter(scores: DataFrame, models: list[str], limit: float = TOO_SIMILAR) -> DataFrame:
@@ -186,14 +190,25 @@ def diversity_filter(scores: DataFrame, models: list[str], limit: float = TOO_SI
     return keep_distinct(pairs.where((F.col("top1_agree") > limit) & (F.col("top2_agree") > limit)), models)
 
 
+def model_correlations(scores: DataFrame, models: list[str]) -> DataFrame:
+    """Rank correlation of every pair of the listed models; each pack is ranked once and all pairs are one grouped job."""
+    order = F.create_map(*[x for i, m in enumerate(models) for x in (F.lit(m), F.lit(i))])
+    listed = scores.where(F.col("model_id").isin(models)).select("model_id", "row_id", "score")
+    ranked = cut_lineage(positions(listed, ["model_id"], "score", "rk", chunked=True).withColumn("_i", order[F.col("model_id")]))
+    left, right = [
+        ranked.select("row_id", F.col("model_id").alias(f"{c}_id"), F.col("score").alias(f"_s{c}"), F.col("rk").cast("double").alias(f"_r{c}"), F.col("_i").alias(f"_i{c}"))
+        for c in ("left", "right")
+    ]
+    agg = left.join(right, "row_id").where("_ileft < _iright").groupBy("left_id", "right_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.stddev_pop("_sleft").alias("_sa"), F.stddev_pop("_sright").alias("_sb"), F.corr("_rright", "_rleft").alias("_c")
+    )
+    flat = (F.col("_n") < 3) | (F.col("_sa") == 0) | (F.col("_sb") == 0)
+    return agg.select("left_id", "right_id", F.when(flat, 1.0).otherwise(F.col("_c")).alias("spearman"))
+
+
 def spearman_filter(scores: DataFrame, models: list[str], limit: float = TOO_SIMILAR) -> DataFrame:
     """The same filter on rank correlation, for score packs without users."""
-    parts = []
-    for i, m in enumerate(models[:-1]):
-        later = scores.where(F.col("model_id").isin(models[i:]))
-        parts.append(M.spearman(later, m).select(F.lit(m).alias("left_id"), F.col("model_id").alias("right_id"), "spearman"))
-    pairs = reduce(lambda a, b: a.unionByName(b), parts)
-    return keep_distinct(pairs.where(F.col("spearman") > limit), models)
+    return keep_distinct(model_correlations(scores, models).where(F.col("spearman") > limit), models)
 
 
 # ---- comparison and decisions over score packs -------------------------------------

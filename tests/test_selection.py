@@ -105,3 +105,29 @@ def test_jobs_do_not_follow_the_number_of_pairs(spark, packs):
 
     one, many = jobs([("l0", "r0")]), jobs([(a, b) for a in ("l0", "l1", "w0") for b in ("r0", "r1", "w1")])
     assert many <= one + 6  # adaptive stages may count one job more or less
+
+
+def test_greedy_choice_by_rounds(spark):
+    """Rounds over the graph of close pairs give the sequential rule's choice: random graphs, a path, a star, pairs given the wrong way round."""
+    rng = random.Random(9)
+    graphs = [[(i, j) for i in range(14) for j in range(i + 1, 14) if rng.random() < p] for p in (0.1, 0.3, 0.8)]
+    graphs += [[(i, i + 1) for i in range(13)], [(0, i) for i in range(1, 14)], [(i, 13) for i in range(13)], [], [(5, 2), (2, 5), (5, 2)]]
+    models = [f"m{i}" for i in range(14)]
+    for graph in graphs:
+        kept = []
+        close = {(i, j) for i, j in graph if i < j}
+        for j in range(14):
+            if not any((i, j) in close for i in kept):
+                kept.append(j)
+        pairs = spark.createDataFrame([(f"m{i}", f"m{j}") for i, j in graph], "left_id string, right_id string")
+        got = {r.model_id: r.kept for r in B.keep_distinct(pairs, models).collect()}
+        assert got == {f"m{i}": i in kept for i in range(14)}
+
+
+def test_correlations_of_all_pairs(packs):
+    models = ["l0", "r0", "w0", "l1"]
+    got = {(r.left_id, r.right_id): r.spearman for r in B.model_correlations(packs, models).collect()}
+    assert len(got) == 6
+    for i, m in enumerate(models[:-1]):
+        alone = {r.model_id: r.spearman for r in M.spearman(packs.where(B.F.col("model_id").isin(models[i:])), m).collect()}
+        assert all(got[m, x] == pytest.approx(alone[x]) for x in models[i + 1 :])
