@@ -204,12 +204,30 @@ def pairs_map(text) -> Column:
     return _scalar_values(F.map_from_entries(F.filter(keyed, lambda e: e["key"].isNotNull())))
 
 
+LITERAL_DICT = r"\{[^{}]+\}"  # fixed value: what counts as a written dictionary
+
+
 def literal_patch(text) -> Column:
-    """The first flat dictionary written in a text, in the spelling of Python or of JSON; NULL when there is none."""
-    found = F.regexp_extract(_col(text), r"\{[^{}]+\}", 0)
-    for pattern, into in (("'", '"'), (r"\bTrue\b", "true"), (r"\bFalse\b", "false"), (r"\bNone\b", "null")):
-        found = F.regexp_replace(found, pattern, into)
-    return config_map(F.try_parse_json(found))
+    """The first flat dictionary written in a text, in the spelling of JSON or else of Python; NULL when there is none. In Python's spelling strings in single quotes
+    get double ones, with inner double quotes escaped, and words are changed outside of strings only."""
+    found = F.regexp_extract(_col(text), LITERAL_DICT, 0)
+    # Strings keep their place in the text: a piece is a string or what lies between two of them.
+    pieces = F.regexp_extract_all(found, F.lit(r"""("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|[^"']+|["'])"""), F.lit(1))
+
+    def quoted(p: Column) -> Column:
+        inner = F.replace(F.replace(p.substr(F.lit(2), F.length(p) - 2), F.lit("\\'"), F.lit("'")), F.lit('"'), F.lit('\\"'))
+        return F.concat(F.lit('"'), inner, F.lit('"'))
+
+    def plain(p: Column) -> Column:
+        for pattern, into in ((r"\bTrue\b", "true"), (r"\bFalse\b", "false"), (r"\bNone\b", "null")):
+            p = F.regexp_replace(p, pattern, into)
+        return p
+
+    def piece(p: Column) -> Column:
+        return F.when(p.startswith('"'), p).when(p.startswith("'") & (F.length(p) > 1), quoted(p)).otherwise(plain(p))
+
+    python = F.array_join(F.transform(pieces, piece), "")
+    return config_map(F.coalesce(F.try_parse_json(found), F.try_parse_json(python)))
 
 
 def raw_fingerprint(c) -> Column:

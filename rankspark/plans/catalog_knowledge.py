@@ -221,7 +221,10 @@ FIND = f"""{BEST}, {FALS}, mem AS (SELECT b.run_id, unnest(members) AS m, unnest
 fnd AS (SELECT 'incumbent:' || node_id || ':' || printf('%.5f', prim) AS key, CASE WHEN members IS NOT NULL OR confirmed_mean IS NOT NULL THEN 'measured-3seed' ELSE 'measured-1seed' END AS tag,
   run_id, NULL AS fingerprint, NULL AS scale FROM best UNION ALL
   SELECT 'confirmed:' || fp, CASE WHEN members IS NOT NULL OR confirmed_mean IS NOT NULL THEN 'measured-3seed' ELSE 'measured-1seed' END, run_id, fp, NULL FROM ledger WHERE {GOOD} AND confirmed UNION ALL
-  SELECT 'falsified:pure:' || coalesce(CAST(l.parent_id AS VARCHAR), 'root') || ':' || fz.fp, 'measured-1seed', fz.run_id, fz.fp, 'pure' FROM fz JOIN ledger l USING (node_id))"""
+  SELECT 'falsified:pure:' || coalesce(CAST(l.parent_id AS VARCHAR), 'root') || ':' || fz.fp, 'measured-1seed', fz.run_id, fz.fp, 'pure' FROM fz JOIN ledger l USING (node_id) UNION ALL
+  SELECT 'calibration:' || within || '/' || n || ' within, bias=' || printf('%.5f', b) || CASE WHEN b > 0 THEN ' over-optimistic' ELSE ' under-optimistic' END, 'diagnosis', run_id, NULL, NULL
+  FROM (SELECT run_id, count(*) AS n, count(*) FILTER (ci95_lo <= expected_delta AND expected_delta <= ci95_hi) AS within, avg(expected_delta - delta_primary) AS b
+    FROM ledger WHERE expected_delta IS NOT NULL AND delta_primary IS NOT NULL GROUP BY 1))"""
 
 
 @query(
@@ -229,8 +232,7 @@ fnd AS (SELECT 'incumbent:' || node_id || ':' || printf('%.5f', prim) AS key, CA
     f"WITH {LEDGER}, {FIND} SELECT key, tag, run_id, fingerprint, scale FROM fnd",
 )
 def findings(spark, sf):
-    out = N.findings(ledger(spark, sf)).where(F.col("tag") != "diagnosis")
-    return out.select("key", "tag", "run_id", "fingerprint", "scale")
+    return N.findings(ledger(spark, sf)).select("key", "tag", "run_id", "fingerprint", "scale")
 
 
 @query(
@@ -239,7 +241,7 @@ def findings(spark, sf):
 )
 def merge_findings(spark, sf):
     """Merging the findings with themselves in run order keeps the first record of every key."""
-    out = N.findings(ledger(spark, sf)).where(F.col("tag") != "diagnosis").withColumn("pos", F.col("run_id"))
+    out = N.findings(ledger(spark, sf)).withColumn("pos", F.col("run_id"))
     merged = N.merge_findings(out, out)
     return merged.select("key", "run_id")
 

@@ -62,6 +62,21 @@ def mask_labels_granted(spark, sf):
     return out.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.count("long_view").alias("n_labels"))
 
 
+@query(
+    "audit_grants",
+    """SELECT 'test_access' AS kind, c_name AS grant_id, CASE WHEN c_custkey % 2 = 0 THEN 'finalize' ELSE 'report' END AS reason,
+    CAST(CAST(DATE '2024-01-01' + CAST(c_custkey % 28 AS INTEGER) AS DATE) AS VARCHAR) AS issued_at FROM customer WHERE c_custkey % 3 <> 0""",
+)
+def audit_grants(spark, sf):
+    """A grant per customer; every third has an empty id and opens nothing."""
+    name = F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")).otherwise(F.when(F.col("c_custkey") % 2 == 0, "  "))
+    grants = table(spark, sf, "customer").select(
+        name.alias("grant_id"), F.when(F.col("c_custkey") % 2 == 0, "finalize").otherwise("report").alias("reason"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("c_custkey") % 28).cast("int")).cast("string").alias("issued_at"),
+    )
+    return S.audit_grants(grants)
+
+
 @query(
     "tail_stop_split",
     f"""WITH {IMP} SELECT row_id, CASE WHEN split = 'train' AND date >= 20240112 THEN 'stop' ELSE split END AS split FROM imp""",

@@ -131,3 +131,15 @@ def test_correlations_of_all_pairs(packs):
     for i, m in enumerate(models[:-1]):
         alone = {r.model_id: r.spearman for r in M.spearman(packs.where(B.F.col("model_id").isin(models[i:])), m).collect()}
         assert all(got[m, x] == pytest.approx(alone[x]) for x in models[i + 1 :])
+
+
+def test_written_dictionaries(spark):
+    from rankspark.functions import scalars as E
+
+    cases = {
+        "x {'k': 16, 'loss': 'bpr'} y": {"k": "16", "loss": '"bpr"'}, '{"note": "it\'s True", "k": 8}': {"note": '"it\'s True"', "k": "8"},
+        "{'note': 'None left', 'a': True}": {"note": '"None left"', "a": "true"}, "{'it\\'s': 1}": {"it's": "1"}, "{'a': False} {'c': 2}": {"a": "false"},
+        "none": None, "{'k': 1": None, "{bad}": None,
+    }
+    table = spark.createDataFrame([(t,) for t in cases], "t string")
+    assert {r.t: r.p for r in table.select("t", E.literal_patch("t").alias("p")).collect()} == cases
