@@ -7,7 +7,7 @@ which two parity bitmaps differ, and pairs it does not rule out are confirmed on
 Equal sets are one class from the start. A bucket is never expanded into all its pairs. First every member meets the bucket's
 smallest member, which joins what lies around it into components. Then only members outside the bucket's largest component are left
 to be compared: as a query set, in blocks of a few dozen, each meets the bucket's members of other components, and what their sketches let through is
-compared on the full sets where they meet. A member takes one of the components a block links it to, at most one row leaves per member and block, the
+compared on the full sets where they meet. A member takes at most four of the components a block links it to, the
 components are joined, and only members that had to leave links behind meet the same blocks again.
 """
 
@@ -31,6 +31,7 @@ SAMPLES, SKETCH_BITS = BANDS * ROWS, 1024  # of the sketch made from the band sa
 FINE_SAMPLES, FINE_BITS = 768, 3072  # of the sketch made for documents that share a band with another
 SIGMAS = 4.5
 BLOCK = 32  # members of a bucket compared together
+LINKS = 4  # components a member may be joined to by one block in one round
 _SEED = np.arange(1, 2 * FINE_SAMPLES + 1, dtype=np.uint64)
 _A = mix(_SEED[:FINE_SAMPLES] * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _B = mix(_SEED[FINE_SAMPLES:] * np.uint64(0xD1342543DE82EF95))
@@ -213,7 +214,7 @@ def block_hits(live: DataFrame, percent: int, again: DataFrame | None = None) ->
 
 
 def block_links(live: DataFrame, hits: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) components linked on full sets, one for each member and block that links it to any, with more saying that the block links the member to
+    """(a, b) components linked on full sets, at most LINKS for each member and block, with more saying that the block links the member to
     further components. Only the sets of members with hits and of the blocks that hold them are moved."""
     items = sets.select("cls", "items")
     asked = asking(live, hits).join(items, "cls").groupBy("key", "block").agg(F.collect_list(F.struct("cls", "label", "items")).alias("asked"))
@@ -221,8 +222,9 @@ def block_links(live: DataFrame, hits: DataFrame, sets: DataFrame, percent: int)
     linked = F.filter("asked", lambda q: F.array_contains("hit", q["cls"]) & shares_enough(q["items"], F.col("items"), percent))
     found = met.select("key", "block", "cls", "label", F.array_distinct(F.transform(linked, lambda q: q["label"])).alias("to")).where(F.size("to") > 0)
     # Members choose by hash, so that those of one component together take nearly all of the links.
-    chosen = F.array_min(F.transform("to", lambda x: F.struct(F.xxhash64(x, "cls").alias("h"), x.alias("x"))))["x"]
-    return found.select("key", "block", "cls", F.col("label").alias("a"), chosen.alias("b"), (F.size("to") > 1).alias("more"))
+    ranked = F.array_sort(F.transform("to", lambda x: F.struct(F.xxhash64(x, "cls").alias("h"), x.alias("x"))))
+    chosen = F.explode(F.transform(F.slice(ranked, 1, LINKS), lambda e: e["x"]))
+    return found.select("key", "block", "cls", F.col("label").alias("a"), chosen.alias("b"), (F.size("to") > LINKS).alias("more"))
 
 
 def join_outsiders(entries: DataFrame, lead: DataFrame, members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -230,8 +232,10 @@ def join_outsiders(entries: DataFrame, lead: DataFrame, members: DataFrame, sets
     live, again = cut_lineage(mixed_buckets(entries, lead, members, labels)), None
     while True:
         links = cut_lineage(block_links(live, cut_lineage(block_hits(live, percent, again)), sets, percent))
+        if links.isEmpty():
+            return labels
         labels = connect(links, labels)
-        again = links.where("more")
+        again = links.where("more").select("key", "block", "cls").distinct()
         if again.isEmpty():
             return labels
         left = live.join(again.select("key").distinct(), "key", "left_semi").drop("label")
@@ -262,12 +266,10 @@ def connect(ends: DataFrame, labels: DataFrame) -> DataFrame:
     nodes = cut_lineage(links.select("a", F.col("a").alias("root")).distinct())
     while True:
         near = links.join(nodes.select(F.col("a").alias("b"), F.col("root").alias("r")), "b").groupBy("a").agg(F.min("r").alias("r"))
-        hooked = nodes.join(near, "a").select("a", F.least("root", "r").alias("root"))
+        hooked = cut_lineage(nodes.join(near, "a").select("a", F.col("root").alias("old"), F.least("root", "r").alias("root")))
         jump = hooked.select(F.col("a").alias("root"), F.col("root").alias("top"))
-        after = cut_lineage(hooked.join(jump, "root").select("a", F.col("top").alias("root")))
-        changed = after.join(nodes.withColumnRenamed("root", "old"), "a").where("root <> old")
-        nodes, over = after, changed.isEmpty()
-        if over:
+        nodes = cut_lineage(hooked.join(jump, "root").select("a", F.col("top").alias("root"), (F.col("top") != F.col("old")).alias("moved")))
+        if nodes.where("moved").isEmpty():
             break
     return cut_lineage(labels.join(nodes.select(F.col("a").alias("label"), "root"), "label", "left").select(
         "cls", F.coalesce("root", "label").alias("label")
