@@ -148,11 +148,16 @@ def split_rows(spark: SparkSession, folder: str, split: str, scale: str | None =
     return with_row_id(rows.select("date", "user_id", "video_id", *POSITION, "_m"))
 
 
-def write_impressions(df: DataFrame, path: str) -> None:
+FILE_ROWS = 1 << 21  # rows of a date that one task writes
+
+
+def write_impressions(df: DataFrame, path: str, file_rows: int = FILE_ROWS) -> None:
     """The Parquet store: partitioned by split and date, so that split and date filters prune files. Rows meet by date and a
-    salt first, so that a date has a few files instead of one per task, and a busy date is not one task."""
-    salted = df.repartition("split", "date", F.pmod(F.xxhash64("user_id", "video_id"), F.lit(8)))
-    salted.write.mode("overwrite").partitionBy("split", "date").parquet(path)
+    salt first, of which a date has as many values as its rows fill files, so that a quiet date has one file and a busy date many tasks."""
+    files = df.groupBy("split", "date").agg(F.ceil(F.count(F.lit(1)) / F.lit(file_rows)).cast("int").alias("_files"))
+    sized = df.join(F.broadcast(files), ["split", "date"])  # one row per split and day
+    salted = sized.withColumn("_salt", F.pmod(F.xxhash64("row_id"), F.col("_files"))).repartition("split", "date", "_salt")
+    salted.select(*df.columns).write.mode("overwrite").partitionBy("split", "date").parquet(path)
 
 
 def open_impressions(spark: SparkSession, path: str, splits: list[str] | None = None) -> DataFrame:

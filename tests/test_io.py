@@ -204,3 +204,17 @@ def test_user_sparsity_after_each_batch(spark, tmp_path):
     assert [(got[b].n_users, got[b].n_rows) for b in (0, 1, 2)] == [(2, 3), (3, 5), (4, 6)]
     assert [got[b].single_share for b in (0, 1, 2)] == pytest.approx([0.5, 1 / 3, 0.5])
     assert [got[b].one_class_share for b in (0, 1, 2)] == pytest.approx([1.0, 2 / 3, 0.75])
+
+
+def test_store_files_follow_the_rows_of_a_date(spark, tmp_path):
+    log = spark.range(1000).selectExpr(
+        "id AS row_id", "'train' AS split", "IF(id < 900, 20240101, 20240102) AS date", "1L AS user_id", "2 AS video_id"
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which would join these few rows again
+    try:
+        I.write_impressions(log, str(tmp_path / "s"), file_rows=100)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = {d: len(list((tmp_path / "s" / "split=train" / f"date={d}").glob("*.parquet"))) for d in (20240101, 20240102)}
+    assert files[20240102] == 1 and 3 <= files[20240101] <= 9
+    assert rows(I.open_impressions(spark, str(tmp_path / "s"), ["train"]), "row_id", "date") == rows(log, "row_id", "date")
