@@ -104,18 +104,19 @@ def causal_rates(train: DataFrame, chunked: bool | None = None) -> DataFrame:
 # ---- recency -----------------------------------------------------------------------
 
 
-# A block of days is DECAY_BITS half-lives long, and what is older than RANGE_BITS halvings is zero in a double.
-DECAY_BITS, RANGE_BITS = 12, 1100
+# A block of days is DECAY_BITS half-lives long. Blocks lie in eras of ERA_BITS half-lives: weights relative to an era's first day still fit a double, and
+# what is older than two eras is zero in one.
+DECAY_BITS, ERA_BITS = 12, 960
 
 
 def daily_decay(sdf: DataFrame, keys: list[str], halflife: float, pos_only: bool = False) -> DataFrame:
     """Decayed positives and totals of earlier days, one row per key and day that occurs.
 
-    Rows shrink to day totals first; a day never sees itself. Days lie in blocks of 12 half-lives. A day weighs the days of its own block and of the one before
-    singly. Older blocks count as one sum each, with weights relative to the block's first day, so long histories neither overflow nor vanish, and only
-    the 92 or so blocks that can still reach a double are read. A day's work is bounded, whatever the length of the history."""
+    Rows shrink to day totals first; a day never sees itself. A day weighs the days of its own block of 12 half-lives and of the one before singly, as far as they
+    are in its era. Older ones count by running sums, with weights relative to the first day of their era, so long histories neither overflow nor vanish and
+    no sum is taken twice. A day's work is bounded, whatever the length of the history."""
     step = max(1, int(DECAY_BITS * halflife))
-    reach = int(RANGE_BITS * halflife / step) + 1
+    era = max(1, int(ERA_BITS * halflife / step))
     fields = ["_p"] if pos_only else ["_p", "_t"]
     daily = (
         sdf.groupBy(*keys, "date")
@@ -125,23 +126,30 @@ def daily_decay(sdf: DataFrame, keys: list[str], halflife: float, pos_only: bool
         )
         .withColumn("_d", day_ordinal("date"))
         .withColumn("_b", F.floor(F.col("_d") / step).cast("long"))
+        .withColumn("_e", F.floor(F.col("_b") / era).cast("long"))
     )
 
     def weight(days: Column) -> Column:
         return F.pow(F.lit(0.5 ** (1.0 / halflife)), days.cast("double"))
 
-    start = F.col("_b") * step
-    block = Window.partitionBy(*keys, "_b")
-    sums = [F.sum(F.col(f) / weight(F.col("_d") - start)).over(block).alias(f) for f in fields]
-    out = daily.select("*", F.struct("_b", *sums).alias("_sum"), (F.min("_d").over(block) == F.col("_d")).alias("_first"))
-    near = Window.partitionBy(*keys).orderBy("_d").rangeBetween(1 - 2 * step, -1)
-    far = Window.partitionBy(*keys).orderBy("_b").rangeBetween(-reach, -2)
-    out = out.withColumns({"_near": F.collect_list(F.struct("_d", "_b", *fields)).over(near), "_far": F.collect_list(F.when(F.col("_first"), F.col("_sum"))).over(far)})
+    since = F.col("_d") - F.col("_e") * (era * step)
+    scaled = daily.withColumns({f"{f}w": F.col(f) / weight(since) for f in fields})
+    eras = Window.partitionBy(*keys).orderBy("_e")
+    own = Window.partitionBy(*keys, "_e").orderBy("_b").rangeBetween(Window.unboundedPreceding, -2)
+    near = Window.partitionBy(*keys, "_e").orderBy("_d").rangeBetween(1 - 2 * step, -1)
+
+    def total(field: str, over) -> Column:
+        return F.coalesce(F.sum(f"{field}w").over(over), F.lit(0.0))
+
+    out = scaled.withColumns({f"{f}{i}": total(f, eras.rangeBetween(-i, -i)) for f in fields for i in (1, 2)})
+    out = out.withColumns({f"{f}0": total(f, own) for f in fields})
+    out = out.withColumn("_near", F.collect_list(F.struct("_d", "_b", *fields)).over(near))
+    whole = weight(F.lit(era * step))
 
     def decayed(field: str) -> Column:
-        since = F.aggregate("_far", F.lit(0.0), lambda acc, e: acc + e[field] * weight(F.col("_d") - e["_b"] * step))
+        far = (F.col(f"{field}0") + (F.col(f"{field}1") + F.col(f"{field}2") * whole) * whole) * weight(since)
         return F.aggregate(
-            F.filter("_near", lambda e: e["_b"] >= F.col("_b") - 1), since, lambda acc, e: acc + e[field] * weight(F.col("_d") - e["_d"])
+            F.filter("_near", lambda e: e["_b"] >= F.col("_b") - 1), far, lambda acc, e: acc + e[field] * weight(F.col("_d") - e["_d"])
         )
 
     cols = [*keys, "date", decayed("_p").alias("decay_pos")]

@@ -313,3 +313,23 @@ def test_statistics_of_a_large_group(scores, small_groups):
         scores.sparkSession.conf.set("spark.rankspark.groupRows", "100000")
         assert rows(fn(scores, "score", "z", ["model_id"]), "model_id", "row_id", "z") == got
         scores.sparkSession.conf.set("spark.rankspark.groupRows", "20")
+
+
+def test_decay_takes_old_days_from_running_sums(spark):
+    """Only the days of two blocks are listed for a day; the rest, over the borders of eras, comes from sums that are carried on."""
+    from datetime import date, timedelta
+
+    from rankspark.operators import features as X
+
+    start = date(1996, 4, 13) - timedelta(days=2450)  # days 7150 to 12100, over the eras that start with days 7200, 9600 and 12000
+    days = [start + timedelta(days=k) for k in range(0, 4950, 7)]
+    sdf = spark.createDataFrame([(1, int(d.strftime("%Y%m%d")), k % 2) for k, d in enumerate(days)], "user_id long, date int, long_view int")
+    out = X.daily_decay(sdf, ["user_id"], 2.5)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("collect_list(") == 1
+    got = {r.date: (r.decay_pos, r.decay_tot) for r in out.collect()}
+    rate = 0.5 ** (1.0 / 2.5)
+    for i, d in enumerate(days):
+        ages = [(j, (d - days[j]).days) for j in range(i)]
+        pos, tot = sum(rate**a for j, a in ages if j % 2), sum(rate**a for _, a in ages)
+        found = got[int(d.strftime("%Y%m%d"))]
+        assert abs(found[0] - pos) < 1e-14 and abs(found[1] - tot) < 1e-14
