@@ -123,13 +123,39 @@ def bucket_ids(df: DataFrame, vocab: DataFrame, cols: list[str]) -> DataFrame:
     return out.drop(*[f"{c}_vocab" for c in cols])
 
 
-def bucket_fields(df: DataFrame, cols: list[str], bins: int | dict[str, int]) -> DataFrame:
-    """Edges and vocabularies fitted on train, applied to every split."""
+def bucket_fields(df: DataFrame, cols: list[str], bins: int | dict[str, int] = RATE_BINS) -> DataFrame:
+    """Edges and vocabularies fitted on train, applied to every split.
+
+    Edges, the id of every bucket and the field sizes are one written row. The columns of a row are placed together, as arrays, so that the code of the pass over
+    all rows stays small enough to be compiled, however many columns there are."""
     table = cut_lineage(df)
-    is_train = F.col("split") == "train"
-    edges = fit_edges(table.where(is_train), cols, bins)
-    placed = bucketize(table, edges, cols)
-    return bucket_ids(placed, bucket_vocab(placed.where(is_train), cols), cols)
+    train = table.where(F.col("split") == "train")
+    edges = cut_lineage(fit_edges(train, cols, bins))
+    values = F.array(*[F.col(c).cast("double") for c in cols])
+    every = edges.select(F.array(*[f"{c}_edges" for c in cols]).alias("_edges"))  # one row of at most a few dozen numbers a column
+    seen = train.crossJoin(F.broadcast(every)).select(F.zip_with(values, "_edges", bucket_of).alias("_at"))
+    vocab = bucket_vocab(seen.select(*[F.get("_at", F.lit(i)).alias(f"{c}_bucket") for i, c in enumerate(cols)]), cols)
+
+    def codes(c: str) -> Column:
+        known = F.col(f"{c}_vocab")
+
+        def code(bucket: Column) -> Column:
+            at = F.array_position(known, bucket.cast("string")).cast("int")
+            return F.when(at > 0, at - 1).otherwise(F.size(known))
+
+        return F.transform(F.sequence(F.lit(0), F.size(f"{c}_edges")), code)
+
+    key = cut_lineage(
+        edges.crossJoin(vocab).select(
+            F.array(*[f"{c}_edges" for c in cols]).alias("_edges"),
+            F.array(*[codes(c) for c in cols]).alias("_codes"),
+            F.array(*[F.size(f"{c}_vocab") + 1 for c in cols]).alias("_sizes"),
+        )
+    )
+    ids = F.zip_with(F.zip_with(values, "_edges", bucket_of), "_codes", lambda bucket, code: F.get(code, bucket))
+    out = table.crossJoin(F.broadcast(key)).withColumn("_ids", ids)  # one row
+    named = {f"{c}_{n}": F.get(f"_{n}s", F.lit(i)) for i, c in enumerate(cols) for n in ("id", "size")}
+    return out.withColumns(named).drop("_edges", "_codes", "_sizes", "_ids")
 
 
 # ---- field groups ------------------------------------------------------------------
@@ -280,10 +306,10 @@ def encode_all(
         pairs.append(("last1_id", "last1_size"))
     if need_aux:
         extra += ["is_click", "play_time_ms", "duration_ms"]
-    ids, start = [], F.lit(0)
-    for fid, size in pairs:
-        ids.append((F.col(fid) + start).cast("int"))
-        start = start + F.col(size)
-    return out.select(
-        "row_id", "split", "user_id", "long_view", F.array(*ids).alias("fields"), start.cast("int").alias("dim"), *extra
-    )
+    # Starts are carried along one array instead of being written out per field.
+    ids, sizes = F.array(*[F.col(i).cast("int") for i, _ in pairs]), F.array(*[F.col(n).cast("int") for _, n in pairs])
+    state = F.struct(F.array().cast("array<int>").alias("f"), F.lit(0).alias("s"))
+    step = lambda acc, size: F.struct(F.array_append(acc["f"], F.get(out_ids, F.size(acc["f"])) + acc["s"]).alias("f"), (acc["s"] + size).alias("s"))
+    out_ids = F.col("_ids")
+    out = out.withColumns({"_ids": ids, "_sizes": sizes}).withColumn("_all", F.aggregate("_sizes", state, step))
+    return out.select("row_id", "split", "user_id", "long_view", F.col("_all.f").alias("fields"), F.col("_all.s").alias("dim"), *extra)

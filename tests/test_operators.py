@@ -365,3 +365,21 @@ def test_sample_users_takes_whole_users(spark):
     df = impressions(spark, [(1, f"u{i % 10}", "a", 1, "train") for i in range(50)])
     got = S.sample_users(df, 0.3, 1)
     assert got.select("user_id").distinct().count() == 3 and got.count() == 15
+
+
+def test_bucket_names_are_looked_up_once_per_bucket(spark):
+    """Rows take ids by bucket number. Values outside train, missing values and NaN keep their buckets; unseen buckets the last id."""
+    from rankspark.operators import encoding
+
+    data = [(i, "train" if i < 30 else "test", float(i % 9), float(i * i % 7)) for i in range(40)]
+    data += [(90, "test", None, float("nan")), (91, "test", -5.0, 1e9)]
+    df = spark.createDataFrame(data, "row_id long, split string, a double, b double")
+    cols, bins = ["a", "b"], {"a": 4, "b": 3}
+    out = encoding.bucket_fields(df, cols, bins)
+    assert "array_position(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    train = df.where("split = 'train'")
+    edges = encoding.fit_edges(train, cols, bins)
+    placed = encoding.bucketize(df, edges, cols)
+    plain = encoding.bucket_ids(placed, encoding.bucket_vocab(placed.where("split = 'train'"), cols), cols)
+    names = ["row_id", "a_id", "a_size", "b_id", "b_size"]
+    assert rows(out, *names) == rows(plain, *names)
