@@ -335,20 +335,28 @@ def _seed_rows(ledger: DataFrame) -> DataFrame:
     return with_identity(ledger.where(~F.col("stage").isin(NON_SEED_STAGES) & usable_seed()))
 
 
-def near_top(ledger: DataFrame, eps: float = NEAR_TOP_EPS) -> DataFrame:
-    """Identities with at least two seed trials whose mean is within eps of the best, where two or more are."""
-    groups = (
+def _trial_groups(ledger: DataFrame) -> DataFrame:
+    """Identities with at least two seed trials."""
+    return (
         _seed_rows(ledger)
         .groupBy(RUN, "fp")
         .agg(F.count(F.lit(1)).alias("n_trials"), F.avg("primary").alias("mean"), F.min("seq").alias("first_seq"))
         .where(F.col("n_trials") >= 2)
     )
+
+
+def _near_best(groups: DataFrame, eps: float) -> DataFrame:
     best = groups.groupBy(RUN).agg(F.max("mean").alias("_b"))
     near = groups.join(best, RUN).where(F.col("mean") >= F.col("_b") - eps).drop("_b")
     sizes = near.groupBy(RUN).agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") >= 2).drop("_k")
     return near.join(sizes, RUN)
 
 
+def near_top(ledger: DataFrame, eps: float = NEAR_TOP_EPS) -> DataFrame:
+    """Identities with at least two seed trials whose mean is within eps of the best, where two or more are."""
+    return _near_best(_trial_groups(ledger), eps)
+
+
 def seed_map(ledger: DataFrame) -> DataFrame:
     """First usable node per identity and seed."""
     first = F.min_by(F.struct("node_id", "primary", "stage", "ci95_hi", "seq"), "seq")
@@ -388,10 +396,20 @@ def unbagged_groups(ledger: DataFrame, eps: float = NEAR_TOP_EPS) -> DataFrame:
 
 
 def complementary_set(ledger: DataFrame, eps: float = NEAR_TOP_EPS, delta: float = COMPLEMENT_DELTA) -> DataFrame:
-    """Near-top identities; the wider window only for runs without a near-top pair."""
-    near = near_top(ledger, eps).select(RUN, "fp")
-    wide = near_top(ledger, delta).select(RUN, "fp").join(near.select(RUN).distinct(), RUN, "left_anti")
-    return near.unionByName(wide)
+    """Near-top identities; the wider window only for runs without a near-top pair.
+
+    The groups are written once. Both windows are read off in one pass over a run, unless a run has too many identities for one task."""
+    groups = cut_lineage(_trial_groups(ledger).where(F.col(RUN).isNotNull()).select(RUN, "fp", "mean"))
+    if has_large_group(groups, [RUN]):
+        near = _near_best(groups, eps).select(RUN, "fp")
+        wide = _near_best(groups, delta).select(RUN, "fp").join(near.select(RUN).distinct(), RUN, "left_anti")
+        return near.unionByName(wide)
+    run = Window.partitionBy(RUN)
+    best = F.max("mean").over(run)
+    marked = groups.withColumns({"_near": F.col("mean") >= best - eps, "_wide": F.col("mean") >= best - delta})
+    counted = marked.withColumns({f"{c}_n": F.sum(F.col(c).cast("long")).over(run) for c in ("_near", "_wide")})
+    close = F.col("_near_n") >= 2
+    return counted.where((close & F.col("_near")) | (~close & (F.col("_wide_n") >= 2) & F.col("_wide"))).select(RUN, "fp")
 
 
 def complementary_stale(ledger: DataFrame, eps: float = NEAR_TOP_EPS, delta: float = COMPLEMENT_DELTA) -> DataFrame:
