@@ -392,10 +392,10 @@ def offpolicy_metrics(spark, sf):
 
 
 def _model_rows(spark, sf):
-    imp = impressions(spark, sf)
-    rated = E.rate_columns(imp).select("row_id", "user_rate", "video_rate")
-    # Fitting passes over the rows many times, so they are written once.
-    return cut_lineage(E.base_fields(imp.where(F.col("split") != "test")).join(rated, "row_id"))
+    # Rates, vocabularies and fitting pass over the rows many times, so impressions, rated rows and encoded rows are each written once.
+    kept = impressions(spark, sf).where(F.col("split") != "test")
+    imp = cut_lineage(kept.select("row_id", "date", "user_id", "video_id", "author_id", "tab", "duration_ms", "play_time_ms", "long_view", "split"))
+    return cut_lineage(E.base_fields(cut_lineage(E.rate_columns(imp))))
 
 
 FACTS = f"""WITH {IMP}, v AS (SELECT * FROM imp WHERE split = 'valid')
@@ -474,7 +474,7 @@ def fm_ranker(spark, sf):
 def gbt_ranker(spark, sf):
     rows = _model_rows(spark, sf)
     columns = ["video_fid", "author_fid", "tab_fid", "dur_fid", "user_rate", "video_rate"]
-    train = R.play_weights(S.drop_singletons(rows.where(F.col("split") == "train")))
+    train = cut_lineage(R.play_weights(S.drop_singletons(rows.where(F.col("split") == "train"))))
     model = L.fit_gbt(train, columns, "weight", rounds=5, depth=3)
     own = model.transform(train).select(F.col("long_view").alias("label"), "weight", vector_to_array("probability")[1].alias("score"))
     return _facts(own, L.predict(model, rows.where(F.col("split") == "valid")))
