@@ -58,7 +58,10 @@ def pair_differences(pairs: DataFrame, rows: DataFrame, columns: list[str]) -> D
 
 def fit_pairwise(pairs: DataFrame, rows: DataFrame, columns: list[str], epochs: int = 50, l2: float = 0.0):
     """Linear pairwise ranker: logistic regression without intercept on pair differences."""
-    data = pair_differences(pairs, rows, columns).select("label", array_to_vector("diff").alias("features"))
+    return fit_differences(pair_differences(pairs, rows, columns).select("label", array_to_vector("diff").alias("features")), epochs, l2)
+
+
+def fit_differences(data: DataFrame, epochs: int = 50, l2: float = 0.0):
     return LogisticRegression(fitIntercept=False, maxIter=epochs, regParam=l2, standardization=False).fit(data)
 
 

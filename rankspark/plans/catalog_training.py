@@ -487,7 +487,8 @@ def pairwise_ranker(spark, sf):
     columns = ["user_rate", "video_rate"]
     train = rows.where(F.col("split") == "train")
     pairs = R.bpr_pairs(train.select("user_id", "row_id", F.col("long_view").alias("label")))
-    model = L.fit_pairwise(pairs, train, columns, epochs=20)
+    # Both the fit and its loss read the differences.
+    differences = cut_lineage(L.pair_differences(pairs, train, columns)).select("label", array_to_vector("diff").alias("features"))
+    model = L.fit_differences(differences, epochs=20)
     probability = vector_to_array("probability")[1].alias("score")
-    differences = L.pair_differences(pairs, train, columns).select("label", array_to_vector("diff").alias("features"))
     return _facts(model.transform(differences).select("label", probability), L.pairwise_scores(model, rows.where(F.col("split") == "valid"), columns))
