@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,13 +71,15 @@ def rank_average(scores: DataFrame, models: list[str] | None = None, groups: Dat
         picked = picked.join(F.broadcast(groups.select("model_id").distinct()), "model_id", "left_semi")  # one row per compared model
     if chunked is None:
         chunked = has_large_group(picked, ["model_id", "user_id"])
-    ranked = positions(picked, ["model_id", "user_id"], "score", "_p", descending=True, chunked=chunked)
+    # Ranks and means of a user's rows are taken in one place; a user too large for one task is not gathered.
+    placed = picked if chunked else picked.repartition("user_id")
+    ranked = positions(placed, ["model_id", "user_id"], "score", "_p", descending=True, chunked=chunked)
     named = ranked.withColumn("_g", F.lit("fused")) if groups is None else ranked.join(
         F.broadcast(groups.select("model_id", F.col("identity").alias("_g"))), "model_id"
     )
     return (
-        named.groupBy("_g", "row_id")
-        .agg(*[F.first(c).alias(c) for c in ("user_id", "label", "date")], (-F.avg("_p")).alias("score"))
+        named.groupBy("_g", "user_id", "row_id")
+        .agg(*[F.first(c).alias(c) for c in ("label", "date")], (-F.avg("_p")).alias("score"))
         .select(F.col("_g").alias("model_id"), "row_id", "user_id", "label", "score", "date")
     )
 
@@ -84,8 +91,13 @@ def pair_scores(scores: DataFrame, a: str, b: str) -> DataFrame:
     return left.join(right, "row_id")
 
 
+def blend_score() -> Callable:
+    """Score of (z1, z2, point) for columns or arrays, made anew so that it travels to workers by value."""
+    return lambda z1, z2, point: (1.0 - point["alpha"]) * z1 + point["alpha"] * z2 + point["gamma"] * z1 * z2
+
+
 def blend(z1: Column, z2: Column, alpha: Column, gamma: Column) -> Column:
-    return (F.lit(1.0) - alpha) * z1 + alpha * z2 + gamma * z1 * z2
+    return blend_score()(z1, z2, {"alpha": alpha, "gamma": gamma})
 
 
 def apply_blend(pairs: DataFrame, alpha: float, gamma: float) -> DataFrame:
@@ -94,27 +106,112 @@ def apply_blend(pairs: DataFrame, alpha: float, gamma: float) -> DataFrame:
     return z.select("row_id", "user_id", "label", "date", score.alias("score"))
 
 
-def grid_metrics(rows: DataFrame, grid: DataFrame, score: Column, chunked: bool | None = None, by: list[str] = []) -> DataFrame:
-    """Ranking metrics of one score expression at every grid point (`grid_idx` plus its parameters), apart for each key in by. Rows are
-    placed by user first, so the expanded grid is sorted where it lies instead of being shuffled."""
+def _grid_sums(points: list[dict], score: Callable, by: list[str], k: int = 5) -> Callable:
+    """Arrow batches of rows ordered by (*by, user_id, row_id) to sums over users, one row per key in by and grid point. Whole users are ranked together; only the
+    rows of the last one wait for the next batch."""
+
+    def changes(table: pa.Table, names: list[str]) -> np.ndarray:
+        new = np.zeros(table.num_rows, dtype=bool)
+        for c in names:
+            codes = pc.dictionary_encode(table[c].combine_chunks(), null_encoding="encode").indices.to_numpy()
+            new[1:] |= codes[1:] != codes[:-1]
+        return new
+
+    def order_class(column: pa.ChunkedArray) -> np.ndarray:
+        """NaN before numbers before missing values, as Spark orders them downwards."""
+        missing = pc.is_null(column).to_numpy()
+        return np.where(missing, 2, np.where(np.isnan(column.to_numpy()), 0, 1))
+
+    def sums(table: pa.Table) -> pa.RecordBatch:
+        n = table.num_rows
+        first = changes(table, [*by, "user_id"])
+        first[0] = True
+        user, starts = np.cumsum(first) - 1, np.flatnonzero(first)
+        size = np.diff(np.append(starts, n))
+        key_first = changes(table, by)
+        key_first[0] = True
+        key_rows = np.flatnonzero(key_first)
+        key = (np.cumsum(key_first) - 1)[starts]
+        gain = pc.fill_null(table["label"].cast(pa.float64()), 0.0).to_numpy()
+        pos = np.bincount(user, weights=gain)
+        mixed = (pos > 0) & (pos < size)
+        ideal = np.array([0.0, *np.cumsum([1.0 / math.log2(i + 2) for i in range(k)])])[np.minimum(pos, k).astype(int)]
+        place = np.arange(n) - starts[user]
+        discount = np.where(place < k, 1.0 / np.log2(place + 2.0), 0.0)
+        z1, z2 = table["_z1"].to_numpy(), table["_z2"].to_numpy()
+        odd = np.maximum(order_class(table["_z1"]) == 2, order_class(table["_z2"]) == 2)
+        found = []
+        for point in points:
+            value = score(z1, z2, point)
+            kind = np.where(odd, 2, np.where(np.isnan(value), 0, 1))
+            down = np.where(kind == 1, -value, 0.0)
+            order = np.lexsort((down, kind, user))
+            down, kind, got = down[order], kind[order], gain[order]
+            tie = first.copy()
+            tie[1:] |= (down[1:] != down[:-1]) | (kind[1:] != kind[:-1])
+            runs = np.flatnonzero(tie)
+            mid = (place[runs] + 1 + (np.diff(np.append(runs, n)) - 1) / 2.0)[np.cumsum(tie) - 1]
+            wins = (size + 1) * pos - np.bincount(user, weights=mid * got) - pos * (pos + 1) / 2.0
+            auc = np.divide(wins, pos * (size - pos), out=np.zeros(len(size)), where=mixed)
+            dcg = np.bincount(user, weights=got * discount)
+            ndcg = np.divide(dcg, ideal, out=np.zeros(len(size)), where=pos > 0)
+            cells = [np.where(mixed, auc * pos, 0.0), np.where(mixed, pos, 0.0), ndcg]
+            found.append([np.bincount(key, weights=c, minlength=len(key_rows)) for c in cells])
+        keys = table.select(by).take(pa.array(np.tile(key_rows, len(points))))
+        gn, gd, nn = [pa.array(np.concatenate([f[i] for f in found])) for i in range(3)]
+        users = pa.array(np.tile(np.bincount(key, minlength=len(key_rows)), len(points)), pa.int64())
+        at = pa.array(np.repeat([p["grid_idx"] for p in points], len(key_rows)), pa.int32())
+        columns = [*[keys[c].combine_chunks() for c in by], at, users, gn, gd, nn, users.cast(pa.float64())]
+        return pa.RecordBatch.from_arrays(columns, names=[*by, "grid_idx", "n_users", "_gn", "_gd", "_nn", "_nd"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.Table] = []
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if not table.num_rows:
+                continue
+            ends = waiting[-1].slice(waiting[-1].num_rows - 1) if waiting else table.slice(0, 0)
+            new = changes(pa.concat_tables([ends, table]), [*by, "user_id"])[ends.num_rows:]
+            cuts = np.flatnonzero(new)
+            if len(cuts) == 0:
+                waiting.append(table)
+                continue
+            done = pa.concat_tables([*waiting, table.slice(0, int(cuts[-1]))])
+            yield sums(done)
+            waiting = [table.slice(int(cuts[-1]))]
+        if waiting:
+            yield sums(pa.concat_tables(waiting))
+
+    return run
+
+
+def grid_metrics(rows: DataFrame, points: list[dict], score: Callable, chunked: bool | None = None, by: list[str] = []) -> DataFrame:
+    """Ranking metrics of one score, a function of (_z1, _z2, point), at every grid point (`grid_idx` plus its parameters), apart for each key in by. Rows are
+    placed by user first and every user is ranked at all points where it lies, so no expanded row exists. A user too large for one task takes the chunked plan."""
     if chunked is None:
         chunked = has_large_group(rows, [*by, "user_id"])
-    placed = rows if chunked else rows.repartition(shuffle_width(rows.sparkSession), "user_id")
-    points = F.broadcast(grid)  # a few dozen fixed rows
-    wide = placed.crossJoin(points).select(*by, "grid_idx", "user_id", "row_id", "label", score.alias("score"))
-    return M.ranking_metrics(wide, [*by, "grid_idx"], chunked=chunked).join(points, "grid_idx")
+    spark = rows.sparkSession
+    grid = F.broadcast(spark.createDataFrame([tuple(p.values()) for p in points], ", ".join(f"{c} {'int' if c == 'grid_idx' else 'double'}" for c in points[0])))
+    if chunked:
+        value = score(F.col("_z1"), F.col("_z2"), {c: F.col(c) for c in points[0]})
+        wide = rows.crossJoin(grid).select(*by, "grid_idx", "user_id", "row_id", "label", value.alias("score"))  # a few dozen fixed rows
+        return M.ranking_metrics(wide, [*by, "grid_idx"], chunked=True).join(grid, "grid_idx")
+    placed = rows.repartition(shuffle_width(spark), "user_id").sortWithinPartitions(*by, "user_id", "row_id")
+    cells = placed.select(*by, "user_id", "label", *[F.col(c).cast("double").alias(c) for c in ("_z1", "_z2")])
+    fields = ", ".join([*[f"`{c}` {t}" for c, t in rows.select(*by).dtypes], "grid_idx int, n_users long, _gn double, _gd double, _nn double, _nd double"])
+    found = cells.mapInArrow(_grid_sums(points, score, by), fields)
+    return M.finish_summary(found.groupBy(*by, "grid_idx").agg(*[F.sum(c).alias(c) for c in ("n_users", "_gn", "_gd", "_nn", "_nd")]), [*by, "grid_idx"]).join(
+        grid, "grid_idx"
+    )
 
 
-def sweep_grid(spark) -> DataFrame:
-    points = [(i * len(SWEEP_GAMMAS) + j, a, g) for i, a in enumerate(SWEEP_ALPHAS) for j, g in enumerate(SWEEP_GAMMAS)]
-    return spark.createDataFrame(points, "grid_idx int, alpha double, gamma double")
+def sweep_grid() -> list[dict]:
+    return [{"grid_idx": i * len(SWEEP_GAMMAS) + j, "alpha": a, "gamma": g} for i, a in enumerate(SWEEP_ALPHAS) for j, g in enumerate(SWEEP_GAMMAS)]
 
 
 def sweep_metrics(pairs: DataFrame, chunked: bool | None = None) -> DataFrame:
     z = _ranged(pairs, {"s_a": "_z1", "s_b": "_z2"}, [])
-    score = blend(F.col("_z1"), F.col("_z2"), F.col("alpha"), F.col("gamma"))
-    rows = z.select("row_id", "user_id", "label", "_z1", "_z2")
-    return grid_metrics(rows, sweep_grid(pairs.sparkSession), score, chunked)
+    return grid_metrics(z.select("row_id", "user_id", "label", "_z1", "_z2"), sweep_grid(), blend_score(), chunked)
 
 
 def first_best(df: DataFrame, value: str, order: str) -> DataFrame:
@@ -133,9 +230,8 @@ def sweep_blend(pairs: DataFrame, chunked: bool | None = None) -> DataFrame:
 def alpha_metrics(rows: DataFrame, chunked: bool | None = None) -> DataFrame:
     """Metrics of z(s_a) + alpha * z(log1p(s_b)) for every alpha of the fixed grid."""
     z = _zscored(rows.withColumn("_lb", log1p_score("s_b")), {"s_a": "_z1", "_lb": "_z2"}, [])
-    grid = rows.sparkSession.createDataFrame(list(enumerate(BLEND_GRID)), "grid_idx int, alpha double")
-    score = F.col("_z1") + F.col("alpha") * F.col("_z2")
-    return grid_metrics(z.select("row_id", "user_id", "label", "_z1", "_z2"), grid, score, chunked)
+    points = [{"grid_idx": i, "alpha": a} for i, a in enumerate(BLEND_GRID)]
+    return grid_metrics(z.select("row_id", "user_id", "label", "_z1", "_z2"), points, lambda z1, z2, p: z1 + p["alpha"] * z2, chunked)
 
 
 def pick_alpha(rows: DataFrame, chunked: bool | None = None) -> DataFrame:
@@ -277,7 +373,7 @@ def search_pairs(scores: DataFrame, pairs: DataFrame, replicates: int = 500, chu
         chunked = has_large_group(scores, ["model_id", "user_id"])
     sides = cut_lineage(_ranged(paired_sides(scores, pairs), {"s_a": "_z1", "s_b": "_z2"}, ["pair"]))
     score = blend(F.col("_z1"), F.col("_z2"), F.col("alpha"), F.col("gamma"))
-    swept = grid_metrics(sides.select("pair", "row_id", "user_id", "label", "_z1", "_z2"), sweep_grid(scores.sparkSession), score, chunked, ["pair"])
+    swept = grid_metrics(sides.select("pair", "row_id", "user_id", "label", "_z1", "_z2"), sweep_grid(), blend_score(), chunked, ["pair"])
     best = F.max_by(F.struct("alpha", "gamma"), F.struct("primary", -F.col("grid_idx")))
     points = cut_lineage(swept.groupBy("pair").agg(best.alias("_p")).select("pair", "_p.alpha", "_p.gamma"))
     mixed = sides.join(F.broadcast(points), "pair").withColumn("score", score)  # one row per pair

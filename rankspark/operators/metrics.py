@@ -10,10 +10,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankspark.functions.ordered import has_large_group, lower_bound, order_bounds, positions, prefix_sums
+from rankspark.functions.ordered import has_large_group, lower_bound, order_bounds, positions
 from rankspark.session import shuffle_width
 
 MODEL = ["model_id"]
+HALF_BLOCK = 1 << 16  # row ids per block in which the border of the halves is looked up
 
 
 def _ideal(n_pos: Column, k: int) -> Column:
@@ -40,23 +41,18 @@ def user_metrics(scores: DataFrame, by: list[str] = MODEL, k: int = 5, chunked:
     gain = F.col("label").cast("double")
     if chunked:
         return _user_metrics_chunked(scores, keys, k)
-    # One sort serves all: ties and ranks read a prefix of the first window's order, and the descending
-    # position is the list length minus the ascending one.
-    placed = Window.partitionBy(*keys).orderBy("score", F.col("row_id").desc())
-    asc = Window.partitionBy(*keys).orderBy("score")
-    ordered = scores.select(*keys, "label", "score", F.row_number().over(placed).alias("_rn"))
-    peers = F.count(F.lit(1)).over(asc.rangeBetween(Window.currentRow, Window.currentRow))
-    ranked = ordered.select(
-        *keys,
-        "label",
-        (F.rank().over(asc) + (peers - 1) / 2.0).alias("_mid"),
-        (F.count(F.lit(1)).over(Window.partitionBy(*keys)) - F.col("_rn") + 1).alias("_pos"),
-    )
-    pos = F.sum(gain)
+    # One sort serves all: ranks and ties read a prefix of the first window's order, and mid-ranks from below are the list length plus one minus those from
+    # above. The user leads the order, because two of its rows seldom meet in a comparison.
+    placed = Window.partitionBy("user_id", *by).orderBy(F.col("score").desc(), "row_id")
+    desc = Window.partitionBy("user_id", *by).orderBy(F.col("score").desc())
+    peers = F.count(F.lit(1)).over(desc.rangeBetween(Window.currentRow, Window.currentRow))
+    ordered = scores.select(*keys, "label", "score", F.row_number().over(placed).alias("_pos"))
+    ranked = ordered.select(*keys, "label", "_pos", (F.rank().over(desc) + (peers - 1) / 2.0).alias("_mid"))
+    pos, n = F.sum(gain), F.count(F.lit(1))
     agg = ranked.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
+        n.alias("n"),
         pos.alias("n_pos"),
-        (F.sum(F.col("_mid") * gain) - pos * (pos + 1.0) / 2.0).alias("_wins"),
+        ((n + 1.0) * pos - F.sum(F.col("_mid") * gain) - pos * (pos + 1.0) / 2.0).alias("_wins"),
         F.sum(F.when(F.col("_pos") <= k, gain / F.log2(F.col("_pos") + 1.0)).otherwise(0.0)).alias("_dcg"),
     )
     return _finish(agg, k)
@@ -112,8 +108,12 @@ def _ndcg() -> Column:
 
 def summarize_users(per_user: DataFrame, by: list[str] = MODEL) -> DataFrame:
     """GAUC (positive-weighted over mixed users), mean nDCG over all users, and their mean."""
-    agg = per_user.groupBy(*by).agg(F.count(F.lit(1)).alias("n_users"), *_weighted())
-    return agg.select(
+    return finish_summary(per_user.groupBy(*by).agg(F.count(F.lit(1)).alias("n_users"), *_weighted()), by)
+
+
+def finish_summary(sums: DataFrame, by: list[str]) -> DataFrame:
+    """Metrics from n_users and the sums of _weighted."""
+    return sums.select(
         *by,
         "n_users",
         _gauc().alias("gauc"),
@@ -233,19 +233,24 @@ def paired_bootstrap(pairs: DataFrame, replicates: int = 500, seed: int = 0, min
 def with_halves(scores: DataFrame, by: list[str] = MODEL) -> DataFrame:
     """Front/back half of each model's rows: cut at the number of rows dated up to the median date,
     or in the middle when that leaves a side under 16 rows; models under 32 rows are dropped. The broadcast
-    tables hold one row per compared model."""
+    tables hold one row per compared model.
+
+    The last row of the front is looked up: blocks of row ids are counted, and only the block it lies in is ordered."""
     med = scores.groupBy(*by).agg(F.percentile("date", F.lit(0.5)).alias("_mid"), F.count(F.lit(1)).alias("_n"))
-    dated = scores.join(F.broadcast(med), by).where(F.col("_n") >= 32)
-    cut = dated.groupBy(*by).agg(
-        F.sum((F.col("date") <= F.col("_mid")).cast("long")).alias("_f"), F.first("_n").alias("_n")
+    block = F.floor(F.col("row_id") / HALF_BLOCK).cast("long")
+    dated = scores.join(F.broadcast(med), by).where(F.col("_n") >= 32).withColumn("_k", block)
+    cells = dated.groupBy(*by, "_k").agg(
+        F.sum((F.col("date") <= F.col("_mid")).cast("long")).alias("_f"), F.count(F.lit(1)).alias("_rows"), F.first("_n").alias("_n")
     )
-    half = F.floor(F.col("_n") / 2).cast("long")
+    whole, before = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    counted = cells.withColumns({"_f": F.coalesce(F.sum("_f").over(whole), F.lit(0)), "_past": F.coalesce(F.sum("_rows").over(before), F.lit(0))})
     uneven = (F.col("_f") < 16) | (F.col("_n") - F.col("_f") < 16)
-    cut = cut.select(*by, F.when(uneven, half).otherwise(F.col("_f")).alias("_cut"))
-    placed = prefix_sums(scores, by, ["row_id"], {"_at": F.lit(1.0)}, chunked=True)
-    return placed.join(F.broadcast(cut), by).withColumn("half", F.when(F.col("_at") < F.col("_cut"), "front").otherwise("back")).drop(
-        "_at", "_cut"
-    )
+    counted = counted.withColumn("_left", F.when(uneven, F.floor(F.col("_n") / 2).cast("long")).otherwise(F.col("_f")) - F.col("_past"))
+    holds = counted.where((F.col("_left") >= 1) & (F.col("_left") <= F.col("_rows"))).select(*by, "_k", "_left")
+    inside = scores.select(*by, "row_id", block.alias("_k")).join(F.broadcast(holds), [*by, "_k"])
+    ranked = inside.withColumn("_at", F.row_number().over(Window.partitionBy(*by).orderBy("row_id")))
+    last = ranked.where(F.col("_at") == F.col("_left")).select(*by, F.col("row_id").alias("_last"))
+    return scores.join(F.broadcast(last), by).withColumn("half", F.when(F.col("row_id") <= F.col("_last"), "front").otherwise("back")).drop("_last")
 
 
 def half_primaries(scores: DataFrame, chunked: bool | None = None) -> DataFrame:
