@@ -51,8 +51,9 @@ def ambiguous_hashes(parts: DataFrame, bits: int = 64) -> DataFrame:
 
 def recipes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = MIN_CHUNK, most: int = MAX_CHUNK,
             bits: int = 64) -> DataFrame:
-    """doc_id, n_chars, text_sha256 and recipe: the ordered verified identifiers of the document's chunks."""
-    parts = chunked(docs, doc_id, text, least, most)
+    """doc_id, n_chars, text_sha256 and recipe: the ordered verified identifiers of the document's chunks. The chunks are
+    written once, since both the comparison of contents and the recipes read them and chunking costs more than reading."""
+    parts = cut_lineage(chunked(docs, doc_id, text, least, most))
     known = F.broadcast(ambiguous_hashes(parts, bits))
 
     def identify(chunk: Column) -> Column:
@@ -71,7 +72,7 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     code points stays, then the smallest doc_id (a null doc_id last). A null text counts as empty; empty texts form
     one group like any other. Rows that repeat both the kept doc_id and its text all say kept. An empty table gives an
     empty result; other columns of docs are not read."""
-    rows = recipes(docs, doc_id, text, least, most, bits)
+    rows = cut_lineage(recipes(docs, doc_id, text, least, most, bits))
     first = F.min(F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("no_id"), "doc_id"))
     groups = cut_lineage(
         rows.groupBy("recipe").agg(F.count(F.lit(1)).alias("group_size"), first.alias("first"))

@@ -10,6 +10,7 @@ import pytest
 
 from rankspark.llm import exact_dedup, fingerprints, language, line_dedup, mixing, near_dedup, packing, pii, quality, toxicity
 from rankspark.llm.queries_text import tokenizer_path
+from rankspark.session import cut_lineage
 from tests.llm import brute
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, keep_id int, key string, label string, size string"
@@ -69,6 +70,22 @@ def test_exact_dedup_ties_and_repeats(spark):
     assert got == [("4", 4, 3, True), ("5", 4, 3, False), ("5", 4, 3, False), ("None", None, 2, True), ("None", None, 2, True)]
 
 
+def test_exact_dedup_chunks_each_text_once(spark, corpus, monkeypatch):
+    plans = []
+
+    def plan_of(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    def cut(df):
+        plans.append(plan_of(df))
+        return cut_lineage(df)
+
+    monkeypatch.setattr(exact_dedup, "cut_lineage", cut)
+    plans.append(plan_of(exact_dedup.exact_dedup(make(spark, corpus))))
+    for work in ("regexp_extract_all(", "regexp_replace(", "collect_set("):
+        assert sum(plan.count(work) for plan in plans) == 1, work
+
+
 def test_line_dedup(spark, corpus):
     got = collect(line_dedup.line_dedup(make(spark, corpus)))
     want = brute.line_dedup(corpus)
